@@ -19,6 +19,8 @@ from veristrata.llm.superkmer import K, byte_units, mark_windows
 
 #: Bytes of a part that gets one suffix array.
 PART_BYTES = 1 << 20
+#: Bytes by which suffixes are sorted: eight, doubled until a window is covered.
+DEPTH = 64
 
 
 def words_at(x: np.ndarray) -> np.ndarray:
@@ -30,7 +32,7 @@ def words_at(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(key: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(key: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Suffixes sorted by their first `depth` bytes at least, by Larsson-Sadakane: the ranks of h bytes, taken twice, sort by 2h;
     only groups that aren't single yet are sorted again. key: words_at of the text."""
     n = len(key)
@@ -59,7 +61,8 @@ def common_prefixes(key: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Length, up to `most`, of the common prefix of each suffix in sa with the one before it.
 
     Kasai: what place p shares with its neighbour, place p + s shares but for s bytes. Places are taken in strides of 32,
-    then the places halfway between, and so on, each starting from the place a stride before.
+    then the places halfway between, and so on, each starting from the place a stride before. That holds where the order of
+    the two is settled within what was sorted, so places that share `most` bytes, the sorted depth, pass nothing on.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
@@ -72,7 +75,7 @@ def common_prefixes(key: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         todo.append((np.arange(stride // 2, n, stride), stride // 2))
         stride //= 2
     for p, back in todo:
-        have = np.maximum(lcp[p - back] - back, 0) if back else np.zeros(len(p), np.int64)
+        have = np.where(lcp[p - back] < most, np.maximum(lcp[p - back] - back, 0), 0) if back else np.zeros(len(p), np.int64)
         q = before[p]
         on = np.flatnonzero((q >= 0) & (have < most))
         have[q < 0] = 0
@@ -104,9 +107,9 @@ def equal_byte_windows(strings: list[bytes], lo: np.ndarray, windows: np.ndarray
         w = windows[a:b]
         at = np.repeat(base - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
         key = words_at(x)
-        sa = suffix_array(key, K)
+        sa = suffix_array(key)
         group = np.empty(len(x), np.int64)
-        group[sa] = np.cumsum(common_prefixes(key, sa, K) < K)
+        group[sa] = np.cumsum(common_prefixes(key, sa, DEPTH) < K)
         own = group[at]
         best = least_by_name(own, np.repeat(lo[a:b], w))
         names, first, back = np.unique(own, return_index=True, return_inverse=True)
