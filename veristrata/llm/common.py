@@ -8,8 +8,6 @@ operator does not name are ignored, whatever their names; an empty table gives a
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veristrata.plans.checkpoint import shared_dir, store  # noqa: F401
+
 #: A null id inside numpy arrays.
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text that a Python worker handles at a time.
@@ -34,23 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veristrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and fixes what a retried task would see."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -19,7 +19,7 @@ from veristrata.llm.superkmer import K, mark_windows, word_units
 
 def least_by_name(names: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each place the smallest `least` among the places of the same name."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     s = names[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
     out = np.empty(len(names), np.int64)

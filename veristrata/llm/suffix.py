@@ -18,7 +18,7 @@ from veristrata.llm.substring import least_by_name
 from veristrata.llm.superkmer import K, byte_units, mark_windows
 
 #: Bytes of a part that gets one suffix array.
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
 #: Bytes by which suffixes are sorted: eight, doubled until a window is covered.
 DEPTH = 64
 
@@ -36,7 +36,7 @@ def suffix_array(key: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Suffixes sorted by their first `depth` bytes at least, by Larsson-Sadakane: the ranks of h bytes, taken twice, sort by 2h;
     only groups that aren't single yet are sorted again. key: words_at of the text."""
     n = len(key)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     s = key[sa]
     new = np.append(True, s[1:] != s[:-1]) if n else np.zeros(0, bool)
     slot = np.arange(n)
@@ -47,7 +47,7 @@ def suffix_array(key: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     while h < depth and len(at):
         i = sa[at]
         k = rank[i] * (n + 2) + rank[np.minimum(i + h, n)]
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         i, k = i[order], k[order]
         sa[at] = i
         new = np.append(True, k[1:] != k[:-1])
@@ -112,7 +112,10 @@ def equal_byte_windows(strings: list[bytes], lo: np.ndarray, windows: np.ndarray
         group[sa] = np.cumsum(common_prefixes(key, sa, DEPTH) < K)
         own = group[at]
         best = least_by_name(own, np.repeat(lo[a:b], w))
-        names, first, back = np.unique(own, return_index=True, return_inverse=True)
+        order = np.argsort(own)
+        new = np.append(True, own[order][1:] != own[order][:-1])
+        first, back = order[new], np.empty(len(own), np.int64)
+        back[order] = np.cumsum(new) - 1
         rows = x[at[first][:, None] + np.arange(K)]
         parts.append([np.ascontiguousarray(rows).view(f"S{K}").reshape(-1), best[first], back])
     if len(parts) > 1:  # sorted strings of each part, looked up in every other
