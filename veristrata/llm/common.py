@@ -237,14 +237,16 @@ class ChunkCoder:
 
 # ---- packed documents -------------------------------------------------------------------------------------------
 
-PACKED = "src long, n long, bytes long, ids binary, lens binary, body binary"
+PACKED = "src long, n long, bytes long, ids binary, lens binary, body binary, rest binary"
 
 
-def pack(docs: DataFrame, name: str, limit: int = SLICE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, name: str, limit: int = SLICE_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Stored rows of about `limit` bytes of text each, compressed: what later steps send and reread instead of single texts.
 
-    `src` is fixed in the stored rows, so every later step names the same documents by it.
+    `src` is fixed in the stored rows, so every later step names the same documents by it. keep: other columns that travel
+    along, in `rest`.
     """
+    names = [f"keep{i}" for i in range(len(keep or []))]
 
     def write(batches):
         import zstandard
@@ -255,11 +257,24 @@ def pack(docs: DataFrame, name: str, limit: int = SLICE_BYTES) -> DataFrame:
             data, offs = text_buffers(b.column("text"))
             ids = long_values(b.column("doc_id"))
             yield pa.RecordBatch.from_pydict(
-                {"src": pa.array([(part << 32) + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "lens": pa.array([np.diff(offs).tobytes()], pa.binary()), "body": pa.array([z.compress(data.tobytes())], pa.binary())}
+                {"src": pa.array([(part << 32) + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "lens": pa.array([np.diff(offs).tobytes()], pa.binary()), "body": pa.array([z.compress(data.tobytes())], pa.binary()), "rest": pa.array([_to_ipc(b.select(names)) if names else None], pa.binary())}
             )
             k += 1
 
-    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, PACKED), name)
+    rest = [F.col(f"`{c}`").alias(n) for c, n in zip(keep or [], names, strict=True)]
+    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).mapInArrow(write, PACKED), name)
+
+
+def _to_ipc(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def rest_of(raw: bytes | None) -> list[pa.Array]:
+    """The kept columns of a packed row."""
+    return [c.combine_chunks() for c in pa.ipc.open_stream(raw).read_all().columns] if raw is not None else []
 
 
 def unpack(ids: bytes, lens: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

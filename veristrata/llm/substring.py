@@ -12,6 +12,8 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veristrata.llm.common import Words, id_array, table
 from veristrata.llm.superkmer import K, mark_windows, word_units
@@ -44,24 +46,35 @@ def equal_word_windows(strings: list[bytes], lo: np.ndarray, windows: np.ndarray
     return least_by_name(joined(name[at], name[at + K - size]), np.repeat(lo, windows))
 
 
-def dedup_words(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, and with texts: kept), kept words joined by one blank."""
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
+def dedup_words(docs: DataFrame, texts: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, and with texts: kept), kept words joined by one blank.
 
-    def finish(ids, data, offs, u, covered):
+    keep: other columns of docs to carry along; `kept` of a document that loses nothing is then its text as it was.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    if texts:
+        schema.add("kept", T.StringType())
+    for c in keep or []:
+        schema.add(c, docs.schema[c].dataType)
+
+    def finish(ids, data, offs, u, covered, rest):
         raw, rows = data.tobytes(), []
         total = np.append(0, np.cumsum(covered))
         for a, b, i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), u.off[:-1].tolist(), u.off[1:].tolist(), strict=True):
             words, gone = raw[a:b].split(), int(total[j] - total[i])
             kept = b" ".join(compress(words, (~covered[i:j]).tolist()) if gone else words)
-            rows.append((j - i, gone, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((j - i, gone, hashlib.sha256(kept).hexdigest(), kept if gone or keep is None else raw[a:b]))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         out = {"doc_id": id_array(ids), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())}
         if texts:
             out["kept"] = pa.array(cols[3], pa.binary()).cast(pa.string())
+        if keep and not len(ids):
+            return pa.table({c: pa.array([], to_arrow_type(f.dataType)) for c, f in zip(schema.names, schema.fields, strict=True)})
+        for c, x in zip(keep or [], rest, strict=True):
+            out[c] = x
         return pa.table(out)
 
-    return mark_windows(docs, word_units, equal_word_windows, finish, schema, "words")
+    return mark_windows(docs, word_units, equal_word_windows, finish, schema, "words", keep)
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def dedup_bytes(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts: kept as binary)."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
-    def finish(ids, data, offs, u, covered):
+    def finish(ids, data, offs, u, covered, rest):
         total = np.append(0, np.cumsum(covered))
         begin = covered.copy()
         begin[1:] &= ~covered[:-1]
