@@ -7,9 +7,10 @@
    Each class is compared with the smallest document of the prefix shingle lists it shares most of; true links among these
    pairs already join most groups.
 4. Lists of a shingle that still hold two groups or more are joined by signature trees: nodes hold the OR of their members'
-   token bitmaps (as greatest counts by bit) and the range of their sizes, and a dual traversal goes into a pair of nodes only
-   if the greatest possible overlap reaches the smallest required one and the two are not one group already. Pairs of
-   sets that are left are compared exactly. Lists above BLOCK members are cut into blocks, and pairs of blocks are joined.
+   token bitmaps and the range of their sizes, and a dual traversal goes into a pair of nodes only if the greatest possible
+   overlap reaches the smallest required one and the two are not one group already. Lists above BLOCK members are cut
+   into blocks, and pairs of blocks are joined. Only bitmaps travel for this; the sets of members that the bounds leave
+   follow, and are compared exactly.
 5. Connected components of all links.
 
 No step collects links or documents in the driver, and no list of documents is cut short. Null texts and texts without
@@ -29,7 +30,7 @@ from veristrata.operators.graph import connected_components
 
 SHINGLE = 5
 #: Bytes of a stored shingle hash, bits of a token bitmap, members of a block.
-HASH_BYTES, BITMAP, BLOCK = 6, 1024, 1000
+HASH_BYTES, BITMAP, BLOCK = 6, 2048, 2000
 FANOUT = 8
 U = np.uint64
 
@@ -76,7 +77,7 @@ def _widen(b: bytes) -> np.ndarray:
 def document_sets(docs: DataFrame) -> DataFrame:
     """Stored: doc_id, n (set size), lo and hi (hash of the set), and for sets that can link, once in a packed row: the hashes of
     its shared shingles in the global order."""
-    packed = pack(docs, "jaccard-texts")
+    packed = pack(docs, "jaccard-texts", limit=2 << 20)
     exchange = Exchange(packed.agg(F.sum("bytes")).first()[0] or 0)
 
     def keys_of(ids, data, offs):
@@ -169,23 +170,30 @@ def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def bitmap_of(x: np.ndarray) -> np.ndarray:
+    """The token bitmap of a set of hashes, as 64-bit words."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(x % U(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(U)
+
+
 class SignatureTree:
-    """Levels of nodes over some sets, leaves first: greatest count by bit, range of sizes, and the group where all members are of
-    one (-1: several)."""
-
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray):
-        first = np.array([int(s.min()) if len(s) else 0 for s in sets], U)
-        self.order = np.lexsort((first, groups, sizes))
-        counts = np.zeros((len(sets), BITMAP), np.uint16)
-        for row, i in enumerate(self.order):
-            counts[row] = np.minimum(np.bincount((sets[i] % U(BITMAP)).astype(np.int64), minlength=BITMAP), 65535)
-        size, group = sizes[self.order], groups[self.order]
-        self.levels = [(counts, size, size, group)]
+    """Levels of nodes over some sets, leaves first: OR of bitmaps, most elements beyond the bits of a member, range of sizes, and
+    the group where all members are of one (-1: several).
+
+    Elements that two sets share lie on bits that both have, and all but the first on a bit count among those beyond: no two
+    members of a pair of nodes share more than the bits of both ORs and the smaller number beyond.
+    """
+
+    def __init__(self, maps: np.ndarray, held: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
+        self.order = np.lexsort((maps[:, 0], groups, sizes))
+        m, size, group = maps[self.order], sizes[self.order], groups[self.order]
+        self.levels = [(m, held[self.order] - np.bitwise_count(m).sum(1, dtype=np.int64), size, size, group)]
         while len(self.levels[-1][0]) > 1:
-            c, lo, hi, g = self.levels[-1]
-            at = np.arange(0, len(c), FANOUT)
+            m, over, lo, hi, g = self.levels[-1]
+            at = np.arange(0, len(m), FANOUT)
             a, b = np.minimum.reduceat(g, at), np.maximum.reduceat(g, at)
-            self.levels.append((np.maximum.reduceat(c, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.where(a == b, a, -1)))
+            self.levels.append((np.bitwise_or.reduceat(m, at), np.maximum.reduceat(over, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.where(a == b, a, -1)))
 
 
 def candidates(one: SignatureTree, two: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
@@ -193,15 +201,15 @@ def candidates(one: SignatureTree, two: SignatureTree) -> tuple[np.ndarray, np.n
     i = j = np.zeros(1, np.int64)
     a, b = len(one.levels) - 1, len(two.levels) - 1
     while True:
-        ca, la, ha, ga = one.levels[a]
-        cb, lb, hb, gb = two.levels[b]
+        ma, oa, la, ha, ga = one.levels[a]
+        mb, ob, lb, hb, gb = two.levels[b]
         keep = (4 * ha[i] >= 3 * lb[j]) & (4 * hb[j] >= 3 * la[i]) & ((ga[i] != gb[j]) | (ga[i] < 0))
         i, j = i[keep], j[keep]
         least = -(-3 * (la[i] + lb[j]) // 7)  # overlap of sets that size: 0.75 / 1.75 of both
         ok = np.zeros(len(i), bool)
         for k in range(0, len(i), 4096):
             s = slice(k, k + 4096)
-            ok[s] = np.minimum(ca[i[s]], cb[j[s]]).sum(1, dtype=np.int64) >= least[s]
+            ok[s] = np.bitwise_count(ma[i[s]] & mb[j[s]]).sum(1, dtype=np.int64) + np.minimum(oa[i[s]], ob[j[s]]) >= least[s]
         i, j = i[ok], j[ok]
         if a == 0 and b == 0:
             return one.order[i], two.order[j]
@@ -217,9 +225,22 @@ def candidates(one: SignatureTree, two: SignatureTree) -> tuple[np.ndarray, np.n
             i = np.repeat(i, many)
 
 
-def tree_join(reps: list[int], sizes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, block: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links among the sets that join groups. block: 0 and 1 for the two sides of a pair of blocks; pairs of one side are left to
-    that block's own join."""
+def tree_pairs(maps: np.ndarray, held: np.ndarray, sizes: np.ndarray, groups: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (numbers) of different groups that the bounds leave. side: False and True for the two blocks of a pair of blocks;
+    pairs within a block are left to that block's own join."""
+    if side is None:
+        tree = SignatureTree(maps, held, sizes, groups)
+        i, j = candidates(tree, tree)
+        return i[i < j], j[i < j]
+    left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    if not len(left) or not len(right):
+        return left[:0], left[:0]
+    i, j = candidates(*(SignatureTree(maps[s], held[s], sizes[s], groups[s]) for s in (left, right)))
+    return left[i], right[j]
+
+
+def tree_join(reps: list[int], sizes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among the sets that join groups, compared exactly where the bounds leave a pair."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -228,18 +249,9 @@ def tree_join(reps: list[int], sizes: np.ndarray, sets: list[np.ndarray], groups
             x = parent[x]
         return x
 
-    if block is None:
-        tree = SignatureTree(sets, sizes, groups)
-        i, j = candidates(tree, tree)
-        i, j = i[i < j], j[i < j]
-    else:
-        left, right = np.flatnonzero(block == 0), np.flatnonzero(block == 1)
-        if not len(left) or not len(right):
-            return []
-        i, j = candidates(*(SignatureTree([sets[k] for k in s], sizes[s], groups[s]) for s in (left, right)))
-        i, j = left[i], right[j]
+    held = np.fromiter(map(len, sets), np.int64, len(sets))
     links = []
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+    for p, q in zip(*(x.tolist() for x in tree_pairs(np.stack([bitmap_of(x) for x in sets]), held, sizes, groups, side)), strict=True):
         a, b = root(int(groups[p])), root(int(groups[q]))
         if a != b:
             both = np.sort(np.concatenate([sets[p], sets[q]]))
@@ -266,15 +278,37 @@ def find_links(classes: DataFrame) -> DataFrame:
     members = members.select("shingle", "rep", "grp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("shingle", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "grp")
 
+    def sketch(batches):
+        for b in batches:
+            sets = [_widen(x) for x in b.column("shared").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap_of(x).tobytes() for x in sets], pa.binary())], ["rep", "n", "held", "bits"])
+
+    def look(key, t):
+        shingle, p, q = (k.as_py() for k in key)
+        maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), U).reshape(t.num_rows, -1)
+        rep, held, sizes, groups_, mine_ = (t.column(c).to_numpy() for c in ("rep", "held", "n", "grp", "mine"))
+        i, j = tree_pairs(maps, held, sizes, groups_, None if p == q else mine_ == q)
+        on = np.unique(np.append(i, j))
+        who = mix(rep[on].astype(U))
+        who = who if p == q else mix(who * U(2) + (mine_[on] == q).astype(U))  # a list's own pairs, or those of two blocks
+        mark = int(np.bitwise_xor.reduce(who)) if len(on) else 0
+        out = {"mark": np.full(len(on), mark, U).view(np.int64), "shingle": np.full(len(on), shingle), "p": np.full(len(on), p), "q": np.full(len(on), q), "side": mine_[on] == q, "rep": rep[on], "grp": groups_[on]}
+        return pa.table({c: pa.array(v, t_) for (c, v), t_ in zip(out.items(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)})
+
     def join(key, t):
         p, q = key[1].as_py(), key[2].as_py()
-        reps = t.column("rep").to_pylist()
-        sizes, groups_, mine_ = (t.column(c).to_numpy() for c in ("n", "grp", "mine"))
-        sets = [_widen(x) for x in t.column("shared").to_pylist()]
-        got = tree_join(reps, sizes, sets, groups_, None if p == q else (mine_ == q).astype(np.int64))
+        sizes, groups_, side = (t.column(c).to_numpy() for c in ("n", "grp", "side"))
+        got = tree_join(t.column("rep").to_pylist(), sizes, [_widen(x) for x in t.column("shared").to_pylist()], groups_, None if p == q else side)
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    more = members.join(classes, "rep").select("shingle", "p", "q", "mine", "rep", "grp", "n", "shared").groupBy("shingle", "p", "q").applyInArrow(join, "a long, b long")
+    maps = store(classes.mapInArrow(sketch, "rep long, n long, held long, bits binary"), "jaccard-bitmaps")
+    near = members.join(maps, "rep").select("shingle", "p", "q", "mine", "rep", "grp", "n", "held", "bits").groupBy("shingle", "p", "q").applyInArrow(look, "mark long, shingle long, p int, q int, side boolean, rep long, grp long")
+    near = store(near, "jaccard-near")
+    # of lists that leave the same members, one
+    own_list = F.struct("shingle", "p", "q")
+    single = near.groupBy("mark").agg(F.min(own_list).alias("l")).select("mark", F.col("l.shingle").alias("shingle"), F.col("l.p").alias("p"), F.col("l.q").alias("q"))
+    near = near.join(single, ["mark", "shingle", "p", "q"])
+    more = near.join(classes, "rep").select("shingle", "p", "q", "side", "rep", "grp", "n", "shared").groupBy("shingle", "p", "q").applyInArrow(join, "a long, b long")
     return store(links.unionByName(more), "jaccard-all-links")
 
 
