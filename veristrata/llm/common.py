@@ -8,8 +8,10 @@ operator does not name are ignored, whatever their names; an empty table gives a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,21 +160,38 @@ def doc_crc(doc_id: str = "doc_id"):
 # ---- tokenizers -------------------------------------------------------------------------------------------------
 
 
+def _visible() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else the next of U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, n = [""] * 256, 0
+    for b in range(256):
+        out[b] = chr(b) if b in kept else chr(256 + n)
+        n += b not in kept
+    return out
+
+
+_VISIBLE = _visible()
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class ChunkCoder:
     """Token ids of whole texts, from one call of the tokenizer per distinct chunk.
 
-    Texts are cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the whole text.
-    kind "words": a lower-casing vocabulary that drops white space; chunks are words. kind "bytes": a byte-level
-    vocabulary whose pre-tokens may start with one blank; chunks start at a blank that follows a character that is
-    certainly not white space. Ids of up to `keep` chunks stay in memory between batches of a task.
+    Texts are cut only where the tokenizer's own pre-tokenizer always cuts: before a blank that follows a character that is
+    certainly not white space, between a Latin letter and a mark (no apostrophe, no |), and between a single line feed and a letter.
+    So the ids are those of the whole text. Chunks of Latin letters alone are one pre-token and go straight to the tokenizer's
+    model; others take the whole way. kind "words": a lower-casing vocabulary that drops white space. kind "bytes": a
+    byte-level vocabulary whose pre-tokens may start with one blank. Ids of up to `keep` chunks stay in memory.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 400_000):
+    def __init__(self, path: str, kind: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.kind, self.keep = kind, keep
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.seen: dict[bytes, int] = {}
         self._clear()
 
@@ -183,13 +202,29 @@ class ChunkCoder:
         self.len = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
 
+    def _ids_of(self, chunks: list[bytes]) -> list[list[int]]:
+        out, slow, whole, tokenize = [None] * len(chunks), [], _LETTERS.fullmatch, self.model.tokenize
+        for i, c in enumerate(chunks):
+            s = c.decode("utf-8")
+            blank = s[:1] == " "
+            if whole(s, 1 if blank else 0):
+                if self.kind == "words":
+                    s = s.lower().strip()
+                if not s.isascii() or " " in s:
+                    s = "".join([_VISIBLE[x] for x in s.encode()])
+                out[i] = [t.id for t in tokenize(s)]
+            else:
+                slow.append(i)
+        for i, e in zip(slow, self.tok.encode_batch_fast([chunks[i].decode("utf-8") for i in slow], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _learn(self, chunks: list[bytes]) -> None:
         for i in range(0, len(chunks), 20_000):
             part = chunks[i : i + 20_000]
-            coded = self.tok.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)
-            got = [e.ids for e in coded]
+            got = self._ids_of(part)
             lens = np.fromiter(map(len, got), np.int32, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.uint32, int(lens.sum()))
+            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
             while self.n + len(part) > len(self.at):
                 self.at, self.len = np.append(self.at, np.zeros_like(self.at)), np.append(self.len, np.zeros_like(self.len))
             while self.used + len(flat) > len(self.ids):
@@ -201,24 +236,32 @@ class ChunkCoder:
             self.n += len(part)
             self.used += len(flat)
 
+    def _lower(self, data: np.ndarray) -> np.ndarray:
+        """ASCII lower case, unless that made or unmade one of the added tokens."""
+        low = _LOWER[data]
+        a, b = data.tobytes(), low.tobytes()
+        return low if all(a.count(t) == b.count(t) for t in self.special) else data
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32 of all texts, ids before each text)."""
         n = len(data)
         if self.kind == "words":
-            w = Words(data, offs)
-            vocab, codes, before = w.vocab.cast(pa.binary()).to_pylist(), w.codes, w.off
-        else:
-            solid = ((data > 32) & (data < 127)).copy()
-            solid[1:] |= data[:-1] == 0xC3
-            cut = np.zeros(n, bool)
-            cut[1:] = (data[1:] == 32) & solid[:-1]
-            inner = offs[:-1][offs[:-1] < n]
-            cut[inner] = True
-            starts = np.flatnonzero(cut)
-            before = np.searchsorted(starts, offs)
-            arr = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-            coded = arr.dictionary_encode()
-            vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            data = self._lower(data)
+        solid = (data > 32) & (data < 127)
+        letter = ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
+        latin = np.zeros(n, bool)
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        mark = solid & ~letter & ~((data >= 48) & (data <= 57)) & (data != 39) & (data != 124)  # | ends added tokens
+        cut = np.zeros(n, bool)
+        cut[1:] = ((data[1:] == 32) & (solid | latin)[:-1]) | (mark[1:] & (letter | latin)[:-1])
+        cut[2:] |= letter[2:] & (data[1:-1] == 10) & solid[:-2]
+        inner = offs[:-1][offs[:-1] < n]
+        cut[inner] = True
+        starts = np.flatnonzero(cut)
+        before = np.searchsorted(starts, offs)
+        arr = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = arr.dictionary_encode()
+        vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if self.n + len(vocab) > self.keep and self.n:
             self._clear()
         new = [c for c in vocab if c not in self.seen]
