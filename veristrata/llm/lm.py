@@ -291,7 +291,7 @@ def train(contexts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text."""
     spark = docs.sparkSession
-    packed = pack(docs, "lm-texts")
+    packed = pack(docs, "lm-texts", limit=2 << 20)
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     heads = common_words(packed)
     found = store(survey(packed, heads, max(LEAST, total // BUCKET_BYTES), "lm"), "lm-survey")
