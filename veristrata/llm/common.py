@@ -7,6 +7,7 @@ operator does not name are ignored, whatever their names; an empty table gives a
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import zlib
@@ -24,7 +25,7 @@ from veristrata.plans.checkpoint import shared_dir, store  # noqa: F401
 #: A null id inside numpy arrays.
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives free memory back to the system: Python workers are used again, stage after stage, and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -72,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
             yield b.slice(i, j - i)
+    tidy()
 
 
 class Words:
@@ -184,7 +195,7 @@ class ChunkCoder:
     byte-level vocabulary whose pre-tokens may start with one blank. Ids of up to `keep` chunks stay in memory.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 700_000):
+    def __init__(self, path: str, kind: str, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veristrata.llm.common import mix, squeeze, store, stretch, unpack
+from veristrata.llm.common import mix, squeeze, store, stretch, tidy, unpack
 
 BUCKET_BYTES, LEAST = 8 << 20, 24
 U = np.uint64
@@ -70,6 +70,7 @@ class Exchange:
                         step = np.diff(k[own], prepend=U(p * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                         rows.append((p, src, len(step), squeeze(step.T), np.packbits(several[order[own]]).tobytes()))
                     cols = list(zip(*rows, strict=True))
+                    tidy()
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "src", "n", "keys", "several"])
 
         def answer(key, t):
@@ -86,6 +87,7 @@ class Exchange:
             level = 1 + np.floor(np.log2(count)).astype(np.uint8)
             heat = np.empty(len(keys), np.uint8)
             heat[order] = np.repeat(np.where((count > 1) | np.logical_or.reduceat(several[order], first), level, 0), count)
+            tidy()
             cut = np.append(0, np.cumsum(n))
             have = [r for r in range(len(n)) if heat[cut[r] : cut[r + 1]].any()]
             return pa.table({"src": pa.array(t.column("src").to_numpy()[have], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(have), pa.int32()), "heat": pa.array([squeeze(heat[cut[r] : cut[r + 1]]) for r in have], pa.binary())})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import Words, id_array, mix, pack, pair_hash, shifted_hash, store, table, unpack
+from veristrata.llm.common import Words, id_array, mix, pack, pair_hash, shifted_hash, store, table, tidy, unpack
 from veristrata.llm.exchange import Exchange, answers_of, spread
 from veristrata.operators.graph import connected_components
 
@@ -77,7 +77,7 @@ def _widen(b: bytes) -> np.ndarray:
 def document_sets(docs: DataFrame) -> DataFrame:
     """Stored: doc_id, n (set size), lo and hi (hash of the set), and for sets that can link, once in a packed row: the hashes of
     its shared shingles in the global order."""
-    packed = pack(docs, "jaccard-texts", limit=2 << 20)
+    packed = pack(docs, "jaccard-texts")
     exchange = Exchange(packed.agg(F.sum("bytes")).first()[0] or 0)
 
     def keys_of(ids, data, offs):
@@ -109,6 +109,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             lo[full] = np.add.reduceat(mix(h), bounds[full])
             hi[full] = np.add.reduceat(mix(h * U(3) + U(5)), bounds[full])
         can = (n > 0) & (np.bincount(doc[heat > 0], minlength=m) >= need(n))
+        tidy()
         seen, out = set(), [None] * m
         for i in np.flatnonzero(can).tolist():
             mark = (int(lo[i]), int(hi[i]))

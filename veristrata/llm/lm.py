@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import NO_ID, Words, id_array, mix, pack, squeeze, store, stretch, table, text_buffers, unpack
+from veristrata.llm.common import NO_ID, Words, id_array, mix, pack, squeeze, store, stretch, table, text_buffers, tidy, unpack
 
 HEADS, CLASSES, ROWS = 31, 128, 1 << 14
 #: Words that are counted by each task for itself: the commonest at most so many.
@@ -156,6 +156,7 @@ def survey(packed: DataFrame, heads: list[str], n_buckets: int, name: str) -> Da
                     rows.append((2, int(p), src, len(i), short[i].tobytes(), squeeze(doc[i].astype(np.int32)), squeeze(said[i]), None))
                 if rows:
                     yield made(rows)
+                tidy()
         width = CLASSES**3 // CONTEXT_PARTS
         rows = []
         for p in range(CONTEXT_PARTS):
@@ -192,6 +193,7 @@ def judge_words(words: DataFrame) -> DataFrame:
         text, back = np.unique(row * most + doc, return_inverse=True)
         part = np.bincount(back, many * np.log10(c + 1.0))
         known = np.bincount(back, many * (c > 0)).astype(np.int64)
+        tidy()
         cut = np.searchsorted(text // most, np.arange(len(n) + 1))
         src = t.column("src").to_pylist()
         rows = [(src[r], squeeze((text[i:j] % most).astype(np.int32)), squeeze(part[i:j]), squeeze(known[i:j])) for r, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
@@ -291,7 +293,7 @@ def train(contexts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text."""
     spark = docs.sparkSession
-    packed = pack(docs, "lm-texts", limit=2 << 20)
+    packed = pack(docs, "lm-texts")
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     heads = common_words(packed)
     found = store(survey(packed, heads, max(LEAST, total // BUCKET_BYTES), "lm"), "lm-survey")
@@ -343,6 +345,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         part += head_log[-1]
         known += counts[-1] > 0
         base = part - r.n_tokens * np.log10(n_train + v + 1.0)
+        tidy()
         ctx, back = np.unique(r.context, return_inverse=True)
         token = np.empty(len(r.x))
         order = np.argsort(back)
