@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import doc_crc, slices, table, text_buffers
+from veristrata.llm.common import doc_crc, slices, table, text_buffers, tidy
 
 DIMS = 4096
 _BIGRAMS = 1024
-SAMPLE, SAMPLE_TOTAL = 500, 4000
+SAMPLE, SAMPLE_TOTAL = 300, 3000
 UNKNOWN = "und"
 
 # Families of languages by ISO 639-1 code; a language that isn't here is a family of its own.
@@ -95,17 +95,18 @@ def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150)
     """Squared hinge loss by accelerated gradient descent; classes weigh the same. Returns weights and bias."""
     n, d = x.shape
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    v, last = np.ones(d), 0.0
+    v, last, weight = np.ones(d, x.dtype), 0.0, weight.astype(x.dtype)
+    y = y.astype(x.dtype)
     for _ in range(12):  # the largest curvature
         v = x.T @ (weight * (x @ v))
         last = float(np.linalg.norm(v))
         v /= last or 1
     step = 1 / (2.2 * last + penalty + 1e-9)
-    w, old = np.zeros(d), np.zeros(d)
+    w, old = np.zeros(d, x.dtype), np.zeros(d, x.dtype)
     for k in range(rounds):
-        at = w + (k / (k + 3)) * (w - old)
+        at = w + x.dtype.type(k / (k + 3)) * (w - old)
         slack = np.maximum(0, 1 - y * (x @ at))
-        old, w = w, at - step * (penalty * at - x.T @ (2 * weight * y * slack))
+        old, w = w, (at - step * (penalty * at - x.T @ (2 * weight * y * slack))).astype(x.dtype)
     return w
 
 
@@ -117,7 +118,7 @@ def fit(labels: list[str], x: np.ndarray) -> Model | None:
     lang = np.array([langs.index(c) for c in labels])
     of = np.array([families.index(family_of(c)) for c in langs])
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    z = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    z = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     pairs = [(a, b) for a in range(len(langs)) for b in range(a + 1, len(langs)) if of[a] == of[b]]
     columns = [_svm(z, np.where(of[lang] == k, 1.0, -1.0)) if len(families) > 1 else np.zeros(z.shape[1]) for k in range(len(families))]
     for a, b in pairs:
@@ -154,7 +155,10 @@ def train_language_model(docs: DataFrame, held_out=None, sample: int = SAMPLE, t
             taken[r.lang] += 1
             labels.append(r.lang)
             rows.append(np.frombuffer(r.x, np.float32))
-    return fit(labels, np.stack(rows)) if rows else None
+    model = fit(labels, np.stack(rows)) if rows else None
+    del rows
+    tidy()
+    return model
 
 
 def predict_languages(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -57,9 +57,16 @@ def _pair(avail: np.ndarray, total: int, keep: np.ndarray) -> tuple[int, int] |
 def plan_lengths(counts: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Segments (length, first rank, pieces, first sequence, offset) for counts[length] pieces of each length up to size.
 
-    From the longest length down, gaps are filled exactly by one, two or three other lengths, each combination as often
-    as its scarcest length allows. What no combination fills goes best fit, longest first, into the smallest gap.
+    From the longest length down to a floor, gaps are filled exactly by one, two or three other lengths, each combination as
+    often as its scarcest length allows. What no combination fills goes best fit, longest first, into the smallest gap. Exact
+    fills of short lengths can use up what long ones need later, so floors of 1, half a sequence and none at all are tried, and
+    the plan of fewest sequences stands.
     """
+    plans = [_plan_from(counts, size, floor) for floor in (1, size // 2, size)]
+    return min(plans, key=lambda p: p.next).arrays()
+
+
+def _plan_from(counts: np.ndarray, size: int, floor: int) -> _Plan:
     avail = np.zeros(size + 1, np.int64)
     avail[: len(counts)] = counts
     plan = _Plan(avail)
@@ -76,7 +83,7 @@ def plan_lengths(counts: np.ndarray, size: int = SIZE) -> np.ndarray:
 
     if avail[size]:
         use([size])
-    for a in range(size - 1, 0, -1):
+    for a in range(size - 1, floor - 1, -1):
         while avail[a]:
             gap = size - a
             taken[:] = 0
@@ -122,7 +129,7 @@ def plan_lengths(counts: np.ndarray, size: int = SIZE) -> np.ndarray:
                 _add(open_by_gap, gaps, g, base + k, m - k)
             _add(open_by_gap, gaps, g - a, base, k)
             n -= k
-    return plan.arrays()
+    return plan
 
 
 def _add(open_by_gap: dict, gaps: np.ndarray, gap: int, base: int, m: int) -> None:
