@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import doc_crc, table
+from veristrata.llm.common import doc_crc, small_batches, table
 from veristrata.llm.decontaminate import find_leaks
 from veristrata.llm.jaccard import jaccard_components
 from veristrata.llm.langid import UNKNOWN, predict_languages, train_language_model
@@ -22,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null, or no letter in them) go."""
+    small_batches(spark)
     model = train_language_model(docs, F.pmod(doc_crc(), F.lit(3)) == 1)
     return predict_languages(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 

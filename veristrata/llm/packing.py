@@ -116,19 +116,22 @@ def _plan_from(counts: np.ndarray, size: int, floor: int) -> _Plan:
         n = int(avail[a])
         while n:
             fits = np.flatnonzero(gaps[a:])
-            if not len(fits):
-                base = plan.open([a], n)
-                _add(open_by_gap, gaps, size - a, base, n)
-                break
-            g = a + int(fits[0])
-            base, m = open_by_gap[g].pop()
-            gaps[g] -= 1
-            k = min(m, n)
-            plan.lay(a, k, base, size - g)
-            if m > k:
-                _add(open_by_gap, gaps, g, base + k, m - k)
-            _add(open_by_gap, gaps, g - a, base, k)
-            n -= k
+            if len(fits):
+                g = a + int(fits[0])
+                base, m = open_by_gap[g].pop()
+                gaps[g] -= 1
+            else:  # as many new sequences as it takes
+                g, m = size, -(-n // (size // a))
+                base, plan.next = plan.next, plan.next + m
+            each = g // a  # a sequence that a piece went into stays the best fit while another fits
+            for many, bins in ((each, min(m, n // each)), (n % each if n // each < m else 0, 1)):
+                if many and bins:
+                    for t in range(many):
+                        plan.lay(a, bins, base, size - g + t * a)
+                    _add(open_by_gap, gaps, g - many * a, base, bins)
+                    base, m, n = base + bins, m - bins, n - many * bins
+            if m:
+                _add(open_by_gap, gaps, g, base, m)
     return plan
 
 
