@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -192,6 +193,15 @@ _VISIBLE = _visible()
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+@cache
+def tokenizer_of(path: str):
+    """One tokenizer a worker: each load leaves some 5 MB behind in the tokenizer library's own allocations."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class ChunkCoder:
     """Token ids of whole texts, from one call of the tokenizer per distinct chunk.
 
@@ -203,10 +213,7 @@ class ChunkCoder:
     """
 
     def __init__(self, path: str, kind: str, keep: int = 200_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.tok = tokenizer_of(path)
         self.model = self.tok.model
         self.kind, self.keep = kind, keep
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]

@@ -195,7 +195,8 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             off = offset_of[i] if len(length) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    # counts are the smaller side: at most `size` a part, hashed without sorting the pieces
+    ranked = pieces.join(before.hint("shuffle_hash"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
