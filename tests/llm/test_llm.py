@@ -343,6 +343,24 @@ def test_decontamination_edges(spark):
     assert decontaminate.find_leaks(d.limit(0), b).count() == 0 and decontaminate.find_leaks(d, b.limit(0)).count() == 0
 
 
+def near_copy(rng, text, share=0.12):
+    w = text.split()
+    for k in rng.sample(range(len(w)), round(share * len(w))):
+        w[k] = f"z{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_decontamination_finds_an_item_that_a_third_of_the_documents_leak(spark):
+    rng = random.Random(6)
+    items = [prose(rng, 40, 4000) for _ in range(40)]
+    own = lambda n: prose(rng, n, 4000)
+    rows = [(i, f"{own(60)} {near_copy(rng, items[0])} {own(40)}" if i % 3 == 0 else f"{own(60)} {near_copy(rng, items[7])}" if i % 50 == 1 else own(120)) for i in range(1200)]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), b).collect()}
+    want = {(i, 0) for i in range(0, 1200, 3)} | {(i, 7) for i in range(1200) if i % 3 and i % 50 == 1}
+    assert not got - want and len(got & want) >= 0.99 * len(want)
+
+
 def test_queries_equal_sql(spark, oracle):
     from veristrata.llm.queries import QUERIES, SQL
 
