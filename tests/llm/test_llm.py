@@ -361,6 +361,25 @@ def test_decontamination_finds_an_item_that_a_third_of_the_documents_leak(spark)
     assert not got - want and len(got & want) >= 0.99 * len(want)
 
 
+def test_decontamination_of_thousands_of_items_loses_no_near_copy(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{min(int(rng.paretovariate(0.7)), 6000)}"  # noqa: E731  common words and rare ones
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(44) for _ in range(3000)]
+    rows, want = [], set()
+    for i in range(500):
+        k = rng.randrange(len(items))
+        w, own = items[k].split(), decontaminate.item_words(items[k])
+        for j in rng.sample(range(len(w)), 8):
+            w[j] = f"w{rng.randrange(3000, 6000)}"
+        rows.append((i, f"{text(50)} {' '.join(w)} {text(50)}"))
+        if decontaminate.lcs(decontaminate.masks_of(own), len(own), w) >= decontaminate.NEAR * len(own):
+            want.add((i, k))
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), b).collect()}
+    assert len(want) > 400 and want <= got
+
+
 def test_queries_equal_sql(spark, oracle):
     from veristrata.llm.queries import QUERIES, SQL
 
