@@ -141,6 +141,13 @@ def test_jaccard_residual_lists_by_blocks(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.jaccard_components(docs(spark, rows)).collect())) == brute_components(rows)
 
 
+def test_lists_with_and_without_document_0_differ():
+    a, b = np.array([0, 5, 9]), np.array([5, 9])
+    for side_a, side_b in ((None, None), (np.array([False, True, False]), np.array([True, False]))):
+        one, two = jaccard.marks_of(a, side_a), jaccard.marks_of(b, side_b)
+        assert one[0] != two[0] and one[1] != two[1]
+
+
 def test_tree_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     sets = []

@@ -262,6 +262,16 @@ def tree_join(reps: list[int], sizes: np.ndarray, sets: list[np.ndarray], groups
     return links
 
 
+def marks_of(reps: np.ndarray, side: np.ndarray | None) -> tuple[int, int]:
+    """Two hashes of the members of a list's own pairs, or of those of two blocks with their sides. No member, 0 included, adds nothing."""
+    out = []
+    for salt in (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)):
+        who = mix(reps.astype(U) + salt)
+        who = who if side is None else mix(who * U(2) + side.astype(U) + salt)
+        out.append(int(np.bitwise_xor.reduce(who)) if len(who) else 0)
+    return out[0], out[1]
+
+
 def find_links(classes: DataFrame) -> DataFrame:
     """Stored links (a, b) between classes; their components are those of all links of 75 % or more."""
     posts = store(_prefixes(classes), "jaccard-prefixes")
@@ -290,11 +300,9 @@ def find_links(classes: DataFrame) -> DataFrame:
         rep, held, sizes, groups_, mine_ = (t.column(c).to_numpy() for c in ("rep", "held", "n", "grp", "mine"))
         i, j = tree_pairs(maps, held, sizes, groups_, None if p == q else mine_ == q)
         on = np.unique(np.append(i, j))
-        who = mix(rep[on].astype(U))
-        who = who if p == q else mix(who * U(2) + (mine_[on] == q).astype(U))  # a list's own pairs, or those of two blocks
-        mark = int(np.bitwise_xor.reduce(who)) if len(on) else 0
-        out = {"mark": np.full(len(on), mark, U).view(np.int64), "shingle": np.full(len(on), shingle), "p": np.full(len(on), p), "q": np.full(len(on), q), "side": mine_[on] == q, "rep": rep[on], "grp": groups_[on]}
-        return pa.table({c: pa.array(v, t_) for (c, v), t_ in zip(out.items(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)})
+        mark, again = marks_of(rep[on], None if p == q else mine_[on] == q)
+        out = {"mark": np.full(len(on), mark, U).view(np.int64), "again": np.full(len(on), again, U).view(np.int64), "many": np.full(len(on), len(on), np.int64), "shingle": np.full(len(on), shingle), "p": np.full(len(on), p), "q": np.full(len(on), q), "side": mine_[on] == q, "rep": rep[on], "grp": groups_[on]}
+        return pa.table({c: pa.array(v, t_) for (c, v), t_ in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)})
 
     def join(key, t):
         p, q = key[1].as_py(), key[2].as_py()
@@ -303,12 +311,12 @@ def find_links(classes: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
     maps = store(classes.mapInArrow(sketch, "rep long, n long, held long, bits binary"), "jaccard-bitmaps")
-    near = members.join(maps, "rep").select("shingle", "p", "q", "mine", "rep", "grp", "n", "held", "bits").groupBy("shingle", "p", "q").applyInArrow(look, "mark long, shingle long, p int, q int, side boolean, rep long, grp long")
+    near = members.join(maps, "rep").select("shingle", "p", "q", "mine", "rep", "grp", "n", "held", "bits").groupBy("shingle", "p", "q").applyInArrow(look, "mark long, again long, many long, shingle long, p int, q int, side boolean, rep long, grp long")
     near = store(near, "jaccard-near")
     # of lists that leave the same members, one
     own_list = F.struct("shingle", "p", "q")
-    single = near.groupBy("mark").agg(F.min(own_list).alias("l")).select("mark", F.col("l.shingle").alias("shingle"), F.col("l.p").alias("p"), F.col("l.q").alias("q"))
-    near = near.join(single, ["mark", "shingle", "p", "q"])
+    single = near.groupBy("mark", "again", "many").agg(F.min(own_list).alias("l")).select("mark", "again", "many", F.col("l.shingle").alias("shingle"), F.col("l.p").alias("p"), F.col("l.q").alias("q"))
+    near = near.join(single, ["mark", "again", "many", "shingle", "p", "q"])
     more = near.join(classes, "rep").select("shingle", "p", "q", "side", "rep", "grp", "n", "shared").groupBy("shingle", "p", "q").applyInArrow(join, "a long, b long")
     return store(links.unionByName(more), "jaccard-all-links")
 
