@@ -28,3 +28,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_prespecified_rounds(spark, oracle, monkeypatch):
+    from veristrata.operators import resample
+
+    rounds = {}
+    boot, interval = resample.clustered_bootstrap, resample.percentile_interval
+    monkeypatch.setattr(resample, "clustered_bootstrap", lambda *a, **k: rounds.setdefault("bootstrap", boot(*a, **k)))
+    monkeypatch.setattr(resample, "percentile_interval", lambda t: rounds.setdefault("interval", interval(t)))
+    QUERIES["bootstrap_ci"](spark, oracle[1])
+    assert rounds["bootstrap"].count() == 2000
+    p = QUERIES["permutation_null"](spark, oracle[1]).first()["p"] * 10_001
+    assert abs(p - round(p)) < 1e-6

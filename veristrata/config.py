@@ -12,6 +12,8 @@ TPM_EXPRESSED, TPM_ROBUST, BROAD_TISSUES, NARROW_TISSUES = 1.0, 10.0, 27, 5
 KMER = 9
 CONSTANCY_FOLD = 1.5
 BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED = 2000, 20260713
+#: Rounds of a permutation null (10,000 in the reference).
+PERMUTATIONS = 10_000
 Z95 = 1.96
 
 # Texts that mean "not reported", and the narrower set for presence.

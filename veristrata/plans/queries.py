@@ -439,13 +439,13 @@ def daily_ledger(spark, d):
 def bootstrap_ci(spark, d):
     t = sequence.flagged(B.occurrences(spark, d).groupBy("seq").agg(F.min("gene").alias("gene")).join(_hits(spark, d), "seq"), B.normal(spark, d), "seq", "x").withColumn("len", F.length("seq"))
     cells = resample.clustered_cells(t, "gene", "len", F.col("x"), F.col("hit"))
-    return resample.percentile_interval(resample.clustered_bootstrap(cells, spark, rounds=400))
+    return resample.percentile_interval(resample.clustered_bootstrap(cells, spark))
 
 
 @query()
 def permutation_null(spark, d):
     t = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.lit("all").alias("stratum"), F.col("s_nationkey").cast("string").alias("label"), (F.col("s_suppkey") % 25).cast("string").alias("target"))
-    return resample.permutation_null(spark, t, 500, 0)
+    return resample.permutation_null(spark, t, C.PERMUTATIONS, 0)
 
 
 @query()
