@@ -1,4 +1,4 @@
-"""Seeded resampling (R1-R9, R11). Replicates are rows of a range, dealt to tasks; what each needs is a bounded table of cells."""
+"""Seeded resampling (R1-R3, R6, R7, R9, R11 and of R5 the letter shuffle). Replicates are rows of a range, dealt to tasks; what each needs is a bounded table of cells."""
 
 from __future__ import annotations
 
