@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -34,15 +35,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts that fit beside two workers in a small executor: 1000 rows, 4 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings, but Arrow batches of texts that fit beside two workers in a small executor: 1000 rows, 4 MB.
+    The caller's own session stays as it is."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return own_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_own_session(df: DataFrame) -> DataFrame:
+    """The same rows in a session as of own_session."""
+    name = f"own_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return own_session(df.sparkSession).table(f"{df.sparkSession.conf.get('spark.sql.globalTempDatabase')}.{name}")
+    finally:
+        df.sparkSession.catalog.dropGlobalTempView(name)
 
 
 def tidy() -> None:
