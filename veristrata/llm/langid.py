@@ -2,8 +2,9 @@
 
 A text becomes the shares of its hashed byte bigrams and trigrams (lower case; everything that isn't a letter is a blank).
 Linear support vector machines, one against the rest, choose the language family; within it, one for each pair of languages
-votes. They are fitted on a bounded sample: SAMPLE texts a language and SAMPLE_TOTAL texts at most, chosen by a hash of
-the id from all labelled texts that are not held out. Prediction reads every whole text and nothing else.
+votes. They are fitted on a bounded sample: SAMPLE different texts a language and SAMPLE_TOTAL texts at most, those of the smallest
+hashes of id and text among all labelled texts that are not held out; no more than these come to the driver, however many
+rows share an id, a text or a null. Prediction reads every whole text and nothing else.
 
 `und` for a null text, a text without a letter, or where nothing was learned. Rows without lang teach nothing.
 """
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm.common import doc_crc, slices, table, text_buffers, tidy
@@ -22,6 +23,8 @@ from veristrata.llm.common import doc_crc, slices, table, text_buffers, tidy
 DIMS = 4096
 _BIGRAMS = 1024
 SAMPLE, SAMPLE_TOTAL = 300, 3000
+#: Range of the hash that chooses the sample.
+HASHES = 1 << 60
 UNKNOWN = "und"
 
 # Families of languages by ISO 639-1 code; a language that isn't here is a family of its own.
@@ -134,27 +137,27 @@ def train_language_model(docs: DataFrame, held_out=None, sample: int = SAMPLE, t
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out is not None:
         usable = usable.where(~F.coalesce(held_out, F.lit(False)))
-    usable = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("at"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    letters = F.col("text").cast("string").rlike(r"\p{L}")
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(HASHES))
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), at.alias("at"), F.col("text").cast("string").alias("text")).where(letters)
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}  # one row a language
     if not counts:
         return None
     each = max(1, min(sample, total // len(counts)))
-    place = F.pmod(F.col("at"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int((1 << 30) * (each + 4 * each**0.5 + 20) / n)))])
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(HASHES, int(HASHES * (1.2 * each + 5 * each**0.5 + 20) / n)))])
 
     def run(batches):
         for b in slices(batches):
             x = shares(*text_buffers(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("at"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "at", "x"])
 
-    chosen = usable.where((place < limit[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).mapInArrow(run, "lang string, at long, x binary")
-    taken: dict[str, int] = {}
+    # about `each` hashes a language pass the limit; one row of each hash, and no more than `each` of them, goes on
+    near = usable.where(F.col("at") < limit[F.col("lang")]).mapInArrow(run, "lang string, at long, x binary")
+    chosen = near.groupBy("lang", "at").agg(F.min("x").alias("x")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("k") <= each)
     labels, rows = [], []
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.at % (1 << 30), r.at, r.x)):  # about `total` rows of 16 KB
-        if taken.setdefault(r.lang, 0) < each:
-            taken[r.lang] += 1
-            labels.append(r.lang)
-            rows.append(np.frombuffer(r.x, np.float32))
+    for r in sorted(chosen.select("lang", "at", "x").collect(), key=lambda r: (r.lang, r.at)):  # `total` rows of 16 KB at most
+        labels.append(r.lang)
+        rows.append(np.frombuffer(r.x, np.float32))
     model = fit(labels, np.stack(rows)) if rows else None
     del rows
     tidy()
@@ -195,5 +198,3 @@ def op3_langid(spark, sf_dir: str) -> DataFrame:
 
     texts = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
     return predict_languages(texts, model, keep=["doc_id", "held_out"])
-
-
