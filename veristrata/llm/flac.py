@@ -228,13 +228,16 @@ def decode_frames(buf: np.ndarray, at: np.ndarray, number: np.ndarray, n: int) -
 
     Checks sync code, header CRC-8, frame number and frame CRC-16.
     """
-    f = len(at)
+    return _decode(buf, _windows(buf), at, number, n, len(at))
+
+
+def _windows(buf: np.ndarray) -> np.ndarray:
+    """The 64 bits from each byte on."""
     pad = np.append(buf, np.zeros(16, np.uint8)).astype(U)
-    m = len(buf) + 8
-    win = np.zeros(m, U)
+    win = np.zeros(len(buf) + 8, U)
     for j in range(8):
-        win |= pad[j : j + m] << U(56 - 8 * j)
-    return _decode(buf, win, at, number, n, f)
+        win |= pad[j : j + len(win)] << U(56 - 8 * j)
+    return win
 
 
 def _decode(buf, win, at, number, n, f):
@@ -367,6 +370,22 @@ def _decode(buf, win, at, number, n, f):
     return out.T, end + 2
 
 
+def decode_range(s: bytes, first: int, count: int) -> np.ndarray:
+    """int8 samples from `first` on, `count` at most: frames are decoded from the last seek point at or before `first` only."""
+    h = Stream(s)
+    stop = min(h.samples, first + count)
+    if first < 0 or first >= stop:
+        return np.zeros(0, np.int8)
+    begin, at = max((p for p in h.points if p[0] <= first), default=(0, 0))
+    after = min((p[1] for p in h.points if p[0] >= stop), default=len(s) - h.first)
+    buf = np.frombuffer(s, np.uint8)[h.first + at : h.first + after]
+    win, where, parts = _windows(buf), np.zeros(1, np.int64), []
+    for k in range(begin // h.block, -(-stop // h.block)):
+        x, where = _decode(buf, win, where, np.array([k]), h.block, 1)
+        parts.append(x.reshape(-1))
+    return np.concatenate(parts)[first - begin : stop - begin].astype(np.int8)
+
+
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
     """int8 samples of each stream. Runs between seek points are decoded side by side; MD5 and sample counts are checked."""
     heads = [Stream(s) for s in streams]
@@ -377,11 +396,7 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
         return [decode_streams([s])[0] for s in streams]
     base = np.append(0, np.cumsum([len(s) for s in streams]))
     buf = np.frombuffer(b"".join(streams), np.uint8)
-    pad = np.append(buf, np.zeros(16, np.uint8)).astype(U)
-    win = np.zeros(len(buf) + 8, U)
-    for j in range(8):
-        win |= pad[j : j + len(win)] << U(56 - 8 * j)
-    del pad
+    win = _windows(buf)
     total = np.array([h.samples // n for h in heads])
     if any(h.samples % n for h in heads):
         raise ValueError("the last block of a stream is short")
