@@ -5,20 +5,25 @@ whether the id goes on in the next level, where its place is the rank of that bi
 RANK_BITS bits, makes any id readable alone: its chunk, its bit, one rank, and so on upwards.
 
 A file: magic, number of ids, documents and levels, then first id of each document, then for each level its width in bits,
-length, chunks, continuation bits and rank directory. Null and empty texts hold the end id only; rows with equal or null
-ids are files' rows like any others (nulls last).
+length, chunks, continuation bits and rank directory. Files lie in the shared folder, one for FILE_BYTES of text, and a stored
+manifest names them in order; a task that is repeated writes files of other names, and only those of the attempt that Spark
+commits are named. Documents are read by the places of their ids: ranks lead to their part of each level.
+
+Null and empty texts hold the end id only; rows with equal or null ids are files' rows like any others (nulls last).
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import ChunkCoder, crc, id_array, long_values, slices, store, table, text_buffers
+from veristrata.llm import files
+from veristrata.llm.common import ChunkCoder, crc, id_array, long_values, shared_dir, slices, store, table, text_buffers, tidy
 
 MAGIC = b"DAC1"
 LEVEL_BITS = (8, 8, 16)
@@ -100,55 +105,107 @@ class Dac:
             high = out
         return high if high is not None else np.zeros(0, np.uint32)
 
+    def ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """How many ids before each of these places of a level go on in the next: the directory's entry, and the bits since."""
+        _, chunk, bits, ranks = self.levels[level]
+        block = np.minimum(at // RANK_BITS, max(0, len(ranks) - 1))
+        byte = block[:, None] * (RANK_BITS // 8) + np.arange(RANK_BITS // 8)
+        whole = (at >> 3)[:, None] - byte
+        own = np.where((whole >= 0) & (byte < len(bits)), bits[np.minimum(byte, max(0, len(bits) - 1))] if len(bits) else np.zeros((1, 1), np.uint8), np.uint8(0))
+        own = np.where(whole == 0, own & ((1 << (at & 7)) - 1).astype(np.uint8)[:, None], own)
+        return (ranks[block].astype(np.int64) if len(ranks) else np.zeros(len(at), np.int64)) + np.bitwise_count(own).sum(1, dtype=np.int64)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at these places, each by its own way through the levels."""
+        out, on, shift = np.zeros(len(places), np.uint32), np.arange(len(places)), 0
+        at = np.asarray(places, np.int64)
+        for k, (width, chunk, bits, _) in enumerate(self.levels):
+            out[on] |= chunk[at].astype(np.uint32) << np.uint32(shift)
+            shift += width
+            more = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            on, at = on[more], at[more]
+            if not len(on):
+                break
+            at = self.ranks(k, at)
+        return out
+
+    def between(self, first: int, stop: int) -> np.ndarray:
+        """The ids at places first to stop - 1: their stretch of each level, found by rank; nothing else is read."""
+        parts, a, b = [], first, stop
+        for k, (width, chunk, bits, _) in enumerate(self.levels):
+            if a >= b:
+                break
+            more = np.unpackbits(bits[a >> 3 : -(-b // 8)], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            parts.append((width, chunk[a:b], more))
+            a = int(self.ranks(k, np.array([a]))[0])
+            b = a + int(more.sum())
+        high = np.zeros(0, np.uint32)
+        for width, chunk, more in reversed(parts):
+            out = chunk.astype(np.uint32)
+            if len(high):
+                out[more] |= high << np.uint32(width)
+            high = out
+        return high
+
     def document(self, k: int) -> np.ndarray:
         stop = int(self.starts[k + 1]) if k + 1 < len(self.starts) else self.n
-        return np.array([self[i] for i in range(int(self.starts[k]), stop)], np.uint32)
+        return self.between(int(self.starts[k]), stop)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Stored files in ascending id order: (part, seq, n_ids, ids of its documents, blob).
+    """Writes the files in ascending id order; their stored manifest: (part, seq, n_ids, doc_ids, path).
 
     Texts are dealt out by ranges of doc_id and sorted within them; ids are made after that, so only texts travel.
     """
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    files.check(folder)
 
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, seq = ChunkCoder(tokenizer, "bytes"), TaskContext.get().partitionId(), 0
+        task = TaskContext.get()
+        coder, part, seq = ChunkCoder(tokenizer, "bytes"), task.partitionId(), 0
         for b in slices(batches, limit=file_bytes):
             ids, offs = coder.encode(*text_buffers(b.column("text")))
             n = len(offs) - 1
             out = np.full(len(ids) + n, end_id, np.uint32)
             out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offs))] = ids
-            blob = build(out, offs[:-1] + np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([long_values(b.column("doc_id")).tobytes()], pa.binary()), pa.array([blob], pa.binary())], ["part", "seq", "n_ids", "doc_ids", "blob"])
+            path = f"{folder}/{part:06d}-{seq:06d}-{task.taskAttemptId()}.dac"
+            files.put(path, build(out, offs[:-1] + np.arange(n)))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([long_values(b.column("doc_id")).tobytes()], pa.binary()), pa.array([path])], ["part", "seq", "n_ids", "doc_ids", "path"])
             seq += 1
 
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = texts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    return store(dealt.mapInArrow(run, "part long, seq long, n_ids long, doc_ids binary, blob binary"), "token-files")
+    return store(dealt.mapInArrow(run, "part long, seq long, n_ids long, doc_ids binary, path string"), "token-manifest")
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with `before`: the ids in all files before each. Totals of parts, a row a part, pass one task; files only meet those of
+    their own part."""
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("total"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.join(parts, "part").withColumn("before", F.col("base") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).drop("base")
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from stored files. The driver holds one number a file: the ids before it."""
-    sizes = sorted((r.part, r.seq, r.n_ids) for r in files.select("part", "seq", "n_ids").collect())
-    before, total = {}, 0
-    for p, s, n in sizes:
-        before[p, s] = total
-        total += n
+def read_ids(manifest: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that a manifest names."""
 
     def run(batches):
         for b in batches:
-            for p, s, raw, blob in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "blob")), strict=True):
-                d = Dac(blob)
-                ids = d.all().astype("<u4")
+            for before, raw, path in zip(*(b.column(c).to_pylist() for c in ("before", "doc_ids", "path")), strict=True):
+                d = Dac(files.get(path))
                 stops = np.append(d.starts[1:], d.n)
-                view = memoryview(ids).cast("B")
-                sums = [crc(view[4 * i : 4 * j]) for i, j in zip(d.starts.tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([id_array(np.frombuffer(raw, np.int64)), pa.array(before[p, s] + d.starts), pa.array(stops - d.starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                if (d.at(stops - 1) != end_id).any():
+                    raise ValueError(f"a document of {path} doesn't end with id {end_id}")
+                sums = [crc(memoryview(d.document(k).astype("<u4")).cast("B")) for k in range(len(d.starts))]
+                yield pa.RecordBatch.from_arrays([id_array(np.frombuffer(raw, np.int64)), pa.array(before + d.starts), pa.array(stops - d.starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            tidy()
 
-    return files.select("part", "seq", "doc_ids", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(manifest).select("before", "doc_ids", "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_dac(spark, sf_dir: str) -> DataFrame:
