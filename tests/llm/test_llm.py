@@ -204,6 +204,17 @@ def test_langid(spark):
     assert langid.train_language_model(d.limit(0)) is None
 
 
+def test_langid_sample_is_bounded(spark, monkeypatch):
+    got = {}
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda labels, x: got.update(n=Counter(labels)) or fit(labels, x))
+    rows = [(None, f"some words of number {i}" if i % 3 else "a copy of many") for i in range(900)] + [(7, f"des mots {i}") for i in range(400)] + [(8, "le même texte")] * 500
+    d = spark.createDataFrame([(i, t, "en" if n < 900 else "fr", "x", "y") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, at string, k string")
+    model = langid.train_language_model(d, sample=50, total=90)
+    assert got["n"] == {"en": 45, "fr": 45}
+    assert {r.lang_pred for r in langid.predict_languages(d, model).collect()} == {"en", "fr"}
+
+
 def test_langid_query_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     got = [r for r in langid.op3_langid(spark, FOLDER).collect() if r.held_out]
@@ -234,28 +245,58 @@ def best_fit(lengths, size):
     return len(gaps)
 
 
-def test_packing_plan():
-    rng = np.random.default_rng(2)
-    for size, n in ((64, 300), (4096, 3000)):
-        lengths = rng.integers(1, size + 1, n)
-        plan = packing.plan_lengths(np.bincount(lengths, minlength=size + 1), size)
-        fill, seen = {}, Counter()
-        for length, r0, m, base, off in plan.tolist():
-            assert r0 == seen[length]
-            seen[length] += m
-            for s in range(base, base + m):
-                fill.setdefault(s, []).append((off, length))
-        assert seen == Counter(lengths.tolist())
-        for parts in fill.values():
-            at = 0
-            for off, length in sorted(parts):
-                assert off == at
-                at += length
-            assert at <= size
-        assert len(fill) <= best_fit(lengths.tolist(), size)
+def filled(plan):
+    """The lengths in each sequence of a plan; checks ranks and offsets."""
+    fill, seen = {}, Counter()
+    for length, r0, m, base, off in plan.tolist():
+        assert r0 == seen[length]
+        seen[length] += m
+        for s in range(base, base + m):
+            fill.setdefault(s, []).append((off, length))
+    for parts in fill.values():
+        at = 0
+        for off, length in sorted(parts):
+            assert off == at
+            at += length
+    return fill, seen
+
+
+@pytest.mark.parametrize("low,high,size,n", [(1, 64, 64, 300), (1, 4096, 4096, 3000), (500, 2500, 4096, 4000), (1300, 1500, 4096, 900)])
+def test_packing_plan(low, high, size, n):
+    lengths = np.random.default_rng(2).integers(low, high + 1, n)
+    counts = np.bincount(lengths, minlength=size + 1)
+    for share in packing.SHARES:
+        fill, seen = filled(packing._plan_from(counts, size, share).arrays())
+        assert seen == Counter(lengths.tolist()) and all(sum(x for _, x in p) <= size for p in fill.values())
+    best = best_fit(lengths.tolist(), size)
+    assert len(fill) <= best  # share 1: fills that begin with best fit's own choice
+    fill, _ = filled(packing.plan_lengths(counts, size))
+    assert len(fill) <= best
+
+
+def test_packing_plan_uses_complements():
+    counts = np.zeros(101, np.int64)
+    counts[[60, 40, 71, 20, 9, 55, 30, 8, 7]] = [5, 5, 3, 3, 3, 2, 2, 2, 2]
+    fill, _ = filled(packing.plan_lengths(counts, 100))
+    assert Counter(tuple(sorted(x for _, x in p)) for p in fill.values()) == {(40, 60): 5, (9, 20, 71): 3, (7, 8, 30, 55): 2}
     assert len(packing.plan_lengths(np.zeros(65, np.int64), 64)) == 0
 
 
+def test_index_of_sums_follows_what_is_taken():
+    rng = np.random.default_rng(3)
+    avail = rng.integers(0, 3, 65)
+    avail[0] = 0
+    index = packing.Sums(avail.copy())
+    for _ in range(40):
+        have = np.flatnonzero(index.avail)
+        if not len(have):
+            break
+        index.take({int(rng.choice(have)): 1}, 1)
+        one = (index.avail > 0).astype(np.int64)
+        two = np.convolve(one, one)[:65]
+        assert (index.one == one).all() and (index.two == two).all() and (index.three == np.convolve(two, one)[:65]).all()
+
+
 def test_packing_query(spark):
     paths = pytest.importorskip("public_tokenizers")
     rng = random.Random(3)
@@ -265,6 +306,12 @@ def test_packing_query(spark):
     own = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 3)
     assert [s for _, s, _ in own] == [4096 * i for i in range(len(own))] and all(n == 4096 for _, _, n in own[:-1])
     assert next(r.ids_crc32 for r in got if r.doc_id == 1) == zlib.crc32(struct.pack("<I", 1))
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(paths.path("word_bpe_49k.json"))
+    for r in d.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k in range(-(-len(ids) // 4096)):
+            part = ids[4096 * k : 4096 * (k + 1)]
+            assert any((x.doc_id, x.piece, x.length, x.ids_crc32) == (r.doc_id, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))) for x in got)
     used = {}
     for r in got:
         used.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -278,6 +325,8 @@ def test_dac_round_trip(spark):
         ids = rng.integers(0, top + 1, 1500).astype(np.uint32)
         d = dac.Dac(dac.build(ids, np.array([0, 700])))
         assert d.all().tolist() == ids.tolist() and all(d[i] == ids[i] for i in range(0, 1500, 7)) and d.document(1).tolist() == ids[700:].tolist()
+        places = rng.integers(0, 1500, 300)
+        assert (d.at(places) == ids[places]).all() and all((d.between(a, b) == ids[a:b]).all() for a, b in np.sort(rng.integers(0, 1501, (40, 2))).tolist())
     assert len(dac.Dac(dac.build(np.zeros(0, np.uint32), np.zeros(0, np.int64)))) == 0
     paths, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(paths.path("byte_bpe_50k.json"))
@@ -287,8 +336,16 @@ def test_dac_round_trip(spark):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         want[i] = (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
-    got = dac.read_ids(dac.write_ids(docs(spark, rows), paths.path("byte_bpe_50k.json"))).collect()
+    manifest = dac.write_ids(docs(spark, rows), paths.path("byte_bpe_50k.json"))
+    got = dac.read_ids(manifest).collect()
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
+    for r in manifest.collect():
+        assert open(r.path.removeprefix("file://"), "rb").read(4) == dac.MAGIC
+    rows += [(None, "last"), (None, None), (3, "again"), (3, "")]
+    got = dac.read_ids(dac.write_ids(docs(spark, rows), paths.path("byte_bpe_50k.json"), file_bytes=4000)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1, 2, 3, 3, 3, 5, None, None] and [r.start for r in got] == np.append(0, np.cumsum([r.n_tokens for r in got]))[:-1].tolist()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert dac.read_ids(dac.write_ids(docs(spark, rows).limit(0), paths.path("byte_bpe_50k.json"))).count() == 0
 
 
 def test_flac_round_trip_and_checksums(spark):
@@ -303,13 +360,19 @@ def test_flac_round_trip_and_checksums(spark):
         with pytest.raises(ValueError):
             flac.decode_streams([bytes(bad)])
     rows = awkward(1)
-    got = media.media_features(media.encode_media(docs(spark, rows))).collect()
+    got = media.media_features(media.pcm_blocks(media.encode_media(docs(spark, rows)), 2)).collect()
+    assert len(got) == len(rows) and media.media_features(media.pcm_blocks(media.encode_media(docs(spark, rows).limit(0)))).count() == 0
+    for r in got:
+        assert r.media_bytes > 0 and len(r.media_sha256) == 64 and f"blocks={r.payload_bytes // 192};" in r.feature
     for i, t in rows:
         b = (t or "").encode()
         pay = b.ljust(max(192, -(-len(b) // 192) * 192), b" ")
         assert any(r.doc_id == i and r.n_bytes == len(b) and r.payload_sha256 == hashlib.sha256(pay).hexdigest() and r.tail_crc32 == zlib.crc32(pay[-16:]) for r in got)
     blocks = media.pcm_blocks(media.encode_media(docs(spark, [(1, "x" * 7000)]))).orderBy("sample_offset").collect()
     assert [b.sample_offset for b in blocks] == [0, 3072, 6144] and sum(b.n_samples for b in blocks) == 7104
+    for first, n in ((0, 5), (190, 4), (1000, 700), (1720, 9999), (1728, 1)):
+        x = media.samples_at(streams[3], first, n)
+        assert (x.astype(np.int16) + 128).astype(np.uint8).tobytes() == pads[3][first : first + n]
 
 
 def test_chat_round_trip(spark):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from veristrata.llm.common import ChunkCoder, crc, id_array, long_values, slices, store, table, text_buffers
 
 SIZE = 4096
+#: How long the longest length of an exact fill must be, as a share of the one that best fit would take: one plan each.
+SHARES = (0.0, 0.8, 0.95, 1.0)
 END_ID = 1
 
 
@@ -43,73 +45,90 @@ class _Plan:
         return a
 
 
-def _pair(avail: np.ndarray, total: int, keep: np.ndarray) -> tuple[int, int] | None:
-    """The available lengths b >= c with b + c = total, the longest b first; keep: what is already taken of each."""
-    if total < 2:
+class Sums:
+    """An index of the available lengths by sum: how often each total is one length, two or three (in every order).
+
+    A length that runs out leaves all three by a few shifted vector operations, so nothing is ever counted anew. Counts
+    say where a combination can be; which lengths it has, and whether there are pieces enough of each, is looked up then.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail, self.size = avail, len(avail) - 1
+        self.one = (avail > 0).astype(np.int64)
+        width = 4 * len(avail)
+        spectrum = np.fft.rfft(self.one.astype(np.float64), width)
+        self.two = np.rint(np.fft.irfft(spectrum**2, width))[: len(avail)].astype(np.int64)
+        self.three = np.rint(np.fft.irfft(spectrum**3, width))[: len(avail)].astype(np.int64)
+
+    def take(self, lengths: dict[int, int], m: int) -> None:
+        """m pieces of each length, times its number, go."""
+        for x, n in lengths.items():
+            self.avail[x] -= n * m
+            if not self.avail[x]:
+                self._drop(x)
+
+    def _drop(self, x: int) -> None:
+        one, two = self.one, self.two
+        self.three[x:] -= 3 * two[: self.size + 1 - x]
+        if 2 * x <= self.size:
+            self.three[2 * x :] += 3 * one[: self.size + 1 - 2 * x]
+        if 3 * x <= self.size:
+            self.three[3 * x] -= 1
+        two[x:] -= 2 * one[: self.size + 1 - x]
+        if 2 * x <= self.size:
+            two[2 * x] += 1
+        one[x] = 0
+
+    def fill(self, gap: int, many: int, held: dict[int, int], share: float = 0.0) -> list[int] | None:
+        """`many` available lengths (1 to 3) that add up to gap, longest first, besides the pieces in `held`. The longest of them is at
+        least `share` of the longest length that fits the gap at all."""
+        if gap < many or not (self.one, self.two, self.three)[many - 1][gap]:
+            return None
+        left = lambda x: self.avail[x] - held.get(x, 0)
+        if many == 1:
+            return [gap] if left(gap) > 0 else None
+        least = -(-gap // many)
+        if share:
+            fits = np.flatnonzero(self.one[: gap + 1])
+            least = max(least, int(share * fits[-1])) if len(fits) else least
+        b = np.arange(gap - many + 1, least - 1, -1)
+        rest = self.one if many == 2 else self.two
+        for x in b[(self.one[b] > 0) & (rest[gap - b] > 0)].tolist():
+            if left(x) > 0 and (own := self.fill(gap - x, many - 1, held | {x: held.get(x, 0) + 1})):
+                return [x, *own]
         return None
-    b = np.arange(total - 1, (total - 1) // 2, -1)
-    left = avail[: total + 1] - keep[: total + 1]
-    ok = (left[b] > 0) & (left[total - b] > 0) & ((b != total - b) | (left[b] > 1))
-    i = int(ok.argmax()) if len(ok) else 0
-    return (int(b[i]), int(total - b[i])) if len(ok) and ok[i] else None
 
 
 def plan_lengths(counts: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Segments (length, first rank, pieces, first sequence, offset) for counts[length] pieces of each length up to size.
 
-    From the longest length down to a floor, gaps are filled exactly by one, two or three other lengths, each combination as
-    often as its scarcest length allows. What no combination fills goes best fit, longest first, into the smallest gap. Exact
-    fills of short lengths can use up what long ones need later, so floors of 1, half a sequence and none at all are tried, and
-    the plan of fewest sequences stands.
+    From the longest length down, the gap beside it is filled exactly by one, two or three others, each combination as often
+    as its scarcest length allows; what no combination fills goes best fit, longest first, into the smallest gap. An exact
+    fill by many short lengths can leave long ones without partners. So a plan is made for each of SHARES, and the shortest
+    stands; with a share of 1, a fill begins with the length that best fit would take and completes it.
     """
-    plans = [_plan_from(counts, size, floor) for floor in (1, size // 2, size)]
-    return min(plans, key=lambda p: p.next).arrays()
+    return min((_plan_from(counts, size, share) for share in SHARES), key=lambda p: p.next).arrays()
 
 
-def _plan_from(counts: np.ndarray, size: int, floor: int) -> _Plan:
+def _plan_from(counts: np.ndarray, size: int, share: float) -> _Plan:
     avail = np.zeros(size + 1, np.int64)
     avail[: len(counts)] = counts
-    plan = _Plan(avail)
-    taken = np.zeros_like(avail)
-
-    def use(lengths: list[int]) -> None:
-        need: dict[int, int] = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        m = min(int(avail[x]) // n for x, n in need.items())
-        plan.open(lengths, m)
-        for x, n in need.items():
-            avail[x] -= n * m
-
+    plan, index = _Plan(avail), Sums(avail)
     if avail[size]:
-        use([size])
-    for a in range(size - 1, floor - 1, -1):
+        m = int(avail[size])
+        plan.open([size], m)
+        index.take({size: 1}, m)
+    for a in range(size - 1, 0, -1):
         while avail[a]:
-            gap = size - a
-            taken[:] = 0
-            taken[a] = 1
-            if avail[gap] - taken[gap] > 0:
-                use([a, gap])
-                continue
-            if two := _pair(avail, gap, taken):
-                use([a, *two])
-                continue
-            found = None
-            own = np.flatnonzero(avail[:gap] - taken[:gap] > 0)[::-1]
-            if len(own):  # index of the sums of two available lengths, then the third by its complement
-                have = np.zeros(gap + 1, bool)
-                have[own] = True
-                spectrum = np.fft.rfft(have.astype(np.float64), 2 * gap + 2)
-                pairs = np.rint(np.fft.irfft(spectrum * spectrum, 2 * gap + 2))[: gap + 1] > 0
-                for b in own[pairs[gap - own]].tolist():
-                    taken[b] += 1
-                    if two := _pair(avail, gap - b, taken):
-                        found = [a, b, *two]
-                        break
-                    taken[b] -= 1
+            found = next((f for k in (1, 2, 3) if (f := index.fill(size - a, k, {a: 1}, share))), None)
             if not found:
                 break
-            use(found)
+            need: dict[int, int] = {}
+            for x in [a, *found]:
+                need[x] = need.get(x, 0) + 1
+            m = min(int(avail[x]) // n for x, n in need.items())
+            plan.open([a, *found], m)
+            index.take(need, m)
     open_by_gap: dict[int, list[tuple[int, int]]] = {}
     gaps = np.zeros(size + 1, np.int64)
     for a in range(size, 0, -1):
