@@ -1,7 +1,9 @@
 """A corpus pipeline over `documents`: language ID, near duplicates, substring dedup, decontamination, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and reread as the next one's docs. All but
-the last return the columns of documents. Rows with one id are one document: they stay or go together.
+the last return the columns of documents; columns beside those are dropped. Rows with one id are one document: they stay
+or go together. Rows without an id are documents by text: equal texts are one document, of which one row stays, and they
+come after all others wherever a smallest id decides.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import doc_crc, small_batches, table
+from veristrata.llm.common import doc_crc, in_own_session, table
 from veristrata.llm.decontaminate import find_leaks
 from veristrata.llm.jaccard import jaccard_components
 from veristrata.llm.langid import UNKNOWN, predict_languages, train_language_model
@@ -18,39 +20,52 @@ from veristrata.llm.substring import dedup_words
 from veristrata.plans.checkpoint import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that stand for null ones are at least this.
+NAMELESS = 1 << 61
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """COLUMNS with `own`, an id that is never null: that of the row, or one of its text."""
+    docs = in_own_session(docs).select(*COLUMNS)
+    by_text = F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))
+    named = docs.where("doc_id is not null").withColumn("own", F.col("doc_id").cast("long"))
+    return named.unionAll(docs.where("doc_id is null").dropDuplicates(["text"]).withColumn("own", by_text))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null, or no letter in them) go."""
-    small_batches(spark)
+    docs = in_own_session(docs)
     model = train_language_model(docs, F.pmod(doc_crc(), F.lit(3)) == 1)
     return predict_languages(docs.select(*COLUMNS), model).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _named(docs)
+    gone = jaccard_components(docs.select(F.col("own").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("own"))
+    return docs.join(gone, "own", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document with a smaller id has go; documents that lose all their words go."""
-    done = dedup_words(docs, texts=True, keep=["lang", "source", "n_chars"]).where("n_removed = 0 OR n_removed < n_words")
+    texts = _named(docs).select(F.col("own").alias("doc_id"), "text", F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    done = dedup_words(texts, texts=True, keep=["id", "lang", "source", "n_chars"]).where("n_removed = 0 OR n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return done.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    return done.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _named(docs)
+    leaks = find_leaks(docs.select(F.col("own").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("own")).distinct()
+    return docs.join(leaks, "own", "left_anti").select(*COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of 4096 tokens."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(in_own_session(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
