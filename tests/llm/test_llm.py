@@ -476,3 +476,22 @@ def test_pipeline_against_brute_force(spark):
     clean = {r.doc_id for r in at.collect()}
     assert clean <= set(left) and len(clean) >= 0.8 * len(left)
     assert {r.doc_id for r in p.run(spark, FOLDER).collect()} == clean
+
+
+def test_pipeline_without_ids_and_with_extra_columns(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    copy, clean, part = prose(rng, 90), prose(rng, 80), prose(rng, 60)
+    rows = [(None, copy), (None, copy), (1, copy), (2, copy), (None, clean), (None, clean), (None, None), (5, None), (6, part + " " + prose(rng, 30)), (None, prose(rng, 30) + " " + part)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 0, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, own long, component_id long, kept string")
+    bare = d.select(*p.COLUMNS)
+    for stage in (p.language, p.near_duplicates, p.repeated_passages, p.leaked_benchmarks):
+        assert stage(spark, d, FOLDER).columns == p.COLUMNS and stage(spark, bare.limit(0), FOLDER).count() == 0
+    assert Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, bare.where("text is not null"), FOLDER).collect()) == Counter([(1, copy), (None, clean), rows[-2], rows[-1]])
+    left = [r.text for r in p.repeated_passages(spark, bare.where("doc_id is null or doc_id = 6"), FOLDER).collect() if r.doc_id is None and r.text]
+    assert Counter(len(t.split()) for t in left) == Counter([90, 80, 30])
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    leaky = spark.createDataFrame([(None, item, "en", "s", 1), (None, clean, "en", "s", 1), (3, item, "en", "s", 1), (4, clean, "en", "s", 1)], bare.schema)
+    assert Counter((r.doc_id, r.text) for r in p.leaked_benchmarks(spark, leaky, FOLDER).collect()) == Counter([(None, clean), (4, clean)])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
