@@ -58,4 +58,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `store` that nothing reads any more."""
+    jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
