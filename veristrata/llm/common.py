@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.plans.checkpoint import shared_dir, store  # noqa: F401
+from veristrata.plans.checkpoint import discard, shared_dir, store  # noqa: F401
 
 #: A null id inside numpy arrays.
 NO_ID = np.iinfo(np.int64).max
