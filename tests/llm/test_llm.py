@@ -188,10 +188,61 @@ def test_lm_base_is_exact_and_model_is_better(spark):
     assert lm.score_texts(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    w = np.random.default_rng(0).standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32) / 9
-    p = np.exp(lm.log_softmax(w, np.array([0, 5, 700])))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def test_lm_score_is_the_models_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 40)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{'abc'[rng.randrange(3)]}{min(int(rng.paretovariate(0.8)), 90)}x{'st'[i % 2]}." for _ in range(rng.randrange(1, 60)))) for i in range(150)] + [(None, ""), (7, None)]
+    packed = lm.pack(docs(spark, rows), "texts")
+    f = lm.fit(packed)
+    m, index = f.model, {w: i for i, w in enumerate(f.listed)}
+    assert len(f.listed) == 40
+    train = [(t or "").split() for i, t in rows if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
+    c = Counter(w for t in train for w in t)
+    cls = lambda w: int(lm.classes_of(f.listed)[index[w]]) if w in index else int(lm.bucket_of_ending(pa.array([w]))[0])
+    out = lambda w: index.get(w, 40 + cls(w))
+    rare_n, rare_v = Counter(), Counter()
+    for w, n in c.items():
+        if w not in index:
+            rare_n[cls(w)] += n
+            rare_v[cls(w)] += 1
+
+    def of_class(last, two):
+        z = m.class_logs(m.shape.history_of[np.array([last])], np.array([two]))[0]
+        assert math.isclose(float(np.exp(z.astype(np.float64)).sum()), 1, abs_tol=1e-4)
+        return z
+
+    def of_word(last, k):
+        own = np.flatnonzero(m.shape.class_of_outcome == k)
+        z = m.outcome_logs(np.full(len(own), last), own)
+        assert math.isclose(float(np.exp(z.astype(np.float64)).sum()), 1, abs_tol=1e-3)
+        return dict(zip(own.tolist(), z.tolist(), strict=True))
+
+    want = []
+    for i, t in rows:
+        total, last, one, two = 0.0, 40, 0, 0
+        for w in [*(t or "").split(), None]:
+            k, o = (0, 40) if w is None else (cls(w), out(w))
+            total += (float(of_class(last, two)[k]) + of_word(last, k)[o]) / math.log(10)
+            if w is not None and w not in index:
+                total += math.log10((c[w] + 1) / (rare_n[k] + rare_v[k] + 1))
+            last, two, one = o, one, k
+        want.append((key(i), total))
+    got = sorted((key(r.doc_id), r.score) for r in lm.score_packed(packed, f).collect())
+    assert all(i == j and math.isclose(a, b, abs_tol=0.01) for (i, a), (j, b) in zip(got, sorted(want), strict=True))
+
+
+def test_lm_learns_from_the_words_before(spark):
+    rng = random.Random(3)
+    follow = {f"w{i}": f"w{(i * 17 + 5) % 50}" for i in range(50)}
+    rows = []
+    for i in range(300):
+        w = [f"w{rng.randrange(50)}"]
+        while len(w) < 40:
+            w.append(follow[w[-1]] if rng.random() < 0.9 else f"w{rng.randrange(50)}")
+        rows.append((i, " ".join(w)))
+    on = [r for r in lm.score_texts(docs(spark, rows)).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in on)
+    assert -sum(r.score for r in on) / tokens < 0.5 * -sum(r.base_score for r in on) / tokens
 
 
 def test_langid(spark):
@@ -359,6 +410,8 @@ def test_flac_round_trip_and_checksums(spark):
         bad[at] ^= 4
         with pytest.raises(ValueError):
             flac.decode_streams([bytes(bad)])
+    every = np.arange(256, dtype=np.uint8)
+    assert (media.payload_of((media.samples_of(every).astype(np.int16) - 128).astype(np.int8)) == every).all()
     rows = awkward(1)
     got = media.media_features(media.pcm_blocks(media.encode_media(docs(spark, rows)), 2)).collect()
     assert len(got) == len(rows) and media.media_features(media.pcm_blocks(media.encode_media(docs(spark, rows).limit(0)))).count() == 0
