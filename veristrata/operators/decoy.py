@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veristrata import config as C
 from veristrata.functions.columns import multiplicity
@@ -26,20 +27,24 @@ def check_options(alpha: float, unit: str, columns: list[str], needed: list[str]
 def q_sweep(psms: DataFrame, score: str, decoy: str, order: str, ascending: bool = False, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Psms with q: best score first (ties in row order), cumulative decoys over targets, then the least of those from there on.
 
-    Rows without a score keep no q. The order is global, but no task sees all rows: scores are dealt to range buckets, the
-    totals of the buckets give each its starting counts, and their minima the bound that comes from behind; only those
-    totals (a row a bucket) pass a single task. by: one sweep for each group.
+    Rows without a score keep no q. The order is global, but no task sees all rows: rows are dealt to ranges of the score, and
+    rows of one very common score to ranges of `order`; the totals of the ranges give each its starting counts, and their
+    minima the bound that comes from behind. Only those totals pass a single task. by: one sweep for each group, whose rows
+    are dealt to the same ranges.
     """
     by = by or []
-    live = psms.where(F.col(score).isNotNull())
-    rank = F.col(score).cast("double") * (1 if ascending else -1)
-    live = live.withColumn("_s", rank)
+    live = psms.where(F.col(score).isNotNull()).withColumn("_s", F.col(score).cast("double") * (1 if ascending else -1))
     n = buckets or max(2, int(psms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if by:
-        live = live.withColumn("_b", F.lit(0))
-    else:
-        cuts = live.agg(F.percentile_approx("_s", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []  # n - 1 numbers
-        live = live.withColumn("_b", F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("_s"))) if cuts else F.lit(0))
+    cuts = live.agg(F.percentile_approx("_s", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] or []  # n - 1 numbers
+    once, common = sorted(set(cuts)), sorted({c for c in cuts if cuts.count(c) > 1})
+    place = lambda own, c: F.size(F.filter(own, lambda x: x < c))
+    own = place(F.array(*[F.lit(float(c)) for c in once]), F.col("_s")) if once else F.lit(0)
+    live = live.withColumn("_r", 2 * own + F.col("_s").isin(common).cast("int") if common else 2 * own).withColumn("_o", F.lit(0))
+    if common and isinstance(psms.schema[order].dataType, T.NumericType):
+        parts = live.where(F.col("_s").isin(common)).groupBy("_s").agg(F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 10_000).alias("c")).collect()  # a row a common score
+        ranges = F.create_map(*[x for r in parts for x in (F.lit(r["_s"]), F.array(*[F.lit(float(c)) for c in sorted(set(r["c"]))]))])
+        live = live.withColumn("_o", F.coalesce(F.when(F.col("_s").isin(common), place(ranges[F.col("_s")], F.col(order))), F.lit(0)))
+    live = live.withColumn("_b", F.struct("_r", "_o")).drop("_r", "_o")
     key = [*by, "_b"]
     d = F.col(decoy).cast("long")
     totals = live.groupBy(*key).agg(F.sum(d).alias("_d"), F.sum(1 - d).alias("_t"))
@@ -52,7 +57,6 @@ def q_sweep(psms: DataFrame, score: str, decoy: str, order: str, ascending: bool
     least = rated.groupBy(*key).agg(F.min("_r").alias("_m")).select(*key, F.coalesce(F.min("_m").over(behind), F.lit(1.0)).alias("_m"))
     down = Window.partitionBy(*key).orderBy(F.desc("_s"), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     done = rated.join(least, key).withColumn("q", F.least(F.lit(1.0), F.col("_m"), F.min("_r").over(down)))
-    done = done.drop("_s", "_b", "_r", "_m", "_d0", "_t0")
     return done.select(*psms.columns, "q").unionByName(psms.where(F.col(score).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
@@ -66,6 +70,12 @@ def unit_rows(psms: DataFrame, unit: str, group: str = "class", peptide: str = "
     return psms if unit == "psm" else psms.select(group, peptide, decoy).distinct()
 
 
+def best_q(psms: DataFrame, peptide: str = "peptide", q: str = "q", decoy: str = "is_decoy") -> DataFrame:
+    """(peptide, q, targets, decoys): the lowest q of each peptide that has one, and its matches by label."""
+    per = psms.groupBy(peptide).agg(F.min(q).alias("q"), F.sum((~F.col(decoy)).cast("long")).alias("targets"), F.sum(F.col(decoy).cast("long")).alias("decoys"))
+    return per.where("q is not null")
+
+
 def fdr(d: Column, t: Column, convention: str = "plus-one") -> Column:
     """(D+1)/T or D/T."""
     return ((d + 1) if convention == "plus-one" else d) / F.greatest(t, F.lit(1))

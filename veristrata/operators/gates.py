@@ -41,6 +41,40 @@ def one_reader_of(fields: list[str], root: Path, allowed: set[str]) -> list[str]
     return found
 
 
+def expansion_holds(figures: DataFrame) -> None:
+    """Every peptide of a source cell has its claim, no gene-level row carries one, and every claim has its source row. figures: the row
+    of claims.expansion."""
+    r = figures.first()
+    require(r.peptide_claims == r.expected, f"expansion lost rows: {r.peptide_claims} claims of {r.expected} peptides")
+    require(r.gene_level_with_peptide == 0, f"{r.gene_level_with_peptide} gene-level rows carry a peptide")
+    require(r.without_lineage == 0, f"{r.without_lineage} claims without a source row")
+
+
+def prose_problems(texts: DataFrame, required: list[str], banned: list[str], exempt: str, section: str | None = None, text: str = "value") -> DataFrame:
+    """(problem, phrase, n): required phrases that no text has, and lines that assert a banned phrase, in any case. Lines that match
+    `exempt` say that a phrase is withdrawn; a section whose heading matches `section` is left out, up to the next heading."""
+    body = F.col(text)
+    if section:
+        body = F.regexp_replace(body, rf"(?ims)^##+[^\S\n]*{section}.*?(?=^##|\z)", "")
+    has = [F.coalesce(F.max(F.col(text).contains(p).cast("int")), F.lit(0)).alias(f"r{i}") for i, p in enumerate(required)]
+    one = texts.agg(*has) if has else None
+    lines = texts.select(F.explode(F.split(body, "\n")).alias("line")).where(~F.lower("line").rlike(exempt.lower()))
+    asserted = lines.select("line", F.explode(F.array(*[F.lit(b) for b in banned])).alias("phrase")).where(F.lower("line").contains(F.lower("phrase"))) if banned else None
+    out = []
+    if one is not None:
+        pairs = F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"r{i}").alias("has")) for i, p in enumerate(required)])
+        out.append(one.select(F.explode(pairs).alias("x")).where("x.has = 0").select(F.lit("missing").alias("problem"), "x.phrase", F.lit(1).cast("long").alias("n")))
+    if asserted is not None:
+        out.append(asserted.groupBy("phrase").agg(F.count("*").alias("n")).select(F.lit("asserted").alias("problem"), "phrase", "n"))
+    return out[0] if len(out) == 1 else out[0].unionAll(out[1])
+
+
+def numbers_hold(texts: DataFrame, numbers: dict[str, str], text: str = "value") -> list[str]:
+    """Labels whose number, written as it must stand in the prose, no text has."""
+    labels = {n: label for label, n in numbers.items()}
+    return sorted(labels[r.phrase] for r in prose_problems(texts, list(labels), [], "$^", text=text).collect())
+
+
 def not_empty(df: DataFrame, what: str) -> DataFrame:
     """G12."""
     require(not df.isEmpty(), f"no rows: {what}")

@@ -28,6 +28,16 @@ def last_wins(base: DataFrame, override: DataFrame, key: str, value: str, order:
     return base.join(last, key, "left").withColumn(value, F.coalesce("_v", value)).drop("_v")
 
 
+def linked_value(items: DataFrame, links: DataFrame, by_id: DataFrame, by_gene: DataFrame, entry: str, ident: str, gene: str, value: str) -> DataFrame:
+    """Items with the greatest value among the ids that an official link gives their entry, else that of their gene, and `via`: link,
+    gene or null. links: (entry, ident); by_id: (ident, value); by_gene: (gene, value), one row each. Items are only looked
+    up, so the maxima are made before they meet."""
+    official = links.join(by_id, ident).groupBy(entry).agg(F.max(value).alias("_l"))
+    t = items.join(official, entry, "left").join(by_gene.select(gene, F.col(value).alias("_g")), gene, "left")
+    via = F.when(F.col("_l").isNotNull(), "link").when(F.col("_g").isNotNull(), "gene")
+    return t.select(*items.columns, F.coalesce("_l", "_g").alias(value), via.alias("via"))
+
+
 def unattached(expected: DataFrame, attached: DataFrame, key: str) -> DataFrame:
     """Expected keys that nothing is attached to."""
     return expected.select(key).distinct().join(attached.select(key).distinct(), key, "left_anti")
@@ -40,6 +50,7 @@ def vector_max(items: DataFrame, vectors: DataFrame, item: str, gene: str, vecto
     return best.groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(vector))
 
 
-def class_loci(claims: DataFrame, group: str, locus: str) -> DataFrame:
-    """Claims of each class and locus."""
-    return claims.groupBy(group, locus).agg(F.count("*").alias("weight"))
+def class_loci(claims: DataFrame, group: str, locus: str, classes: list[str], skip: list[str]) -> DataFrame:
+    """Claims of each locus of some classes; loci that are no name (`skip`, in lower case) are left out."""
+    t = claims.where(F.col(group).isin(classes)).withColumn(locus, F.trim(F.coalesce(F.col(locus), F.lit(""))))
+    return t.where(~F.lower(locus).isin(skip)).groupBy(group, locus).agg(F.count("*").alias("weight"))

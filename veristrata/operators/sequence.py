@@ -1,4 +1,4 @@
-"""K-mers and containment joins (J1-J12, A8-A11, A15, A17, U1-U4). No substring join is ever a nested loop: windows or seeds make it equi."""
+"""K-mers and containment joins (J1-J12, A8-A11, A15, A17, A25, P28, U1-U4). No substring join is ever a nested loop: windows or seeds make it equi."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 #: Characters of the pieces that long texts are read in: a place in a string is found from its start, so whole texts would cost
 #: the square of their length.
 SEGMENT = 512
+#: Bytes of query sequences up to which every task holds them all; beyond, they are shuffled by seed.
+HELD_BYTES = 32 << 20
+#: Query lengths up to which one window of each length is made; with more, sequences are found by seeds.
+LENGTHS = 64
 
 
-def segments(df: DataFrame, text: str, keep: list[str], overlap: int) -> DataFrame:
-    """(keep..., base, text): pieces that start every SEGMENT characters and reach `overlap` characters further."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(SEGMENT))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("base"), F.substr(F.col(text), i + 1, F.lit(SEGMENT + overlap)).alias("piece")))
+def segments(df: DataFrame, text: str, keep: list[str], overlap: int, size: int = SEGMENT) -> DataFrame:
+    """(keep..., base, text): pieces that start every `size` characters and reach `overlap` characters further."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("base"), F.substr(F.col(text), i + 1, F.lit(size + overlap)).alias("piece")))
     return df.where(F.col(text).isNotNull()).select(*keep, F.explode(cut).alias("_x")).select(*keep, F.col("_x.base").alias("base"), F.col("_x.piece").alias(text))
 
 
@@ -31,24 +35,30 @@ def windows(df: DataFrame, text: str, lengths: list[int], keep: list[str]) -> Da
     return out.withColumn("length", F.length("window"))
 
 
-def lengths_of(queries: DataFrame, sequence: str, most: int = 64) -> list[int]:
-    """The lengths that occur among the queries; more than `most` different ones are refused, not cut."""
+def lengths_of(queries: DataFrame, sequence: str, most: int = LENGTHS) -> list[int] | None:
+    """The lengths that occur among the queries; None if there are more than `most`."""
     found = [r[0] for r in queries.where(F.col(sequence) != "").select(F.length(sequence)).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} query lengths: use seed_matches")
-    return sorted(found)
+    return sorted(found) if len(found) <= most else None
 
 
 def contained(queries: DataFrame, refs: DataFrame, sequence: str = "seq", text: str = "text", lengths: list[int] | None = None) -> DataFrame:
     """The distinct query sequences that are a substring of some reference."""
-    lengths = lengths or lengths_of(queries, sequence)
-    q = queries.select(sequence).distinct()
+    lengths = lengths if lengths is not None else lengths_of(queries, sequence)
+    q = queries.select(sequence).where(F.col(sequence) != "").distinct()
+    if lengths is None:
+        return _seeded(q, refs, [], sequence, text).select(sequence).distinct()
     if not lengths:
         return q.limit(0)
     w = windows(refs.where(F.col(text).isNotNull()), text, lengths, []).select(F.col("window").alias(sequence)).distinct()
     return q.join(w, sequence, "left_semi")
 
 
+def _seeded(queries: DataFrame, refs: DataFrame, keep: list[str], sequence: str, text: str) -> DataFrame:
+    """seed_matches for queries of very many lengths: a seed of the shortest length there is."""
+    least = queries.where(F.col(sequence) != "").agg(F.min(F.length(sequence))).first()[0] or 1
+    return seed_matches(queries, refs, keep, least, sequence, text)
+
+
 def collapse_il(c: Column) -> Column:
     """I and L are one residue."""
     return F.translate(c, "I", "L")
@@ -56,27 +66,81 @@ def collapse_il(c: Column) -> Column:
 
 def matches(queries: DataFrame, refs: DataFrame, keep: list[str], sequence: str = "seq", text: str = "text", lengths: list[int] | None = None) -> DataFrame:
     """(sequence, keep...) for each reference row that holds the sequence."""
-    lengths = lengths or lengths_of(queries, sequence)
+    lengths = lengths if lengths is not None else lengths_of(queries, sequence)
+    if lengths is None:
+        return _seeded(queries, refs, keep, sequence, text)
     w = windows(refs.where(F.col(text).isNotNull()), text, lengths or [1], keep).drop("length").withColumnRenamed("window", sequence)
     return queries.select(sequence).distinct().join(w, sequence)
 
 
-def seed_matches(queries: DataFrame, refs: DataFrame, keep: list[str], seed: int, sequence: str = "seq", text: str = "text") -> DataFrame:
-    """The same by a seed of the first `seed` characters; texts come back, by keep, only where a seed hit, to check the rest.
-    Lengths may be anything from seed on."""
-    n = F.length(text)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - (seed - 1), F.lit(1))), lambda i: F.struct((F.col("base") + i).alias("at"), F.substr(F.col(text), i, F.lit(seed)).alias("seed")))
-    at = segments(refs, text, keep, seed - 1).where(n >= seed).select(*keep, F.explode(cut).alias("_x"))
-    q = queries.where(F.length(sequence) >= seed).select(sequence).distinct().withColumn("_seed", F.substring(sequence, 1, seed))
-    near = at.select(*keep, F.col("_x.at").alias("_at"), F.col("_x.seed").alias("_seed")).join(q, "_seed").drop("_seed")
-    hit = near.join(refs.select(*keep, F.col(text).alias("_text")), keep).where(F.substr("_text", "_at", F.length(sequence)) == F.col(sequence))
-    return hit.select(sequence, *keep).distinct()
+def seed_matches(queries: DataFrame, refs: DataFrame, keep: list[str], seed: int, sequence: str = "seq", text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """J6, J8, J12, and with `by` J9: distinct (sequence, by..., keep...) of references that hold the sequence, found by a seed of its
+    first `seed` characters; lengths may be anything from seed on. by: columns of both sides that must be equal.
+
+    References are read in pieces that overlap by the longest query, so a candidate is checked within its piece. Up to
+    HELD_BYTES of queries, every task holds them by seed and nothing of the references is shuffled before it matches. More
+    queries meet the references' seeds in a shuffle, without the pieces, and pieces come back where a seed hit.
+    """
+    by = by or []
+    q = queries.where(F.length(sequence) >= seed).select(sequence, *by).distinct()
+    size = q.agg(F.sum(F.length(sequence) + 40 * (1 + len(by))).alias("bytes"), F.max(F.length(sequence)).alias("longest")).first()
+    return _seed_join(q, refs, keep, seed, sequence, text, by, size.longest or seed, (size.bytes or 0) <= HELD_BYTES)
+
+
+def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, sequence: str, text: str, by: list[str], longest: int, held: bool) -> DataFrame:
+    n, size = F.length(text), max(SEGMENT, longest)
+    places = F.transform(F.sequence(F.lit(1), F.least(F.lit(size), F.greatest(n - (seed - 1), F.lit(1)))), lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i, F.lit(seed)).alias("seed")))
+    cols = list(dict.fromkeys([*by, *keep]))
+    pieces = segments(refs, text, cols, longest - 1, size).where(n >= seed)
+    q = q.withColumn("_seed", F.substring(sequence, 1, seed))
+    fits = F.substr(F.col(text), F.col("_x.at"), F.length(sequence)) == F.col(sequence)
+    if held:
+        at = pieces.select(*cols, text, F.explode(places).alias("_x")).withColumn("_seed", F.col("_x.seed"))
+        return at.join(F.broadcast(q), [*by, "_seed"]).where(fits).select(sequence, *cols).distinct()
+    at = pieces.select(*cols, "base", F.explode(places).alias("_x")).withColumn("_seed", F.col("_x.seed"))
+    near = at.join(q, [*by, "_seed"]).select(sequence, *cols, "base", "_x")
+    return near.join(pieces, [*cols, "base"]).where(fits).select(sequence, *cols).distinct()
+
+
+def in_own_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str = "seq", text: str = "text", seed: int | None = None) -> DataFrame:
+    """(sequence, group, own): whether a reference of the same group holds the sequence; by seeds within the group. An empty
+    sequence is in no reference."""
+    q = queries.select(sequence, group).distinct()
+    least = seed or q.where(F.col(sequence) != "").agg(F.min(F.length(sequence))).first()[0] or 1
+    own = seed_matches(q, refs.where(F.col(group).isNotNull()), [], least, sequence, text, [group]).withColumn("own", F.lit(True))
+    return q.join(own, [sequence, group], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+
+
+def gene_level(found: DataFrame, gene: str, own: str = "own") -> DataFrame:
+    """One row: genes with a sequence that matches something, and those of which one lies in the gene's own references."""
+    per = found.groupBy(gene).agg(F.bool_or(own).alias("_own"))
+    return per.agg(F.count("*").alias("genes"), F.coalesce(F.sum(F.col("_own").cast("long")), F.lit(0)).alias("own"))
 
 
-def in_own_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str = "seq", text: str = "text") -> DataFrame:
-    """(sequence, group, own): whether a reference of the same group holds the sequence. Equi on the group, residual contains."""
-    both = queries.select(sequence, group).distinct().join(refs.select(group, F.col(text).alias("_text")), group, "left")
-    return both.groupBy(sequence, group).agg(F.coalesce(F.bool_or(F.col("_text").contains(F.col(sequence))), F.lit(False)).alias("own"))
+def frame_audit(found: DataFrame, coding: DataFrame, gene: str, is_self: str, own: str = "own") -> DataFrame:
+    """A10: (is_self, n, coding, own): sequences whose gene has references at all, and those that lie in them, by self or not."""
+    t = found.join(coding.select(gene).distinct().withColumn("_coding", F.lit(1)), gene, "left")
+    return t.groupBy(is_self).agg(F.count("*").alias("n"), F.count("_coding").alias("coding"), F.sum(F.col(own).cast("long")).alias("own"))
+
+
+def self_fraction(accepted: DataFrame, refs: DataFrame, skip: tuple[str, ...] = ("canonical", "variant"), group: str = "class", peptide: str = "peptide", decoy: str = "is_decoy", text: str = "text") -> DataFrame:
+    """(class, n_target_peptides, canonical_self, canonical_self_frac) of the distinct accepted target peptides of each class that isn't
+    in `skip`."""
+    seq = F.upper(F.col(peptide)).alias("_seq")
+    t = accepted.where(~F.col(group).isin(list(skip)) & ~F.col(decoy) & (F.coalesce(F.col(peptide), F.lit("")) != "")).select(group, seq).distinct()
+    both = flagged(t, contained(t, refs, "_seq", text), "_seq", "_self")
+    per = both.groupBy(group).agg(F.count("*").alias("n_target_peptides"), F.sum(F.col("_self").cast("long")).alias("canonical_self"))
+    return per.withColumn("canonical_self_frac", F.round(F.col("canonical_self") / F.col("n_target_peptides"), 4))
+
+
+def in_band(c: Column, low: int = 8, high: int = 11) -> Column:
+    """P28."""
+    return F.length(c).between(low, high)
+
+
+def minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of a that b lacks."""
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
 def kmers(df: DataFrame, text: str, k: int) -> DataFrame:
@@ -130,8 +194,16 @@ def reference_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def catalogue_union(*parts: DataFrame) -> DataFrame:
-    """Concatenation of sources with different columns."""
+    """U4: concatenation of sources with different columns."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def sequence_union(*parts: DataFrame, key: str = "seq") -> DataFrame:
+    """The distinct keys of several catalogues."""
+    out = parts[0].select(key)
+    for p in parts[1:]:
+        out = out.unionAll(p.select(key))
+    return out.distinct()

@@ -104,7 +104,30 @@ def standardized_mean(df: DataFrame, value: str, stratum: str, by: str, renormal
     return cells.groupBy(by).agg(top.alias("t"), F.sum("w").alias("w")).crossJoin(F.broadcast(total)).select(by, (F.col("t") / (F.col("w") if renormalize else F.col("all"))).alias("mean"))  # one row
 
 
-def never_falls(df: DataFrame, order: str, value: str) -> bool:
-    """The value doesn't fall along the order; for small reports."""
-    rows = df.orderBy(order).select(value).collect()
-    return all(a[0] <= b[0] for a, b in zip(rows, rows[1:], strict=False))
+def monotone(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One row: steps along the order, steps up, and whether the value never falls. df is a report: a row a bin."""
+    last = F.lag(value).over(Window.orderBy(order))
+    steps = df.select(F.col(value).alias("v"), last.alias("p")).where("p is not null")
+    return steps.agg(F.count("*").alias("steps"), F.coalesce(F.sum((F.col("v") > F.col("p")).cast("long")), F.lit(0)).alias("up"), F.coalesce(F.bool_and(F.col("v") >= F.col("p")), F.lit(True)).alias("never_falls"))
+
+
+def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """The k first rows, or those of each group; each task passes k rows a group at most."""
+    if not by:
+        return df.orderBy(*order).limit(k)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+
+
+def last_minus_first(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One row: the value of the last bin less that of the first."""
+    return df.agg((F.max_by(value, order) - F.min_by(value, order)).alias("difference"))
+
+
+def cross_tab(df: DataFrame, row: str, column: str, values: list[str], flag: Column) -> DataFrame:
+    """(row, <value>_n, <value>_hits ...): rows and flagged rows of each row label and column value, in one pass."""
+    sums = []
+    for v in values:
+        on = F.col(column) == v
+        sums += [F.sum(on.cast("long")).alias(f"{v}_n"), F.sum((on & flag).cast("long")).alias(f"{v}_hits")]
+    return df.groupBy(row).agg(*sums)

@@ -10,8 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A claim a document; its sequence is the alphabetically last word of seven letters or more in the whole text.
 CLAIMS = """
-SELECT d.doc_id AS claim_id, upper(regexp_extract(d.text, '[A-Za-z]{{7,}}', 0)) AS peptide_sequence, d.source || '_' || CAST(d.n_chars AS STRING) || 'aa' AS orf_id_or_locus,
+SELECT d.doc_id AS claim_id, upper(coalesce({last_word}, '')) AS peptide_sequence, d.source || '_' || CAST(d.n_chars AS STRING) || 'aa' AS orf_id_or_locus,
   CASE d.lang WHEN 'en' THEN 'lncRNA-ORF' WHEN 'fr' THEN 'uORF' WHEN 'de' THEN 'altORF' WHEN 'es' THEN 'pseudogene-ORF' ELSE 'odd class' END AS orf_class,
   CASE WHEN d.n_chars % 2 = 0 THEN 'TSA' ELSE 'TAA' END AS antigen_type, d.lang AS cancer_type,
   CASE WHEN d.n_chars % 5 = 0 THEN 'HLA-A*02:01' WHEN d.n_chars % 5 = 1 THEN ' NA ' ELSE 'not reported' END AS hla_allele,
@@ -37,10 +38,10 @@ LENGTHS = list(range(6, 13))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CLAIMS, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    return spark.sql(CLAIMS.replace("{last_word}", "array_max(regexp_extract_all(d.text, '[A-Za-z]{{7,}}', 0))"), documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
-CLAIMS_SQL = CLAIMS.format(documents="documents", labels="labels")
+CLAIMS_SQL = CLAIMS.format(documents="documents", labels="labels", last_word="list_max(regexp_extract_all(d.text, '[A-Za-z]{7,}'))")
 
 
 def _words(df: DataFrame, *keep) -> DataFrame:

@@ -217,18 +217,11 @@ def compatible_sources(spark, d):
     return m.agg(F.count("*").alias("n"), stats.exact_median("k").alias("median"), F.max("k").alias("most"), F.sum((F.col("k") == 1).cast("long")).alias("one"), F.sum((F.col("k") <= 2).cast("long")).alias("upto_two"))
 
 
-@query(f"WITH o AS ({B.OCCURRENCES_SQL}), p AS (SELECT DISTINCT seq, gene FROM o), t AS (SELECT source AS gene, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS text FROM documents WHERE n_chars < 500) SELECT gene, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM t WHERE t.gene = p.gene AND contains(t.text, p.seq))) AS own FROM p GROUP BY gene")
-def own_gene_frame_audit(spark, d):
-    refs = B.table(spark, d, "documents").where("n_chars < 500").select(F.col("source").alias("gene"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("text"))
-    p = B.occurrences(spark, d).select("seq", "gene").distinct()
-    own = sequence.matches(p, refs, ["gene"], lengths=B.LENGTHS).distinct().withColumn("own", F.lit(1))
-    return p.join(own, ["seq", "gene"], "left").groupBy("gene").agg(F.count("*").alias("n"), F.count("own").alias("own"))
-
-
-@query(f"WITH {_OR}, x AS (SELECT seq FROM q WHERE EXISTS (SELECT 1 FROM r WHERE item_id < 20 AND contains(r.text, q.seq))), y AS (SELECT seq FROM q WHERE EXISTS (SELECT 1 FROM r WHERE item_id >= 10 AND contains(r.text, q.seq))) SELECT (SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) AS both, (SELECT count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y)) AS only_a, (SELECT count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x)) AS only_b")
+@query(f"WITH {_OR}, c AS (SELECT upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS text FROM conversations), x AS (SELECT seq FROM h WHERE hit), y AS (SELECT seq FROM q WHERE EXISTS (SELECT 1 FROM c WHERE contains(c.text, q.seq))) SELECT (SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) AS both, (SELECT count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y)) AS only_a, (SELECT count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x)) AS only_b")
 def era_reference_diff(spark, d):
-    q, r = B.occurrences(spark, d).select("seq").distinct(), B.references(spark, d)
-    return sequence.reference_difference(sequence.contained(q, r.where("item_id < 20"), lengths=B.LENGTHS), sequence.contained(q, r.where("item_id >= 10"), lengths=B.LENGTHS), "seq")
+    q = B.occurrences(spark, d).select("seq").distinct()
+    later = B.table(spark, d, "conversations").select(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("text"))
+    return sequence.reference_difference(sequence.contained(q, B.references(spark, d), lengths=B.LENGTHS), sequence.contained(q, later, lengths=B.LENGTHS), "seq")
 
 
 def _library(spark, d) -> DataFrame:
@@ -452,3 +445,6 @@ def permutation_null(spark, d):
 def shuffle_null(spark, d):
     q = B.occurrences(spark, d).select("seq").distinct().select(resample.shuffled(F.col("seq"), 7).alias("seq")).distinct()
     return sequence.contained(q, B.references(spark, d), lengths=B.LENGTHS).agg(F.count("*").alias("n"))
+
+
+from veristrata.plans import files, inference  # noqa: E402, F401  they add their queries

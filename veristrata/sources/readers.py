@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,16 @@ def claims_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def positional(spark: SparkSession, path: str, fields: int, min_fields: int = 1, sep: str = "\t", skip: int = 1) -> DataFrame:
-    """Fields by place (_c0 ...); lines with fewer than min_fields go, as do the first `skip` lines of each file."""
+    """Fields by place (_c0 ...); lines with fewer than min_fields go, as do the first `skip` lines of each file. A field
+    in double quotes may hold the separator, and doubled quotes in it are one; a record is one line."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_row_idx"))
     if skip:
         first = lines.where("_b = 0").groupBy("_f").agg(F.min("_row_idx").alias("_first"))
         lines = lines.join(F.broadcast(first), "_f", "left").where(F.col("_row_idx") >= F.col("_first") + skip)  # a row a file
-    parts = lines.select("_row_idx", F.split("value", sep, -1).alias("p")).where(F.size("p") >= min_fields)
+    s = re.escape(sep)
+    bare = F.split("value", s, -1)
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(sep), F.col("value")), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)'), 1), lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    parts = lines.select("_row_idx", F.when(F.col("value").contains('"'), quoted).otherwise(bare).alias("p")).where(F.size("p") >= min_fields)
     return parts.select("_row_idx", *[F.get("p", F.lit(i)).alias(f"_c{i}") for i in range(fields)])
 
 
@@ -52,6 +57,8 @@ def normal_ligands(spark: SparkSession, path: str, mhc_class: str = "HLA-I") ->
 def fasta(spark: SparkSession, path: str, species: str | None = None) -> DataFrame:
     """(protein_idx, header, acc, entry, gene, seq), upper-cased; species: an OX= number that headers must have."""
     raw = spark.read.option("lineSep", "\n>").text(path).withColumn("protein_idx", F.monotonically_increasing_id())
+    if path.endswith(".gz"):  # one task reads a compressed file; what follows is shared out
+        raw = raw.repartition(spark.sparkContext.defaultParallelism)
     rec = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(rec, r"^([^\r\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace(rec, r"^[^\r\n]*", ""), r"[^A-Za-z]", ""))
@@ -111,6 +118,18 @@ def gtf(spark: SparkSession, path: str, feature: str) -> DataFrame:
     return t.select(got("gene_id").alias("gene_id"), got("transcript_id").alias("transcript_id"), got("gene_name").alias("gene_name"), "_row_idx")
 
 
+def transcript_genes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(transcript_id, gene_id), the last row of each transcript, and (gene_name, gene_id), the first row of each name."""
+    t = gtf(spark, path, "transcript")
+    last = t.where("transcript_id is not null").groupBy("transcript_id").agg(F.max_by("gene_id", "_row_idx").alias("gene_id"))
+    return last, t.where("gene_name is not null").groupBy("gene_name").agg(F.min_by("gene_id", "_row_idx").alias("gene_id"))
+
+
+def gene_names(spark: SparkSession, path: str) -> DataFrame:
+    """(gene_name, gene_id) of gene rows, the last of each name."""
+    return gtf(spark, path, "gene").where("gene_name is not null").groupBy("gene_name").agg(F.max_by("gene_id", "_row_idx").alias("gene_id"))
+
+
 def gene_info(spark: SparkSession, path: str) -> DataFrame:
     """(gene_id, kind, name): symbols, synonyms and Ensembl cross references."""
     t = positional(spark, path, 6, min_fields=6)
