@@ -6,12 +6,13 @@ operators 5 and 9.
 2. Which minimisers two documents or more have is asked of buckets (exchange).
 3. Consecutive windows with one such minimiser travel as one packed string to its shard, each distinct string of a packed
    row once, with the smallest and largest id that has it. Windows of a minimiser that very many packed rows share (HOT)
-   travel singly, dealt out by their own content: a shard then gets no more copies of a window than there are packed rows.
-4. A shard finds equal windows by sorting (how is the operator's part) and sends back, to each packed row, runs of windows
-   with the smallest id that has them, where that can matter.
+   travel singly, dealt out by their own content, and are first made one for each FOLD packed rows: a shard gets no more
+   copies of a window than there are such folds, and a fold no more than FOLD.
+4. A shard finds equal windows by sorting (how is the operator's part) and sends back, to each packed row or fold, runs of
+   windows with the smallest id that has them, where that can matter. Folds pass it on to their packed rows.
 5. Each packed row marks what is covered.
 
-Every exchange is keyed by bucket, shard or packed row; their number follows the bytes of text, so groups stay bounded.
+Every exchange is keyed by bucket, shard, fold or packed row; their number follows the bytes of text, so groups stay bounded.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import Words, mix, pack, pair_hash, rest_of, shifted_hash, squeeze, stretch, tidy, unpack
+from veristrata.llm.common import Words, mix, pack, pair_hash, rest_of, shifted_hash, squeeze, store, stretch, tidy, unpack
 from veristrata.llm.exchange import Exchange, answers_of, spread
 
 K, M = 50, 16
@@ -32,6 +33,8 @@ K, M = 50, 16
 SHARD_BYTES, LEAST = 4 << 20, 24
 #: Level (1 + log2 of the packed rows that share it) from which a minimiser's windows travel singly.
 HOT = 10
+#: Packed rows whose hot windows meet before they go to a shard.
+FOLD = 4096
 
 U = np.uint64
 
@@ -95,6 +98,64 @@ def runs_of(mv: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
+SENT = "shard int, hot boolean, src long, n int, index binary, lens binary, wins binary, lo binary, hi binary, body binary"
+
+
+class Strings:
+    """What some sent rows hold: for each string its row, place in it, windows, smallest and largest id; `which` of the distinct
+    strings, in byte order, it is."""
+
+    def __init__(self, t: pa.Table):
+        n = t.column("n").to_numpy()
+        cat = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+        self.src = t.column("src").to_numpy()
+        self.index, self.lens, self.wins, self.lo, self.hi = cat("index", np.int32), cat("lens", np.int32).astype(np.int64), cat("wins", np.int32).astype(np.int64), cat("lo", np.int64), cat("hi", np.int64)
+        self.row = np.repeat(np.arange(len(n)), n)
+        view, ends = np.concatenate([stretch(x, np.uint8) for x in t.column("body").to_pylist()]).tobytes(), np.cumsum(self.lens)
+        found = [view[e - m : e] for e, m in zip(ends.tolist(), self.lens.tolist(), strict=True)]
+        self.distinct = sorted(set(found))
+        slot = dict(zip(self.distinct, range(len(self.distinct)), strict=True))
+        self.which = np.fromiter(map(slot.__getitem__, found), np.int64, len(found))
+
+
+def folded(hot: DataFrame, folds: int) -> DataFrame:
+    """The sent rows of each shard and fold as one row: each window once, with the smallest and largest id that has it."""
+
+    def run(key, t):
+        s = Strings(t)
+        order, _, first = spread(s.which)
+        lens = np.fromiter(map(len, s.distinct), np.int32, len(s.distinct))
+        row = (key[0].as_py(), True, -1 - (key[0].as_py() * folds + key[1].as_py()), len(lens), np.arange(len(lens), dtype=np.int32).tobytes(), lens.tobytes(), np.ones(len(lens), np.int32).tobytes(), np.minimum.reduceat(s.lo[order], first).tobytes(), np.maximum.reduceat(s.hi[order], first).tobytes(), squeeze(np.frombuffer(b"".join(s.distinct), np.uint8)))
+        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int32()] + [pa.binary()] * 6
+        tidy()
+        return pa.table({c.split()[0]: pa.array([v], t) for c, v, t in zip(SENT.split(", "), row, kinds, strict=True)})
+
+    return hot.groupBy("shard", "fold").applyInArrow(run, SENT)
+
+
+def unfolded(hot: DataFrame, answers: DataFrame, folds: int) -> DataFrame:
+    """The answers to folds, passed on to their packed rows: (src, answer)."""
+
+    def run(key, left, right):
+        out = {"src": [], "answer": []}
+        if left.num_rows and right.num_rows:
+            s = Strings(left)
+            value = np.full(len(s.distinct), np.iinfo(np.int64).max)
+            for x in right.column("answer").to_pylist():
+                index, _, _, v = stretch(x, np.int64).reshape(4, -1)
+                value[index] = v
+            own = value[s.which]
+            for r in np.unique(s.row[own < s.hi]).tolist():
+                i = np.flatnonzero((s.row == r) & (own < s.hi))
+                out["src"].append(int(s.src[r]))
+                out["answer"].append(squeeze(np.concatenate([s.index[i].astype(np.int64), np.zeros(len(i), np.int64), np.ones(len(i), np.int64), own[i]])))
+        tidy()
+        return pa.table({"src": pa.array(out["src"], pa.int64()), "answer": pa.array(out["answer"], pa.binary())})
+
+    own = hot.withColumn("to", -1 - (F.col("shard").cast("long") * folds + F.col("fold")))
+    return own.groupBy("to").cogroup(answers.withColumnRenamed("src", "to").groupBy("to")).applyInArrow(run, "src long, answer binary")
+
+
 def _bucket(mini: np.ndarray, n: int) -> np.ndarray:
     return (mix(mini) % U(n)).astype(np.int64)
 
@@ -104,8 +165,9 @@ def mark_windows(docs: DataFrame, unit: Callable, equal: Callable, finish: Calla
     has it; finish(ids, data, offs, units, covered, rest) gives a table of `schema` for the documents of a
     packed row; rest: their columns `keep`."""
     packed = pack(docs, name, keep=keep)
-    total = packed.agg(F.sum("bytes")).first()[0] or 0
-    exchange, n_shards = Exchange(total), max(LEAST, total // SHARD_BYTES)
+    size = packed.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")).first()
+    total = size.bytes or 0
+    exchange, n_shards, folds = Exchange(total), max(LEAST, total // SHARD_BYTES), max(1, size.rows // FOLD)
 
     def distinct(u: Units):
         """The runs of a packed row, its distinct minimisers and the number of each run's."""
@@ -147,10 +209,10 @@ def mark_windows(docs: DataFrame, unit: Callable, equal: Callable, finish: Calla
         key = np.fromiter((h(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)), U, len(a))
         shard = _bucket(np.where(hot, mix(key), mini), n_shards)
         order, _, first = spread(pair_hash(key, mini))
-        return start, wins, doc, order, first, a, b, shard
+        return start, wins, doc, order, first, a, b, 2 * shard + hot
 
     def send(key, left, right):
-        out = {"shard": [], "src": [], "n": [], "index": [], "lens": [], "wins": [], "lo": [], "hi": [], "body": []}
+        out = {"shard": [], "hot": [], "src": [], "n": [], "index": [], "lens": [], "wins": [], "lo": [], "hi": [], "body": []}
         if left.num_rows and right.num_rows:
             ids, data, offs, u, told = _open(left, right, unit)
             start, wins, doc, order, first, a, b, shard = pieces(data, u, told)
@@ -159,33 +221,26 @@ def mark_windows(docs: DataFrame, unit: Callable, equal: Callable, finish: Calla
                 lo, hi = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
                 one = order[first]
                 by = np.argsort(shard[one])
-                cut = np.searchsorted(shard[one][by], np.arange(n_shards + 1))
+                cut = np.searchsorted(shard[one][by], np.arange(2 * n_shards + 1))
                 for p in np.flatnonzero(np.diff(cut)):
                     i = by[cut[p] : cut[p + 1]]
                     a_, n_ = a[one[i]], b[one[i]] - a[one[i]]
                     take = np.repeat(a_ - (np.cumsum(n_) - n_), n_) + np.arange(int(n_.sum()))
-                    for c, v in zip(out, (int(p), int(key[0].as_py()), len(i), i.astype(np.int32).tobytes(), n_.astype(np.int32).tobytes(), wins[one[i]].astype(np.int32).tobytes(), lo[i].tobytes(), hi[i].tobytes(), squeeze(data[take])), strict=True):
+                    for c, v in zip(out, (int(p) // 2, bool(p % 2), int(key[0].as_py()), len(i), i.astype(np.int32).tobytes(), n_.astype(np.int32).tobytes(), wins[one[i]].astype(np.int32).tobytes(), lo[i].tobytes(), hi[i].tobytes(), squeeze(data[take])), strict=True):
                         out[c].append(v)
-        kinds = [pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 6
+        kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int32()] + [pa.binary()] * 6
         tidy()
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds, strict=True)})
 
-    sent = packed.select("src", "ids", "lens", "body", "rest").groupBy("src").cogroup(known.groupBy("src")).applyInArrow(send, "shard int, src long, n int, index binary, lens binary, wins binary, lo binary, hi binary, body binary")
+    sent = packed.select("src", "ids", "lens", "body", "rest").groupBy("src").cogroup(known.groupBy("src")).applyInArrow(send, SENT)
 
     def judge(t):
-        n = t.column("n").to_numpy()
-        cat = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-        index, lens, wins, lo, hi = cat("index", np.int32), cat("lens", np.int32).astype(np.int64), cat("wins", np.int32).astype(np.int64), cat("lo", np.int64), cat("hi", np.int64)
-        body = np.concatenate([stretch(x, np.uint8) for x in t.column("body").to_pylist()])
-        row = np.repeat(np.arange(len(n)), n)
-        ends = np.cumsum(lens)
-        view = body.tobytes()
-        slot: dict[bytes, int] = {}
-        which = np.fromiter((slot.setdefault(view[e - m : e], len(slot)) for e, m in zip(ends.tolist(), lens.tolist(), strict=True)), np.int64, len(ends))
+        s = Strings(t)
+        row, index, which, hi = s.row, s.index, s.which, s.hi
         order, _, first = spread(which)
-        least = np.minimum.reduceat(lo[order], first)
-        w = wins[order[first]]
-        best = equal(list(slot), least, w)  # a window after the other
+        least = np.minimum.reduceat(s.lo[order], first)
+        w = s.wins[order[first]]
+        best = equal(s.distinct, least, w)  # a window after the other
         # runs of equal answers in each distinct string
         base = np.cumsum(w) - w
         new = np.append(True, best[1:] != best[:-1])
@@ -201,13 +256,20 @@ def mark_windows(docs: DataFrame, unit: Callable, equal: Callable, finish: Calla
         src_of = np.repeat(np.arange(len(which)), many)
         on = value[j] < hi[src_of]
         j, src_of = j[on], src_of[on]
-        cut = np.searchsorted(row[src_of], np.arange(len(n) + 1))
+        cut = np.searchsorted(row[src_of], np.arange(len(s.src) + 1))
         have = np.flatnonzero(np.diff(cut))
         tidy()
         made = [np.concatenate([index[src_of[cut[r] : cut[r + 1]]].astype(np.int64), rs[j[cut[r] : cut[r + 1]]], rl[j[cut[r] : cut[r + 1]]], value[j[cut[r] : cut[r + 1]]]]) for r in have]
-        return pa.table({"src": pa.array(t.column("src").to_numpy()[have], pa.int64()), "answer": pa.array([squeeze(x) for x in made], pa.binary())})
-
-    answers = sent.groupBy("shard").applyInArrow(judge, "src long, answer binary")
+        return pa.table({"src": pa.array(s.src[have], pa.int64()), "answer": pa.array([squeeze(x) for x in made], pa.binary())})
+
+    if folds > 1:
+        sent = store(sent, name + "-sent")
+        hot = sent.where("hot").withColumn("fold", F.pmod(F.xxhash64("src"), F.lit(folds)))
+        both = sent.where("not hot").unionAll(folded(hot, folds))
+        made = store(both.groupBy("shard").applyInArrow(judge, "src long, answer binary"), name + "-judged")
+        answers = made.where("src >= 0").unionAll(unfolded(hot, made.where("src < 0"), folds))
+    else:
+        answers = sent.groupBy("shard").applyInArrow(judge, "src long, answer binary")
     # one row of replies for each packed row: what was known, and what the shards said
     replies = known.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers.select("src", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("heat"), "answer"))
 
