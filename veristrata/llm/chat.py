@@ -73,17 +73,24 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
         escaped = [a or b for a, b in zip(escaped, bad, strict=True)]
 
 
+#: Characters of formatted conversations that are sent on together.
+PENDING = 1 << 20
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) from (conv_id, turn, role, text).
 
-    Turns are sorted within their partition and read as a stream; a worker holds one conversation at a time.
+    Turns are sorted within their partition and read as a stream; a worker holds one conversation, and some PENDING characters of
+    formatted ones. Rows without conv_id are one conversation.
     """
 
     def run(batches):
-        key, turns, done = None, [], []
+        key, turns, done, size = None, [], [], 0
 
         def flush():
+            nonlocal size
             text, spans = format_turns(turns)
+            size += len(text)
             done.append((key[0], text, [{"start": a, "end": b} for a, b in spans]))
 
         def batch():
@@ -98,8 +105,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
                         flush()
                     key, turns = (c,), []
                 turns.append((role, text))
-                if len(done) >= 500:
-                    yield batch()
+                if size > PENDING or len(done) >= 500:
+                    size = 0
+                    if done:
+                        yield batch()
         if key is not None:
             flush()
         if done:
