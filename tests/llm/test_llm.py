@@ -76,10 +76,12 @@ def test_substring_and_suffix(spark, seed):
     assert Counter(map(tuple, suffix.dedup_bytes(docs(spark, rows), texts=False).collect())) == want
 
 
-def test_hot_windows_travel_singly(spark, monkeypatch):
+@pytest.mark.parametrize("fold", [4096, 1])
+def test_hot_windows_travel_singly(spark, monkeypatch, fold):
     from veristrata.llm import superkmer
 
     monkeypatch.setattr(superkmer, "HOT", 1)
+    monkeypatch.setattr(superkmer, "FOLD", fold)
     rows = [r for r in awkward(3) if r[0] != 12]
     words = [(i, (t or "").split()) for i, t in rows]
     want = Counter((i, sum(g)) for (i, _), g in zip(words, brute_spans(words, 50), strict=True))
@@ -503,6 +505,59 @@ def test_decontamination_of_thousands_of_items_loses_no_near_copy(spark):
     assert len(want) > 400 and want <= got
 
 
+def test_decontamination_finds_paraphrases(spark):
+    """Recall against brute force: LCS of half to three quarters, and the answer, with words put in, left out and changed."""
+    rng = random.Random(11)
+    word = lambda: f"f{rng.randrange(25)}" if rng.random() < 0.4 else f"w{min(int(rng.paretovariate(0.35)), 8000)}"  # noqa: E731  function words and others
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [f"{text(30)}. {text(6)}." for _ in range(400)]
+    rows, middle, near = [], set(), set()
+    for i in range(600):
+        k = rng.randrange(len(items))
+        body, tail = items[k].split(". ")
+        w = body.split()
+        for j in rng.sample(range(len(w)), rng.randrange(10, 20)):
+            w[j] = word() if rng.random() < 0.6 else "" if rng.random() < 0.5 else f"{w[j]} {word()}"
+        copy = " ".join(w) + ". " + tail
+        rows.append((i, f"{text(40)} {copy} {text(30)}"))
+        own, other, answer = decontaminate.item_words(items[k]), decontaminate.item_words(copy), decontaminate.answer_of(items[k])
+        share = decontaminate.lcs(decontaminate.masks_of(own), len(own), other) / len(own)
+        if share >= 0.75:
+            near.add((i, k))
+        elif share >= 0.5 and decontaminate.lcs(decontaminate.masks_of(answer), len(answer), other) >= 0.8 * len(answer):
+            middle.add((i, k))
+    rows += [(1000 + i, text(150)) for i in range(300)]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), b).collect()}
+    assert len(middle) > 300 and len(got & middle) >= 0.9 * len(middle) and near <= got and not [x for x in got if x[0] >= 1000]
+
+
+def test_decontamination_repetitive_items_and_missing_ids(spark):
+    rng = random.Random(13)
+    again, plain = "alpha beta gamma " * 12, prose(rng, 30, 5000)
+    rows = [(1, again), (2, prose(rng, 90) + " " + again), (None, plain), (None, prose(rng, 10) + " " + plain), (None, prose(rng, 60)), (3, "x " * 200_000 + plain)]
+    b = spark.createDataFrame([(1, again), (2, plain), (None, "no such words here at all, none whatever, really none")], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, rows), b).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 2), (1, 1), (2, 1), (3, 2)]
+
+
+def test_rarer_words_in_common_lose_no_leak():
+    rng = np.random.default_rng(4)
+    pieces = [(k, (rng.zipf(1.3, 40) % 300).tolist(), None, None) for k in range(60)]
+    df = np.bincount(np.concatenate([p[1] for p in pieces]), minlength=300)
+    first, owners, need, near = decontaminate.postings(pieces, np.zeros(60, bool), df)
+    tok = np.concatenate([np.where(rng.random(40) < 0.55, pieces[rng.integers(60)][1], rng.integers(0, 300, 40)) for _ in range(200)])
+    where = np.arange(len(tok)) // decontaminate.STEP
+    chunks = int(where[-1]) + 1
+    low, high = np.zeros(chunks, np.int64), np.full(chunks, chunks - 3)
+    got = set(zip(*(x.tolist() for x in decontaminate.shared_words(first, owners, need, tok, where, low, high)[:2]), strict=True))
+    for w in range(chunks - 2):
+        own = tok[where >= w][: decontaminate.WINDOW].tolist()
+        for k, ids, _, _ in pieces:
+            if decontaminate.lcs(decontaminate.masks_of(ids), len(ids), own) >= 0.5 * len(ids):
+                assert (w, k) in got
+
+
 def test_queries_equal_sql(spark, oracle):
     from veristrata.llm.queries import QUERIES, SQL
 
