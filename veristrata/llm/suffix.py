@@ -18,7 +18,7 @@ from veristrata.llm.substring import least_by_name
 from veristrata.llm.superkmer import K, byte_units, mark_windows
 
 #: Bytes of a part that gets one suffix array.
-PART_BYTES = 2 << 20
+PART_BYTES = 3 << 20
 #: Bytes by which suffixes are sorted: eight, doubled until a window is covered.
 DEPTH = 64
 
@@ -32,21 +32,24 @@ def words_at(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(key: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes at least, by Larsson-Sadakane: the ranks of h bytes, taken twice, sort by 2h;
-    only groups that aren't single yet are sorted again. key: words_at of the text."""
+def suffix_array(key: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first `depth` bytes at least, by Larsson-Sadakane: the ranks of h bytes, taken twice, sort by 2h; only
+    groups that aren't single yet are sorted again. With them, which share `depth` bytes with the one before, and which not
+    even half of them. key: words_at of the text."""
     n = len(key)
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     s = key[sa]
     new = np.append(True, s[1:] != s[:-1]) if n else np.zeros(0, bool)
-    slot = np.arange(n)
-    rank = np.zeros(n + 1, np.int64)
+    del s
+    slot = np.arange(n, dtype=np.int32)
+    rank = np.zeros(n + 1, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, slot, 0)) + 1
     open_ = ~(new & np.append(new[1:], True)) if n else new
-    at, h = slot[open_], 8
+    at, h, half = slot[open_], 8, rank
     while h < depth and len(at):
+        half = rank.copy() if 2 * h >= depth else rank
         i = sa[at]
-        k = rank[i] * (n + 2) + rank[np.minimum(i + h, n)]
+        k = rank[i].astype(np.int64) * (n + 2) + rank[np.minimum(i + h, n)]
         order = np.argsort(k)
         i, k = i[order], k[order]
         sa[at] = i
@@ -54,11 +57,13 @@ def suffix_array(key: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         rank[i] = np.maximum.accumulate(np.where(new, at, 0)) + 1
         at = at[~(new & np.append(new[1:], True))]
         h *= 2
-    return sa
+    by, far = rank[sa], half[sa]
+    return sa, np.append(False, by[1:] == by[:-1])[:n], np.append(True, far[1:] != far[:-1])[:n]
 
 
-def common_prefixes(key: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Length, up to `most`, of the common prefix of each suffix in sa with the one before it.
+def common_prefixes(key: np.ndarray, sa: np.ndarray, tied: np.ndarray, apart: np.ndarray, most: int) -> np.ndarray:
+    """Length, up to `most`, of the common prefix of each suffix in sa with the one before it. tied: those known to share `most`. apart: those
+    whose length need not be known; it comes as 0.
 
     Kasai: what place p shares with its neighbour, place p + s shares but for s bytes. Places are taken in strides of 32,
     then the places halfway between, and so on, each starting from the place a stride before. That holds where the order of
@@ -68,13 +73,16 @@ def common_prefixes(key: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     wide = np.append(key, np.zeros(most + 8, np.uint64))
-    lcp = np.zeros(n, np.int64)
+    lcp, known = np.zeros(n, np.int64), np.zeros(n, bool)
+    lcp[sa[tied]] = most
+    known[sa[tied | apart]] = True
     stride = 32
     todo = [(np.arange(0, n, stride), 0)]
     while stride > 1:
         todo.append((np.arange(stride // 2, n, stride), stride // 2))
         stride //= 2
     for p, back in todo:
+        p = p[~known[p]]
         have = np.where(lcp[p - back] < most, np.maximum(lcp[p - back] - back, 0), 0) if back else np.zeros(len(p), np.int64)
         q = before[p]
         on = np.flatnonzero((q >= 0) & (have < most))
@@ -107,11 +115,13 @@ def equal_byte_windows(strings: list[bytes], lo: np.ndarray, windows: np.ndarray
         w = windows[a:b]
         at = np.repeat(base - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
         key = words_at(x)
-        sa = suffix_array(key)
+        sa, tied, apart = suffix_array(key)
         group = np.empty(len(x), np.int64)
-        group[sa] = np.cumsum(common_prefixes(key, sa, DEPTH) < K)
+        group[sa] = np.cumsum(common_prefixes(key, sa, tied, apart, DEPTH) < K)
         own = group[at]
         best = least_by_name(own, np.repeat(lo[a:b], w))
+        if len(bounds) == 2:  # one part: nothing to merge
+            return best
         order = np.argsort(own)
         new = np.append(True, own[order][1:] != own[order][:-1])
         first, back = order[new], np.empty(len(own), np.int64)
