@@ -9,8 +9,9 @@
 4. Lists of a shingle that still hold two groups or more are joined by signature trees: nodes hold the OR of their members'
    token bitmaps and the range of their sizes, and a dual traversal goes into a pair of nodes only if the greatest possible
    overlap reaches the smallest required one and the two are not one group already. Lists above BLOCK members are cut
-   into blocks, and pairs of blocks are joined. Only bitmaps travel for this; the sets of members that the bounds leave
-   follow, and are compared exactly.
+   into bands of like size and those into blocks; only pairs of blocks of one band or of neighbouring ones, whose sets may
+   link, are joined. Only bitmaps travel for this; the sets of members that the bounds leave follow, and are compared
+   exactly.
 5. Connected components of all links.
 
 No step collects links or documents in the driver, and no list of documents is cut short. Null texts and texts without
@@ -31,6 +32,8 @@ from veristrata.operators.graph import connected_components
 SHINGLE = 5
 #: Bytes of a stored shingle hash, bits of a token bitmap, members of a block.
 HASH_BYTES, BITMAP, BLOCK = 6, 2048, 2000
+#: Ratio of sizes of a band: above 4/3, so that sets which link lie in one band or in neighbours; and blocks that a band can have.
+BAND, BLOCKS = 1.34, 1 << 24
 FANOUT = 8
 U = np.uint64
 
@@ -140,12 +143,14 @@ def _prefixes(classes: DataFrame) -> DataFrame:
         for b in batches:
             rep, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n"))
             own = [_widen(x) for x in b.column("shared").to_pylist()]
+            band = (np.log(np.maximum(n, 1)) / np.log(BAND)).astype(np.int32)
             take = [max(0, int(m - need(m) + 1 - (m - len(x)))) for m, x in zip(n, own, strict=True)]
             for i in range(0, len(own), 256):
                 part = [x[:k] for x, k in zip(own[i : i + 256], take[i : i + 256], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(rep[i : i + 256], [len(x) for x in part]))], ["shingle", "rep"])
+                many = [len(x) for x in part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(rep[i : i + 256], many)), pa.array(np.repeat(band[i : i + 256], many))], ["shingle", "rep", "band"])
 
-    return classes.mapInArrow(run, "shingle long, rep long")
+    return classes.mapInArrow(run, "shingle long, rep long, band int")
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -280,13 +285,19 @@ def find_links(classes: DataFrame) -> DataFrame:
     best = pairs.groupBy("rep").agg(F.max(F.struct("k", -F.col("b"))).alias("s")).select(F.col("rep").alias("a"), (-F.col("s")["col2"]).alias("b"))
     links = store(_verify(best, classes), "jaccard-links")
     groups = connected_components(links)
-    own = posts.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "rep", F.coalesce("component", "rep").alias("grp"))
+    own = posts.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "rep", "band", F.coalesce("component", "rep").alias("grp"))
     own = store(own, "jaccard-members")
     left = own.groupBy("shingle").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.expr("bit_xor(xxhash64(rep, 7))").alias("x")).where("g0 <> g1")
-    one = left.groupBy("c", "h", "x").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = own.join(one, "shingle").select("shingle", "rep", "grp", "blocks", mine.alias("mine"))
-    members = members.select("shingle", "rep", "grp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    one = store(left.groupBy("c", "h", "x").agg(F.min("shingle").alias("shingle")).select("shingle", "c"), "jaccard-lists")
+    bands = own.join(one.where(F.col("c") > BLOCK), "shingle").groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    bands = bands.groupBy("shingle").agg(F.collect_list(F.struct("band", "blocks")).alias("bands"))  # a band for each power of BAND
+    members = own.join(one.join(bands, "shingle", "left"), "shingle")
+    blocks = F.coalesce(F.get(F.filter("bands", lambda x: x["band"] == F.col("band")), F.lit(0))["blocks"], F.lit(1))
+    place = lambda band, block: (band * BLOCKS + block).cast("int")
+    mine = F.when(F.col("bands").isNull(), F.lit(0)).otherwise(place(F.col("band"), F.pmod(F.xxhash64("rep"), blocks)))
+    near = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda i: place(x["band"], i))))
+    members = members.select("shingle", "rep", "grp", mine.alias("mine"), F.explode(F.coalesce(others, F.array(F.lit(0)))).alias("other"))
     members = members.select("shingle", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "grp")
 
     def sketch(batches):
