@@ -100,7 +100,18 @@ def test_suffix_parts_merge(monkeypatch):
     want = [least[s[p : p + 50]] for s in strings for p in range(len(s) - 49)]
     assert suffix.equal_byte_windows(strings, lo, w).tolist() == want
     text = np.frombuffer(b"banana bandana banana", np.uint8)
-    sa = suffix.suffix_array(suffix.words_at(text))
+    key_ = suffix.words_at(text)
+    sa, tied, apart = suffix.suffix_array(key_)
+    shared = lambda a, b, most=64: next((k for k in range(most) if max(a, b) + k >= len(text) or text[a + k] != text[b + k]), most)
+    assert suffix.common_prefixes(key_, sa, tied, np.zeros(len(sa), bool), 64)[1:].tolist() == [shared(a, b) for a, b in zip(sa, sa[1:], strict=False)] and not tied.any()
+    long = np.tile(np.frombuffer(b"the same words come again and again, ", np.uint8), 6)
+    long[100] = long[170] = 33
+    k2 = suffix.words_at(long)
+    sa2, tied2, apart2 = suffix.suffix_array(k2)
+    pairs = list(zip(sa2.tolist(), sa2[1:].tolist(), strict=False))
+    same = [next((k for k in range(64) if (0 if a + k >= len(long) else long[a + k]) != (0 if b + k >= len(long) else long[b + k])), 64) for a, b in pairs]
+    got = suffix.common_prefixes(k2, sa2, tied2, apart2, 64)[1:]
+    assert all((x >= 50) == (y >= 50) for x, y in zip(got.tolist(), same, strict=True)) and all(y < 32 for y, f in zip(same, apart2[1:], strict=True) if f)
     assert sa.tolist() == sorted(range(len(text)), key=lambda i: text.tobytes()[i:])
 
 
@@ -268,6 +279,13 @@ def test_langid_sample_is_bounded(spark, monkeypatch):
     assert {r.lang_pred for r in langid.predict_languages(d, model).collect()} == {"en", "fr"}
 
 
+def test_langid_repeated_ids_and_clashing_columns(spark):
+    rows = [(4, "the cat and the dog", "en"), (4, "le chat et le chien", "fr"), (None, "the house and the tree", "en"), (4, "la maison et le bois", "fr")] * 5
+    d = spark.createDataFrame([(i, t, c, "s", 0.5, "z") for i, t, c in rows], "doc_id long, text string, lang string, at string, score double, lang_pred string")
+    got = langid.predict_languages(d, langid.train_language_model(d), keep=["doc_id", "lang"]).collect()
+    assert len(got) == 20 and all(r.lang == r.lang_pred for r in got)
+
+
 def test_langid_query_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     got = [r for r in langid.op3_langid(spark, FOLDER).collect() if r.held_out]
@@ -441,6 +459,8 @@ def test_chat_round_trip(spark):
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.describe_formatted(chat.format_conversations(d)).collect()}
     assert got == {1: (3, 1), None: (1, 0), 2: (1, 0)}
     assert chat.describe_formatted(chat.format_conversations(d.limit(0))).count() == 0
+    clash = d.selectExpr("*", "1 AS formatted", "'x' AS loss_spans", "2 AS n_turns")
+    assert {r.conv_id: r.n_turns for r in chat.describe_formatted(chat.format_conversations(clash)).collect()} == {1: 3, None: 1, 2: 1}
 
 
 def test_decontamination_recall_and_precision(spark):
@@ -583,7 +603,16 @@ def test_pipeline_against_brute_force(spark):
     at = p.leaked_benchmarks(spark, at, FOLDER)
     clean = {r.doc_id for r in at.collect()}
     assert clean <= set(left) and len(clean) >= 0.8 * len(left)
-    assert {r.doc_id for r in p.run(spark, FOLDER).collect()} == clean
+    done = p.run(spark, FOLDER).collect()
+    assert {r.doc_id for r in done} == clean
+    tok, text = pytest.importorskip("tokenizers").Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")), {r.doc_id: r.text for r in at.collect()}
+    lengths, places = Counter(), {}
+    for r in done:
+        lengths[r.doc_id] += r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert lengths == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in text.items()}
+    for parts in places.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
 
 
 def test_pipeline_without_ids_and_with_extra_columns(spark):
