@@ -15,6 +15,7 @@ from veristrata.plans.queries import _ALPHA, _ledger, _ledger_sql, query  # noqa
 from veristrata.sources import claims as S
 from veristrata.sources import readers as R
 from veristrata.sources import sinks
+from veristrata.streaming.ledger import ledger_to_table, windowed_ledger
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -223,3 +224,13 @@ def sheet_rows(spark, d):
     t = R.sheet(head.unionAll(body), ["peptide", "cells"])
     place = F.array_position(F.transform("header", lambda h: F.lower(h).contains("cells")), F.lit(True)).cast("int")
     return t.select(F.get("cells", F.lit(0)).alias("sheet_row"), F.element_at("cells", place).cast("int").alias("cells"))
+
+
+@query("WITH e AS (SELECT *, event_type AS class FROM events WHERE value IS NOT NULL) SELECT class, date_trunc('day', ts) AS start, count(*) FILTER (WHERE value < 50) AS n_decoy, count(*) FILTER (WHERE value >= 50) AS n_target FROM e GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM e)")
+def stream_ledger(spark, d):
+    """The windowed ledger of a stream of matches, as far as its watermark has closed windows."""
+    stream = spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    t = stream.where("value is not null").select(F.col("event_type").alias("class"), "ts", (F.col("value") < 50).alias("is_decoy"))
+    path = _path(spark, "stream")
+    ledger_to_table(windowed_ledger(t), path, path + "-progress").awaitTermination()
+    return spark.read.schema("start timestamp, class string, n_target long, n_decoy long").parquet(path)

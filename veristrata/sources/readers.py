@@ -33,7 +33,7 @@ def positional(spark: SparkSession, path: str, fields: int, min_fields: int = 1,
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_row_idx"))
     if skip:
         first = lines.where("_b = 0").groupBy("_f").agg(F.min("_row_idx").alias("_first"))
-        lines = lines.join(F.broadcast(first), "_f", "left").where(F.col("_row_idx") >= F.col("_first") + skip)  # a row a file
+        lines = lines.join(first, "_f", "left").where(F.col("_row_idx") >= F.col("_first") + skip)
     s = re.escape(sep)
     bare = F.split("value", s, -1)
     quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(sep), F.col("value")), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)'), 1), lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
