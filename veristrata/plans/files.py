@@ -229,8 +229,8 @@ def sheet_rows(spark, d):
 @query("WITH e AS (SELECT *, event_type AS class FROM events WHERE value IS NOT NULL) SELECT class, date_trunc('day', ts) AS start, count(*) FILTER (WHERE value < 50) AS n_decoy, count(*) FILTER (WHERE value >= 50) AS n_target FROM e GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM e)")
 def stream_ledger(spark, d):
     """The windowed ledger of a stream of matches, as far as its watermark has closed windows."""
-    stream = spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
-    t = stream.where("value is not null").select(F.col("event_type").alias("class"), "ts", (F.col("value") < 50).alias("is_decoy"))
+    stream = spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file or a folder
+    t = stream.where("value is not null").select(F.col("event_type").alias("class"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") < 50).alias("is_decoy"))
     path = _path(spark, "stream")
     ledger_to_table(windowed_ledger(t), path, path + "-progress").awaitTermination()
     return spark.read.schema("start timestamp, class string, n_target long, n_decoy long").parquet(path)
