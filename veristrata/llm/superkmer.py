@@ -35,67 +35,72 @@ SHARD_BYTES, LEAST = 4 << 20, 24
 HOT = 10
 #: Packed rows whose hot windows meet before they go to a shard.
 FOLD = 4096
+#: Windows whose minimisers are worked out together.
+TILE = 1 << 14
 
 U = np.uint64
 
 
 @dataclass
 class Units:
-    """Units of some texts: `off` units before each text, `h` hash of M units from each unit, byte `starts` and `ends`."""
+    """Units of some texts: `off` units before each text, `low` the smallest hash among the runs of M units in the window of K units from
+    each unit on (for as many units as have one), byte `starts` and `ends`."""
 
     off: np.ndarray
-    h: np.ndarray
+    low: np.ndarray
     starts: np.ndarray | None
     ends: np.ndarray | None
 
 
+def sliding_minima(x: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of `span` consecutive numbers from each on."""
+    size = 1
+    while 2 * size <= span and len(x) > size:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (span - size)], x[span - size :]) if size < span < len(x) + size else x if size == span else x[:0]
+
+
 def word_units(data: np.ndarray, offs: np.ndarray) -> Units:
     w = Words(data, offs)
     h = w.hashes()[w.codes] if len(w.codes) else np.zeros(0, U)
-    return Units(w.off, shifted_hash(h, M), w.starts, w.ends())
+    return Units(w.off, sliding_minima(shifted_hash(h, M), K - M + 1), w.starts, w.ends())
 
 
-def byte_units(data: np.ndarray, offs: np.ndarray) -> Units:
-    n = len(data)
-    if n < M:
-        return Units(offs, np.zeros(0, U), None, None)
-    x = data.astype(np.uint16)
+def _eights(x: np.ndarray) -> np.ndarray:
+    """Eight bytes from each on, as a number."""
+    x = x.astype(np.uint16)
     x = (x[:-1] << np.uint16(8)) | x[1:]
     x = x.astype(np.uint32)
     x = (x[:-2] << np.uint32(16)) | x[2:]
     x = x.astype(U)
-    x = (x[:-4] << U(32)) | x[4:]
-    return Units(offs, pair_hash(x[:-8], x[8:]), None, None)
-
-
-def minimisers(u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """(minimiser of the window at each unit, whether a window of K units starts there within its text)."""
-    total = int(u.off[-1])
-    valid = np.zeros(total, bool)
-    n = np.maximum(np.diff(u.off) - (K - 1), 0)
-    at = np.repeat(u.off[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    valid[at] = True
-    span = K - M + 1
-    x, size = u.h, 1
-    while 2 * size <= span and len(x) > size:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    if span > size and len(x) > span - size:
-        x = np.minimum(x[: len(x) - (span - size)], x[span - size :])
-    out = np.zeros(total, U)
-    m = min(total, len(x))
-    out[:m] = x[:m]
-    return out, valid
+    return (x[:-4] << U(32)) | x[4:]
 
 
-def runs_of(mv: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first unit, windows) of each maximal run of windows that share a minimiser."""
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return at, at
-    new = np.append(True, (at[1:] != at[:-1] + 1) | (mv[at[1:]] != mv[at[:-1]]))
-    first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at)))
+def byte_units(data: np.ndarray, offs: np.ndarray) -> Units:
+    """In tiles that stay in a core's cache."""
+    low = np.empty(max(0, len(data) - K + 1), U)
+    for a in range(0, len(low), TILE):
+        x = _eights(data[a : a + TILE + K - 1])
+        own = sliding_minima(pair_hash(x[:-8], x[8:]), K - M + 1)
+        low[a : a + TILE] = own[: len(low) - a]
+    return Units(offs, low, None, None)
+
+
+def runs_of(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """(first unit, windows) of each maximal run of windows within a text that share a minimiser."""
+    valid = np.zeros(len(u.low), bool)
+    for a, b in zip(u.off[:-1].tolist(), (u.off[1:] - (K - 1)).tolist(), strict=True):
+        if b > a:
+            valid[a:b] = True
+    if not len(valid):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = ~(valid[1:] & valid[:-1]) | (u.low[1:] != u.low[:-1])
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= apart
+    last[:-1] &= apart
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) - start + 1
 
 
 SENT = "shard int, hot boolean, src long, n int, index binary, lens binary, wins binary, lo binary, hi binary, body binary"
@@ -171,9 +176,8 @@ def mark_windows(docs: DataFrame, unit: Callable, equal: Callable, finish: Calla
 
     def distinct(u: Units):
         """The runs of a packed row, its distinct minimisers and the number of each run's."""
-        mv, valid = minimisers(u)
-        start, wins = runs_of(mv, valid)
-        order, keys, first = spread(mv[start])
+        start, wins = runs_of(u)
+        order, keys, first = spread(u.low[start])
         group = np.empty(len(start), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(start))))
         return start, wins, order, keys, first, group
