@@ -131,7 +131,7 @@ def permutation_null(spark: SparkSession, hits: DataFrame, rounds: int, seed: in
 
     hits: (item, stratum, label, target): a hit is target = label. Labels are shuffled within strata (one constant stratum for a
     free permutation). A stratum with one distinct label can't be permuted and its p says nothing: see `permutable`. Strata
-    travel as counts of their labels and targets, so a large one is no larger than its values are many.
+    travel as counts of their labels and targets, so a large one is no larger than its values are many (numpy draws from 10**9 items).
     """
     hits = store(hits.select("stratum", F.col("label").cast("string").alias("label"), F.col("target").cast("string").alias("target")), "hits")
     side = lambda c, a, b: hits.select("stratum", F.col(c).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
@@ -163,6 +163,8 @@ def placebo(rows: DataFrame, pool: DataFrame, rounds: int, seed: int, stratum: s
     shares = pool.groupBy(bin_).agg(F.count("*").alias("n")).orderBy(bin_).collect()  # a row a bin
     bins, share = [r[bin_] for r in shares], np.array([r.n for r in shares], np.float64)
     share /= share.sum() or 1
+    if not bins:
+        return rows.sparkSession.createDataFrame([], "draw long, difference double")
     groups = min(GROUPS, rounds)
     cells = rows.groupBy(F.col(stratum).alias("stratum"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
 
@@ -240,11 +242,13 @@ def simulated_rho(spectra: DataFrame, noncanonical: str, canonical: str, t: floa
     """R11, the check: accepted decoys of each kind over `reps` draws for each spectrum. Draws of one spectrum are alike, so their counts are
     binomial."""
     def run(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for b in batches:
-            rng = np.random.default_rng([seed, *(int(x) for x in b.iloc[0])]) if len(b) else None
             n, c = b["n"].to_numpy(np.float64), b["c"].to_numpy(np.float64)
-            taken = rng.binomial(reps, 1 - (1 - t) ** (n + c)) if len(b) else n
-            of_n = rng.binomial(taken, n / np.maximum(1, n + c)) if len(b) else n
+            taken = rng.binomial(reps, 1 - (1 - t) ** (n + c))
+            of_n = rng.binomial(taken, n / np.maximum(1, n + c))
             yield pd.DataFrame({"dn": [int(of_n.sum())], "dc": [int((taken - of_n).sum())]})
 
     per = spectra.select(F.col(noncanonical).cast("long").alias("n"), F.col(canonical).cast("long").alias("c")).mapInPandas(run, "dn long, dc long")
