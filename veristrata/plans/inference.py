@@ -176,11 +176,12 @@ def adjudicable_by_stratum(spark, d):
     return long.withColumn("w", K.wilson(F.col("k"), F.col("n"))).select("stratum", "dimension", "n", "k", F.round("w.low", 9).alias("low"), F.round("w.high", 9).alias("high"))
 
 
-_BINNED = f"WITH {_SIZES}, t AS (SELECT CAST(floor((p_retailprice - 900) / 250) AS INT) AS bin, p_size, qty FROM a), w AS (SELECT p_size, count(*) AS w FROM t GROUP BY 1)"
+_BINNED = f"WITH {_SIZES}, e AS (SELECT list_sort(list(p_retailprice)) AS v, count(*) AS n FROM a), t AS (SELECT {' + '.join(f'CAST((p_retailprice >= v[{i} * n // 5 + 1]) AS INT)' for i in range(1, 5))} AS bin, p_size, qty FROM a, e), w AS (SELECT p_size, count(*) AS w FROM t GROUP BY 1)"
 
 
 def _price_bins(spark, d) -> DataFrame:
-    return _parts(spark, d).withColumn("bin", F.floor((F.col("p_retailprice") - 900) / 250).cast("int"))
+    t = _parts(spark, d)
+    return t.withColumn("bin", stats.binned(F.col("p_retailprice"), stats.quantile_edges(t, "p_retailprice", 5)))
 
 
 @query(_BINNED + ", c AS (SELECT bin, p_size, count(*) AS n, sum(qty) AS s FROM t GROUP BY 1, 2 HAVING count(*) >= 2) SELECT bin, round(sum(w * s / n) / (SELECT count(*) FROM t), 6) AS mean FROM c JOIN w USING (p_size) GROUP BY bin")
