@@ -131,6 +131,8 @@ def test_seeds_find_what_contains_finds(spark, monkeypatch):
         assert {tuple(x) for x in sequence.seed_matches(queries.select("seq"), r, ["id"], 4).collect()} == want
         got = {(x.seq, x.gene): x.own for x in sequence.in_own_group(queries, r, "gene").collect() if x.seq and x.gene}
         assert got == own
+        long = queries.where("length(seq) >= 11")
+        assert {tuple(x) for x in sequence.seed_matches(long, r, ["id"], 4).collect()} == {(s, i) for s, i in want if len(s) >= 11}
     monkeypatch.setattr(sequence, "LENGTHS", 2)
     assert {x.seq for x in sequence.contained(queries, r).collect()} == {s for s in seqs if any(t and s in t for _, _, t in refs)}
     assert {tuple(x) for x in sequence.matches(queries.where("seq <> ''"), r, ["id"]).collect()} == {(s, i) for s in seqs for i, _, t in refs if t and s in t}

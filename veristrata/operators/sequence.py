@@ -13,12 +13,16 @@ SEGMENT = 512
 HELD_BYTES = 32 << 20
 #: Query lengths up to which one window of each length is made; with more, sequences are found by seeds.
 LENGTHS = 64
+#: The farthest that seeds of references are apart.
+STEP = 64
 
 
-def segments(df: DataFrame, text: str, keep: list[str], overlap: int, size: int = SEGMENT) -> DataFrame:
-    """(keep..., base, text): pieces that start every `size` characters and reach `overlap` characters further."""
+def segments(df: DataFrame, text: str, keep: list[str], overlap: int, size: int = SEGMENT, lead: int = 0) -> DataFrame:
+    """(keep..., base, text): pieces that start every `size` characters and reach `overlap` characters further, and `lead` back where the
+    text has them."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("base"), F.substr(F.col(text), i + 1, F.lit(size + overlap)).alias("piece")))
+    back = lambda i: F.least(i, F.lit(lead))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("base"), F.substr(F.col(text), i + 1 - back(i), back(i) + (size + overlap)).alias("piece")))
     return df.where(F.col(text).isNotNull()).select(*keep, F.explode(cut).alias("_x")).select(*keep, F.col("_x.base").alias("base"), F.col("_x.piece").alias(text))
 
 
@@ -77,28 +81,35 @@ def seed_matches(queries: DataFrame, refs: DataFrame, keep: list[str], seed: int
     """J6, J8, J12, and with `by` J9: distinct (sequence, by..., keep...) of references that hold the sequence, found by a seed of its
     first `seed` characters; lengths may be anything from seed on. by: columns of both sides that must be equal.
 
-    References are read in pieces that overlap by the longest query, so a candidate is checked within its piece. Up to
-    HELD_BYTES of queries, every task holds them by seed and nothing of the references is shuffled before it matches. More
-    queries meet the references' seeds in a shuffle, without the pieces, and pieces come back where a seed hit.
+    Where all queries are longer than the seed, the seeds of references are taken some letters apart, as far as the shortest query
+    still covers one, and each query is known by all its seeds in that stretch. References are read in pieces that overlap by
+    the longest query, so a candidate is checked within its piece. Up to HELD_BYTES of queries with their seeds, every task
+    holds them and nothing of the references is shuffled before it matches. More queries meet the references' seeds in a
+    shuffle, without the pieces, and pieces come back where a seed hit.
     """
     by = by or []
     q = queries.where(F.length(sequence) >= seed).select(sequence, *by).distinct()
-    size = q.agg(F.sum(F.length(sequence) + 40 * (1 + len(by))).alias("bytes"), F.max(F.length(sequence)).alias("longest")).first()
-    return _seed_join(q, refs, keep, seed, sequence, text, by, size.longest or seed, (size.bytes or 0) <= HELD_BYTES)
+    size = q.agg(F.sum(F.length(sequence) + 40 * (1 + len(by))).alias("bytes"), F.min(F.length(sequence)).alias("shortest"), F.max(F.length(sequence)).alias("longest")).first()
+    step = min(STEP, (size.shortest or seed) - seed + 1)
+    return _seed_join(q, refs, keep, seed, step, sequence, text, by, size.longest or seed, (size.bytes or 0) * step <= HELD_BYTES)
 
 
-def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, sequence: str, text: str, by: list[str], longest: int, held: bool) -> DataFrame:
-    n, size = F.length(text), max(SEGMENT, longest)
-    places = F.transform(F.sequence(F.lit(1), F.least(F.lit(size), F.greatest(n - (seed - 1), F.lit(1)))), lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i, F.lit(seed)).alias("seed")))
+def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, step: int, sequence: str, text: str, by: list[str], longest: int, held: bool) -> DataFrame:
+    n, size = F.length(text), -(-max(SEGMENT, longest) // step) * step
     cols = list(dict.fromkeys([*by, *keep]))
-    pieces = segments(refs, text, cols, longest - 1, size).where(n >= seed)
-    q = q.withColumn("_seed", F.substring(sequence, 1, seed))
-    fits = F.substr(F.col(text), F.col("_x.at"), F.length(sequence)) == F.col(sequence)
+    pieces = segments(refs, text, cols, longest - 1, size, step - 1)
+    head = F.least("base", F.lit(step - 1))  # letters of the piece before its own first place
+    last = F.least(head + size, n - (seed - 1))
+    places = F.transform(F.sequence(head + 1, F.greatest(last, head + 1), F.lit(step)), lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i, F.lit(seed)).alias("seed")))
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda o: F.struct(o.alias("_off"), F.substr(F.col(sequence), o + 1, F.lit(seed)).alias("_seed")))
+    q = q.select(sequence, *by, F.explode(seeds).alias("_s")).select(sequence, *by, "_s.*")
+    start = F.col("_x.at") - F.col("_off")
+    fits = (start >= 1) & (F.substr(F.col(text), start, F.length(sequence)) == F.col(sequence))
     if held:
         at = pieces.select(*cols, text, F.explode(places).alias("_x")).withColumn("_seed", F.col("_x.seed"))
         return at.join(F.broadcast(q), [*by, "_seed"]).where(fits).select(sequence, *cols).distinct()
     at = pieces.select(*cols, "base", F.explode(places).alias("_x")).withColumn("_seed", F.col("_x.seed"))
-    near = at.join(q, [*by, "_seed"]).select(sequence, *cols, "base", "_x")
+    near = at.join(q, [*by, "_seed"]).select(sequence, *cols, "base", "_x", "_off")
     return near.join(pieces, [*cols, "base"]).where(fits).select(sequence, *cols).distinct()
 
 
