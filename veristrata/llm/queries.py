@@ -9,9 +9,12 @@ from veristrata.llm.jaccard import OP7_SQL, op7_jaccard
 from veristrata.llm.langid import op3_langid
 from veristrata.llm.lm import op1_lm
 from veristrata.llm.media import op8_flac
+from veristrata.llm.merkle import OP13_SQL, op13_merkle
 from veristrata.llm.packing import op4_packing
 from veristrata.llm.substring import OP5_SQL, op5_substring
 from veristrata.llm.suffix import OP9_SQL, op9_suffix
+from veristrata.llm.urls import op11_urls
+from veristrata.llm.vectors import OP12_SQL, op12_vectors
 
 QUERIES = {
     "op1_lm": op1_lm,
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_flac": op8_flac,
     "op9_suffix": op9_suffix,
     "op10_dac": op10_dac,
+    "op11_urls": op11_urls,
+    "op12_vectors": op12_vectors,
+    "op13_merkle": op13_merkle,
 }
-SQL = {"op5_substring": OP5_SQL, "op6_chat": OP6_SQL, "op7_jaccard": OP7_SQL, "op9_suffix": OP9_SQL}
+SQL = {"op5_substring": OP5_SQL, "op6_chat": OP6_SQL, "op7_jaccard": OP7_SQL, "op9_suffix": OP9_SQL, "op12_vectors": OP12_SQL, "op13_merkle": OP13_SQL}
