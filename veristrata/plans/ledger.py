@@ -21,11 +21,10 @@ def class_decoy_ledger(spark: SparkSession, path: str, out: str, *, kind: str =
         psms = readers.pepxml(spark, path, decoy_prefix, score)
     else:
         names = {"ident": "PSMId", "peptide": "peptide", "protein": "Proteins", "decoy": None} | (columns or {})
-        head = readers.headered_csv(spark, path, sep="\t").columns
+        head = readers.header_of(spark, path, "\t")
         decoy.check_options(alpha, unit, head, [c for c in (*names.values(), score, q) if c], score, q)
         psms = readers.psm_tsv(spark, path, score=score, q=q, decoy_prefix=decoy_prefix, **names)
     gates.not_empty(psms, f"spectrum matches in {path}")
-    psms = psms.withColumn("_row_idx", F.monotonically_increasing_id())
     swept = psms if q else decoy.q_sweep(psms.drop("q"), "score", "is_decoy", "_row_idx", ascending)
     accepted = decoy.accepted(swept, alpha)
     counted = decoy.unit_rows(accepted, unit)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veristrata import config as C
 from veristrata.functions.columns import class_of_accession
+from veristrata.sources.delimited import LINE, Delimited, numbered_lines
 
 
 def _strings(names: list[str]) -> T.StructType:
@@ -18,9 +19,14 @@ def _strings(names: list[str]) -> T.StructType:
 
 
 def headered_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
-    """A file with a header; quotes are doubled, fields may hold line breaks and have any length. Columns by name."""
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', maxCharsPerColumn=-1)
-    return df if columns is None else df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    """A file with a header; quotes are doubled, fields may hold line breaks and have any length. Columns by name, empty
+    fields null. Splits of the file are read in parallel (sources.delimited)."""
+    return Delimited(spark, path, sep).table(columns).drop("_row_idx")
+
+
+def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """The names of the columns, for checks before a file is read."""
+    return [c for c in Delimited(spark, path, sep).table().columns if c != "_row_idx"]
 
 
 def claims_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +34,13 @@ def claims_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def positional(spark: SparkSession, path: str, fields: int, min_fields: int = 1, sep: str = "\t", skip: int = 1) -> DataFrame:
-    """Fields by place (_c0 ...); lines with fewer than min_fields go, as do the first `skip` lines of each file. A field
+    """(_row_idx, the order of lines, and) fields by place (_c0 ...); lines with fewer than min_fields go, as do the first `skip` lines of each file. A field
     in double quotes may hold the separator, and doubled quotes in it are one; a record is one line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_row_idx"))
-    if skip:
-        first = lines.where("_b = 0").groupBy("_f").agg(F.min("_row_idx").alias("_first"))
-        lines = lines.join(first, "_f", "left").where(F.col("_row_idx") >= F.col("_first") + skip)
+    lines = numbered_lines(spark, path)
+    if skip:  # the first lines of a file are the first of its first split
+        first = lines.where("_row_idx.split = 0").groupBy(F.col("_row_idx.file").alias("_f")).agg(F.min("_row_idx.place").alias("_first"))
+        early = (F.col("_row_idx.split") == 0) & (F.col("_row_idx.place") < F.col("_first") + skip)
+        lines = lines.withColumn("_f", F.col("_row_idx.file")).join(first, "_f").where(~early)
     s = re.escape(sep)
     bare = F.split("value", s, -1)
     quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(sep), F.col("value")), F.lit(rf'{s}("(?:[^"]|"")*"|[^{s}]*)'), 1), lambda x: F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) > 1), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
@@ -76,30 +83,30 @@ def pepxml(spark: SparkSession, path: str, decoy_prefix: str = "rev_", score: st
     kind = "_hit_rank string, _peptide string, _protein string, search_score array<struct<_name:string,_value:string>>"
     hits = spark.read.format("xml").option("rowTag", "search_hit").option("valueTag", "_text").schema(kind).load(path).where("_hit_rank = '1'")
     value = F.try_element_at(F.filter("search_score", lambda s: s["_name"] == score), F.lit(1))["_value"].try_cast("double")
-    return _psms(hits.select("_peptide", "_protein", value.alias("score")).where("score is not null"), F.col("_protein"), F.lit(False), decoy_prefix, F.col("_peptide"), F.col("score"), F.lit(None).cast("double"))
+    return _psms(hits.select("_peptide", "_protein", value.alias("score")).where("score is not null"), F.col("_protein"), F.lit(False), decoy_prefix, F.col("_peptide"), F.col("score"), F.lit(None).cast("double"), F.monotonically_increasing_id())
 
 
-def _psms(df: DataFrame, protein: Column, decoy: Column, prefix: str, peptide: Column, score: Column, q: Column, ident: Column | None = None) -> DataFrame:
+def _psms(df: DataFrame, protein: Column, decoy: Column, prefix: str, peptide: Column, score: Column, q: Column, order: Column, ident: Column | None = None) -> DataFrame:
     by_prefix = protein.startswith(prefix) if prefix else F.lit(False)
     acc = F.when(by_prefix, F.substr(protein, F.lit(len(prefix) + 1))).otherwise(protein)
-    out = df.select((ident if ident is not None else F.concat(F.lit("psm"), F.monotonically_increasing_id())).alias("id"), peptide.alias("peptide"), score.alias("score"), q.alias("q"), (decoy | by_prefix).alias("is_decoy"), acc.alias("accession"))
+    out = df.select((ident if ident is not None else F.concat(F.lit("psm"), order)).alias("id"), peptide.alias("peptide"), score.alias("score"), q.alias("q"), (decoy | by_prefix).alias("is_decoy"), acc.alias("accession"), order.alias("_row_idx"))
     return out.withColumn("class", class_of_accession(F.col("accession")))
 
 
 def psm_tsv(spark: SparkSession, path: str, ident: str = "PSMId", peptide: str = "peptide", protein: str = "Proteins", decoy: str | None = "is_decoy", score: str | None = None, q: str | None = None, decoy_prefix: str = "rev_") -> DataFrame:
-    """Matches with caller-named columns; a decoy text of the truthy set or the prefix marks a decoy."""
-    t = headered_csv(spark, path, sep="\t")
+    """Matches with caller-named columns, and _row_idx, their order; a decoy text of the truthy set or the prefix marks a decoy."""
+    t = Delimited(spark, path, "\t").table()
     if missing := [c for c in (ident, peptide, protein, decoy, score, q) if c and c not in t.columns]:
         raise ValueError(f"columns not in the input: {', '.join(missing)}")
     number = lambda c: F.trim(f"`{c}`").try_cast("double") if c else F.lit(None).cast("double")
     is_decoy = F.lower(F.trim(F.coalesce(F.col(f"`{decoy}`"), F.lit("")))).isin(C.DECOY_TEXTS) if decoy else F.lit(False)
-    return _psms(t, F.col(f"`{protein}`"), is_decoy, decoy_prefix, F.col(f"`{peptide}`"), number(score), number(q), F.col(f"`{ident}`"))
+    return _psms(t, F.col(f"`{protein}`"), is_decoy, decoy_prefix, F.col(f"`{peptide}`"), number(score), number(q), F.col("_row_idx"), F.col(f"`{ident}`"))
 
 
 def expression_gct(spark: SparkSession, path: str, by_ensembl: bool = False) -> DataFrame:
     """(gene, vector) of a GCT file: by symbol, duplicates merged by element-wise maximum; or by id without version, the
     last row wins."""
-    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("_row_idx"), F.split("value", "\t").alias("p"))
+    t = numbered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p"))
     rows = t.where((F.size("p") > 2) & (F.get("p", F.lit(0)) != "Name"))
     vector = F.transform(F.slice("p", 3, 1_000_000), lambda x: x.try_cast("double"))
     if by_ensembl:
@@ -112,8 +119,8 @@ def expression_gct(spark: SparkSession, path: str, by_ensembl: bool = False) ->
 def gtf(spark: SparkSession, path: str, feature: str) -> DataFrame:
     """(gene_id, transcript_id, gene_name, _row_idx), ids without version; a path that isn't there is an empty table."""
     if "://" not in path and not os.path.exists(path):
-        return spark.createDataFrame([], "gene_id string, transcript_id string, gene_name string, _row_idx long")
-    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("_row_idx"), F.split("value", "\t").alias("p")).where(F.get("p", F.lit(2)) == feature)
+        return spark.createDataFrame([], f"gene_id string, transcript_id string, gene_name string, _row_idx {LINE}")
+    t = numbered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p")).where(F.get("p", F.lit(2)) == feature)
     got = lambda k: F.nullif(F.substring_index(F.regexp_extract(F.get("p", F.lit(8)), k + r' "([^"]*)"', 1), "." if k != "gene_name" else "\t", 1), F.lit(""))
     return t.select(got("gene_id").alias("gene_id"), got("transcript_id").alias("transcript_id"), got("gene_name").alias("gene_name"), "_row_idx")
 
@@ -211,5 +218,5 @@ def json_artifact(spark: SparkSession, path: str) -> DataFrame:
 
 def class_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(pattern, class) in order, comments left out; a file of rules, not of data."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & F.col("value").contains("\t")).withColumn("i", F.monotonically_increasing_id()).orderBy("i").collect()
+    rows = numbered_lines(spark, path).where(~F.col("value").startswith("#") & F.col("value").contains("\t")).orderBy("_row_idx").collect()
     return [(a.strip(), b.strip()) for a, b in (r.value.split("\t")[:2] for r in rows)]
