@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from veristrata.functions import columns as K
 from veristrata.operators import decoy, stats
 from veristrata.plans import base as B
-from veristrata.plans.checkpoint import shared_dir
+from veristrata.plans.checkpoint import shared_dir, store
 from veristrata.plans.queries import _ALPHA, _ledger, _ledger_sql, query  # noqa: PLC2701
 from veristrata.sources import claims as S
 from veristrata.sources import readers as R
 from veristrata.sources import sinks
+from veristrata.sources import workbook as W
 from veristrata.streaming.ledger import ledger_to_table, windowed_ledger
 
 
@@ -226,6 +227,37 @@ def sheet_rows(spark, d):
     return t.select(F.get("cells", F.lit(0)).alias("sheet_row"), F.element_at("cells", place).cast("int").alias("cells"))
 
 
+_KIND = "CASE {t} WHEN 'en' THEN 'lincRNA' WHEN 'fr' THEN 'protein_coding' WHEN 'de' THEN 'processed_pseudogene' ELSE 'TEC' END"
+_BOOKS = f"WITH o AS (SELECT DISTINCT seq, tissue, gene FROM ({B.OCCURRENCES_SQL}) WHERE gene IS NOT NULL), n AS (SELECT DISTINCT gene, seq FROM o WHERE length(seq) >= 11), m AS (SELECT gene, seq, max(tissue) AS tissue FROM o GROUP BY ALL), k AS (SELECT gene, seq, 'Table S3 + Fig 6' AS citation_location, 'type ' || length(seq) AS hla_allele, tissue FROM n JOIN m USING (gene, seq) UNION ALL SELECT gene, 'X' || seq, 'Table S3 + Fig 6', 'type ' || length(seq), NULL FROM n UNION ALL SELECT gene, seq, 'Table S2', 'not reported', tissue FROM o WHERE (gene, seq) NOT IN (SELECT (gene, seq) FROM n))"
+
+
+def _book(rows: DataFrame, sheet: str, at: int, head: list[list[str | None]], cells: list) -> DataFrame:
+    """Rows of one sheet of a workbook a gene, its head first; what they are sorted by."""
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(i - 100, h) for i, h in enumerate(head)], "k int, cells array<string>")
+    every = rows.select("workbook").distinct().join(top.withColumn("_on", F.lit(1)), F.col("_on") == 1).select("workbook", F.col("k"), F.lit("").alias("seq"), F.lit("").alias("tissue"), "cells")
+    own = rows.select("workbook", F.lit(0).alias("k"), "seq", F.coalesce("tissue", F.lit("")).alias("tissue"), F.array(*cells).alias("cells"))
+    return every.unionAll(own).withColumn("sheet", F.lit(sheet)).withColumn("at", F.lit(at))
+
+
+@query(_BOOKS + f", c AS (SELECT *, {_KIND.format(t='tissue')} AS kind FROM k) SELECT gene, citation_location, CASE WHEN tissue IS NULL THEN 'other' WHEN kind = 'lincRNA' THEN 'lncRNA-ORF' WHEN kind = 'protein_coding' THEN 'altORF' WHEN kind = 'processed_pseudogene' THEN 'pseudogene-ORF' ELSE 'other' END AS orf_class, hla_allele, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS letters FROM c GROUP BY ALL")
+def candidate_workbooks(spark, d):
+    """A workbook a gene, of all its words and of long ones (and some that no other sheet has), whose header is to be found."""
+    t = B.occurrences(spark, d).where("gene is not null").distinct().withColumn("workbook", F.col("gene"))
+    kind = F.expr(_KIND.format(t="tissue"))
+    found = _book(t, "Supplementary Table S2", 0, [["Gene Symbol", "Peptide", "Biotype", "Gen_Location"]], [F.col("gene"), F.lower("seq"), kind, F.when(F.col("tissue") == "fr", "genebody")])
+    long = t.where(F.length("seq") >= 11).select("workbook", "gene", "seq").distinct().withColumn("tissue", F.lit(None).cast("string"))
+    both = long.select("*", F.length("seq").alias("n")).withColumn("seq", F.explode(F.array(F.col("seq"), F.concat(F.lit("X"), "seq"))))
+    hla = F.concat(F.lit("type "), F.col("n").cast("string"))
+    tested = _book(both, "Supplementary Table S3", 1, [["Candidates"], None, ["No.", "Peptide sequence", "Gene symbol (HGNC)", "Predicted HLA"]], [F.lit("1"), F.col("seq"), F.col("gene"), hla])
+    path = _path(spark, "workbooks")
+    W.write_workbooks(found.unionAll(tested), path, ["at", "k", "seq", "tissue"])
+    rows = store(W.read_workbooks(spark, path), "sheets")  # each sheet is parsed once
+    claims = W.candidate_workbook_claims(rows, "10.1000/book", "x", "cohort:books")
+    claims = claims.withColumn("gene", F.regexp_extract("path", r"([^/]*)[.]xlsx$", 1))
+    return claims.groupBy("gene", "citation_location", "orf_class", "hla_allele").agg(F.count("*").alias("n"), F.sum(F.length("peptide_sequence")).alias("letters"))
+
+
 @query("WITH e AS (SELECT *, event_type AS class FROM events WHERE value IS NOT NULL) SELECT class, date_trunc('day', ts) AS start, count(*) FILTER (WHERE value < 50) AS n_decoy, count(*) FILTER (WHERE value >= 50) AS n_target FROM e GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM e)")
 def stream_ledger(spark, d):
     """The windowed ledger of a stream of matches, as far as its watermark has closed windows."""
