@@ -110,9 +110,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of some texts: `codes` into `vocab`, `off` words before each text, `starts` and `ends` bytes."""
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts: `codes` into `vocab`, `off` words before each text, `starts` and `ends` bytes.
+    cut: bytes that begin a word wherever they stand."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, cut: np.ndarray | None = None):
         if lower:
             data = _LOWER[data]
         self.data = data
@@ -122,6 +123,8 @@ class Words:
         first[1:] &= ~black[:-1]
         inner = offs[:-1][offs[:-1] < n]
         first[inner] = black[inner]
+        if cut is not None:
+            first[cut] = black[cut]
         self.starts = np.flatnonzero(first)
         self.off = np.searchsorted(self.starts, offs)
         limits = np.append(self.starts, n).astype(np.int32)

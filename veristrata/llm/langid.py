@@ -3,8 +3,8 @@
 A text becomes the shares of its hashed byte bigrams and trigrams (lower case; everything that isn't a letter is a blank).
 Linear support vector machines, one against the rest, choose the language family; within it, one for each pair of languages
 votes. They are fitted on a bounded sample: SAMPLE different texts a language and SAMPLE_TOTAL texts at most, those of the smallest
-hashes of id and text among all labelled texts that are not held out; no more than these come to the driver, however many
-rows share an id, a text or a null. Prediction reads every whole text and nothing else.
+hashes among all labelled texts that are not held out; no more than these come to the driver, however many rows share a text,
+an id or a null, and however often a text is repeated it is one of the sample at most. Prediction reads every whole text and nothing else.
 
 `und` for a null text, a text without a letter, or where nothing was learned. Rows without lang teach nothing.
 """
@@ -138,7 +138,7 @@ def train_language_model(docs: DataFrame, held_out=None, sample: int = SAMPLE, t
     if held_out is not None:
         usable = usable.where(~F.coalesce(held_out, F.lit(False)))
     letters = F.col("text").cast("string").rlike(r"\p{L}")
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(HASHES))
+    at = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(HASHES))  # of the text alone: copies are one text
     usable = usable.select(F.col("lang").cast("string").alias("lang"), at.alias("at"), F.col("text").cast("string").alias("text")).where(letters)
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}  # one row a language
     if not counts:
@@ -147,9 +147,14 @@ def train_language_model(docs: DataFrame, held_out=None, sample: int = SAMPLE, t
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(HASHES, int(HASHES * (1.2 * each + 5 * each**0.5 + 20) / n)))])
 
     def run(batches):
+        seen = set()  # a text that very many rows have is looked at once a task
         for b in slices(batches):
-            x = shares(*text_buffers(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("at"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "at", "x"])
+            keys = list(zip(b.column("lang").to_pylist(), b.column("at").to_pylist(), strict=True))
+            first = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if first:
+                b = b.take(pa.array(first))
+                x = shares(*text_buffers(b.column("text")))
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("at"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "at", "x"])
 
     # about `each` hashes a language pass the limit; one row of each hash, and no more than `each` of them, goes on
     near = usable.where(F.col("at") < limit[F.col("lang")]).mapInArrow(run, "lang string, at long, x binary")

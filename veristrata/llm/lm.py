@@ -165,8 +165,8 @@ def pair_cells(last: np.ndarray, out: np.ndarray) -> np.ndarray:
 
 
 def common_words(packed: DataFrame) -> list[str]:
-    """The words that are common in some packed row, commonest first, LISTED at most. Only which they are depends on that limit;
-    every word is counted exactly."""
+    """The commonest words of all training texts, by exact counts over the whole corpus (ties in the order of the words), LISTED at most.
+    Which they are does not depend on how texts are packed or dealt out."""
 
     def run(batches):
         none = pa.array([], pa.string())
@@ -176,8 +176,8 @@ def common_words(packed: DataFrame) -> list[str]:
                 if not len(r.w.codes):
                     continue
                 n = np.bincount(r.w.codes[r.train[r.doc]], minlength=len(r.w.vocab))
-                often = np.flatnonzero(n >= max(3, len(r.w.codes) // 40_000))
-                yield pa.RecordBatch.from_arrays([r.w.vocab.take(pa.array(often)), pa.array(n[often], pa.int64())], ["word", "n"])
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([r.w.vocab.take(pa.array(seen)), pa.array(n[seen], pa.int64())], ["word", "n"])
 
     found = packed.select("ids", "lens", "body").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in found.orderBy(F.desc("n"), "word").limit(LISTED).collect()]
