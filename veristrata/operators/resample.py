@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,36 +58,63 @@ def numbered_keys(df: DataFrame, key: str, number: str) -> DataFrame:
     return own.join(ahead, "_p").select(key, (F.col("_n0") + F.col("_i")).alias(number))
 
 
+#: Draws that a task makes at a time.
+DRAWS = 1 << 20
+
+
+def _draw_counts(spark: SparkSession, rounds: int, many: int, seed: int, clusters: int, groups: int) -> DataFrame:
+    """(_block, _group, replicate, at, times): of each replicate's draws, made once, how often each number of a block fell; numbers by the
+    steps between them, both squeezed. A slice of draws begins anywhere in the generator's sequence by a jump."""
+    per = -(-many // DRAWS)
+
+    def run(batches):
+        for b in batches:
+            for s in b.column("id").to_pylist():
+                r, first = s // per, s % per * DRAWS
+                drawn, times = np.unique(lcg_draws(seed, r * many + first, min(DRAWS, many - first), many), return_counts=True)
+                cut = np.searchsorted(drawn, np.arange(0, many + clusters, clusters))
+                on = np.flatnonzero(np.diff(cut))
+                at = [zlib.compress(np.diff(drawn[cut[k] : cut[k + 1]], prepend=k * clusters).astype(np.uint32).tobytes(), 1) for k in on]
+                n = [zlib.compress(times[cut[k] : cut[k + 1]].astype(np.uint32).tobytes(), 1) for k in on]
+                yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(np.full(len(on), r % groups)), pa.array(np.full(len(on), r)), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["_block", "_group", "replicate", "at", "times"])
+
+    slices = rounds * per
+    parts = max(1, min(slices, spark.sparkContext.defaultParallelism * 4, -(-rounds * many // DRAWS) * 4))
+    return spark.range(0, slices, 1, parts).mapInArrow(run, "_block long, _group long, replicate long, at binary, times binary")
+
+
 def clustered_bootstrap(cells: DataFrame, spark: SparkSession, rounds: int = C.BOOTSTRAP_ROUNDS, seed: int = C.BOOTSTRAP_SEED, clusters: int = CLUSTERS) -> DataFrame:
     """(replicate, rr): standardized risk ratios over clusters drawn with replacement.
 
     cells: (cluster, stratum, n, k1, n1, k0, n0) as of clustered_cells. A replicate draws as many clusters as there are, by their
-    number in order. A task has the cells of CLUSTERS clusters and some of the rounds; it makes the draws of each again, a
-    slice at a time, and sums those that fall on its clusters, so any number of cells is resampled the same way.
+    number in order. Every draw is made once, by some task; the counts by replicate and block of CLUSTERS clusters travel to the
+    block's cells, of which each group of rounds has a copy. So the work follows draws and cells, not their product.
     """
     numbers = numbered_keys(cells, "cluster", "_i")
     own = store(cells.join(numbers, "cluster").withColumn("_block", F.floor(F.col("_i") / clusters)), "cells")
     n = own.agg(F.max("_i")).first()[0]
     many = 0 if n is None else n + 1
     groups = min(GROUPS, rounds)
+    kind = cells.schema["stratum"].dataType.simpleString()
+    shape = f"replicate long, stratum {kind}, k1 double, n1 double, k0 double, n0 double"
 
-    def run(key, t):
-        first, group = int(key[0]) * clusters, int(key[1])
-        _, s = np.unique(t["stratum"].to_numpy(), return_inverse=True)
-        names = t["stratum"].to_numpy()[np.unique(s, return_index=True)[1]]
+    def run(key, t, drawn):
+        first = int(key[0]) * clusters
+        _, at, s = np.unique(t["stratum"].to_numpy(), return_index=True, return_inverse=True)
+        names = t["stratum"].to_numpy()[at]
         which, counts, out = t["_i"].to_numpy() - first, t[["k1", "n1", "k0", "n0"]].to_numpy(np.float64), []
-        for r in range(group, rounds, groups):
+        for r, parts in drawn.groupby("replicate") if len(t) else ():
             times = np.zeros(clusters, np.int64)
-            for at in range(0, many, 1 << 20):
-                drawn = lcg_draws(seed, r * many + at, min(1 << 20, many - at), many) - first
-                times += np.bincount(drawn[(drawn >= 0) & (drawn < clusters)], minlength=clusters)
+            for steps, fell in zip(parts["at"], parts["times"], strict=True):
+                times[np.cumsum(np.frombuffer(zlib.decompress(steps), np.uint32).astype(np.int64))] += np.frombuffer(zlib.decompress(fell), np.uint32)
             sums = [np.bincount(s, counts[:, i] * times[which], len(names)) for i in range(4)]
             out.append(pd.DataFrame({"replicate": r, "stratum": names, **dict(zip(("k1", "n1", "k0", "n0"), sums, strict=True))}))
-        return pd.concat(out)
+        return pd.concat(out) if out else pd.DataFrame(columns=["replicate", "stratum", "k1", "n1", "k0", "n0"])
 
-    kind = cells.schema["stratum"].dataType.simpleString()
-    dealt = own.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    sums = dealt.groupBy("_block", "_group").applyInPandas(run, f"replicate long, stratum {kind}, k1 double, n1 double, k0 double, n0 double")
+    if not many:
+        return spark.createDataFrame([], "replicate long, rr double")
+    dealt = own.withColumn("_group", F.explode(F.expr(f"sequence(0L, {groups - 1}L)"))).groupBy("_block", "_group")
+    sums = dealt.cogroup(_draw_counts(spark, rounds, many, seed, clusters, groups).groupBy("_block", "_group")).applyInPandas(run, shape)
     sums = sums.groupBy("replicate", "stratum").agg(*[F.sum(c).alias(c) for c in ("k1", "n1", "k0", "n0")])
     weights = own.groupBy("stratum").agg(F.sum("n").alias("w"))
     on = (F.col("n1") > 0) & (F.col("n0") > 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.operators import kmers
+
 
 #: Characters of the pieces that long texts are read in: a place in a string is found from its start, so whole texts would cost
 #: the square of their length.
@@ -114,12 +116,15 @@ def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, step:
 
 
 def in_own_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str = "seq", text: str = "text", seed: int | None = None) -> DataFrame:
-    """(sequence, group, own): whether a reference of the same group holds the sequence; by seeds within the group. An empty
-    sequence is in no reference."""
+    """(sequence, group, own): whether a reference of the same group holds the sequence: short ones as packed k-mers, longer
+    ones and those of other characters by seeds within the group. An empty sequence is in no reference."""
     q = queries.select(sequence, group).distinct()
-    least = seed or q.where(F.col(sequence) != "").agg(F.min(F.length(sequence))).first()[0] or 1
-    own = seed_matches(q, refs.where(F.col(group).isNotNull()), [], least, sequence, text, [group]).withColumn("own", F.lit(True))
-    return q.join(own, [sequence, group], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    own = kmers.held_by_group(q, refs, group, sequence, text)
+    rest = q.where(~F.col(sequence).rlike(kmers.SHORT) & (F.col(sequence) != ""))
+    least = seed or rest.agg(F.min(F.length(sequence))).first()[0]
+    if least and not rest.isEmpty():
+        own = own.unionAll(seed_matches(rest, refs.where(F.col(group).isNotNull()), [], least, sequence, text, [group]).select(sequence, group))
+    return q.join(own.withColumn("own", F.lit(True)), [sequence, group], "left").withColumn("own", F.coalesce("own", F.lit(False)))
 
 
 def gene_level(found: DataFrame, gene: str, own: str = "own") -> DataFrame:
@@ -154,22 +159,6 @@ def minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
 
 
-def kmers(df: DataFrame, text: str, k: int) -> DataFrame:
-    """The distinct k-mers."""
-    return windows(df.where(F.col(text).isNotNull()), text, [k], []).select(F.col("window").alias("kmer")).distinct()
-
-
-def library_union(a: DataFrame, b: DataFrame, canon: DataFrame) -> DataFrame:
-    """Sizes of two k-mer sets, their union by inclusion and exclusion, and the same of the part in canon. One full-outer
-    aggregation instead of a materialised union."""
-    tag = lambda d, i: d.select("kmer", *[F.lit(int(i == j)).alias(f"in{j}") for j in range(3)])
-    per = tag(a, 0).unionAll(tag(b, 1)).unionAll(tag(canon, 2)).groupBy("kmer").agg(*[F.max(f"in{j}").alias(f"in{j}") for j in range(3)])
-    n = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
-    i0, i1, c = (F.col(f"in{j}") == 1 for j in range(3))
-    one = per.agg(n(i0, "n_a"), n(i1, "n_b"), n(i0 & i1, "n_both"), n(c, "n_canon"), n(i0 & c, "hit_a"), n(i1 & c, "hit_b"), n(i0 & i1 & c, "hit_both"))
-    return one.select("*", (F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("u"), (F.col("hit_a") + F.col("hit_b") - F.col("hit_both")).alias("h"))
-
-
 def union_interval(counts: DataFrame, grid: list[int]) -> DataFrame:
     """Bounds of the hit rate if m more k-mers were in the library, and the ceiling where all headroom is used."""
     u, h, c = F.col("u"), F.col("h"), F.col("n_canon")
@@ -185,13 +174,6 @@ def breadth(occurrences: DataFrame, sequence: str = "seq", tissue: str = "tissue
     return occurrences.groupBy(sequence).agg(F.count_distinct(tissue).alias("breadth"))
 
 
-def shared_kmer_edges(df: DataFrame, node: str, text: str, k: int) -> DataFrame:
-    """(a, b, shared): nodes that share k-mers, and how many."""
-    w = windows(df.where(F.col(text).isNotNull()), text, [k], [node]).select(node, "window").distinct()
-    pair = w.select(F.col(node).alias("a"), "window").join(w.select(F.col(node).alias("b"), "window"), "window").where("a < b")
-    return pair.groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
 def flagged(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
     """Df with whether its key is among keys (a semi join as a flag)."""
     return df.join(keys.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +72,62 @@ def upper_median(values: Column) -> Column:
     return order_statistic(values, F.floor(F.size(values) / 2).cast("int"))
 
 
-def exact_median(value: str) -> Column:
-    """The exact percentile; approximate ones are for monitoring only."""
-    return F.percentile(value, 0.5)
+#: Rows among which a place is looked up at last, and the share of the rows on either side of a place that a round keeps.
+FEW, NEAR = 100_000, 0.005
+
+
+def nth_values(df: DataFrame, value: str, places: list[int]) -> list[float | None]:
+    """The values (as doubles) at 0-based places of the sorted column, nulls left out; null beyond its ends. Exact, whatever the
+    number of different values, and no task holds more than a few: each round takes two approximate quantiles beside the
+    place, counts exactly what lies below, between and above, and goes on with the range that holds it, until that is one value
+    or FEW rows. Any order of rows and any ties give the same. NaN sorts last.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    fine = ~F.isnan("v")
+    whole = v.agg(F.count("*").alias("n"), F.min(F.when(fine, F.col("v"))).alias("lo"), F.max(F.when(fine, F.col("v"))).alias("hi"), F.count_if(~fine).alias("odd")).first()
+    return [_nth(v.where(fine), whole, place) for place in places]
+
+
+def _nth(v: DataFrame, whole, place: int) -> float | None:
+    if not 0 <= place < whole["n"]:
+        return None
+    lo, hi, before, n = whole["lo"], whole["hi"], 0, whole["n"] - whole["odd"]
+    if place >= n:
+        return float("nan")
+    x = F.col("v")
+    while lo < hi and n > FEW:  # n rows lie from lo to hi, `before` below lo
+        own = v.where(x.between(lo, hi))
+        p = (place - before + 0.5) / n
+        a, z = own.agg(F.percentile_approx("v", [max(0.0, p - NEAR), min(1.0, p + NEAR)], 10_000).alias("c")).first()["c"]
+        if (a, z) == (lo, hi):  # a few values fill the range: its ends are taken off
+            ends = own.agg(F.count_if(x == lo).alias("first"), F.count_if(x == hi).alias("last"), F.min(F.when(x > lo, x)).alias("lo"), F.max(F.when(x < hi, x)).alias("hi")).first()
+            if place < before + ends["first"]:
+                return lo
+            if place >= before + n - ends["last"]:
+                return hi
+            lo, hi, before, n = ends["lo"], ends["hi"], before + ends["first"], n - ends["first"] - ends["last"]
+            continue
+        c = own.agg(F.count_if(x < a).alias("below"), F.count_if(x.between(a, z)).alias("mid"), F.max(F.when(x < a, x)).alias("hi"), F.min(F.when(x > z, x)).alias("lo")).first()
+        if place < before + c["below"]:
+            hi, n = c["hi"], c["below"]
+        elif place < before + c["below"] + c["mid"]:
+            lo, hi, before, n = a, z, before + c["below"], c["mid"]
+        else:
+            lo, before, n = c["lo"], before + c["below"] + c["mid"], n - c["below"] - c["mid"]
+    if lo == hi:
+        return lo
+    return v.where(x.between(lo, hi)).orderBy("v").limit(place - before + 1).agg(F.max("v")).first()[0]  # FEW rows
+
+
+def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
+    """As Spark's percentile (linear between the two places beside p), without its one state of all different values."""
+    n = df.agg(F.count(value)).first()[0]
+    if not n:
+        return None
+    at = p * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    a, z = nth_values(df, value, [low, high]) if high > low else nth_values(df, value, [low]) * 2
+    return a if low == high or a == z else (high - at) * a + (at - low) * z
 
 
 def risk_ratio(df: DataFrame, exposed: Column, outcome: Column) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from veristrata import config as C
 from veristrata.functions import columns as K
 from veristrata.functions import evidence as E
-from veristrata.operators import decoy, gates, ladder, registry, resample, sequence, stats
+from veristrata.operators import decoy, gates, kmers, ladder, registry, resample, sequence, stats
 from veristrata.plans import base as B
+from veristrata.plans.checkpoint import store
 from veristrata.plans.queries import _ALPHA, _CANON, _FLAGS_SQL, _KNOWN, _EV, _OR, _P, _Q, _SCORED, _SIZES, _adj, _exposed, _flagged, _hits, _parts, _scored, _swept, query  # noqa: PLC2701
 from veristrata.sources import claims as S
 
@@ -27,7 +28,7 @@ def _own_references(spark, d) -> DataFrame:
 
 def _framed(spark, d) -> DataFrame:
     p = B.occurrences(spark, d).where("tissue = 'en'").select("seq", "gene").distinct()
-    own = sequence.in_own_group(p, _own_references(spark, d), "gene", seed=min(B.LENGTHS))
+    own = sequence.in_own_group(p, _own_references(spark, d), "gene")
     return own.join(_hits(spark, d).withColumnRenamed("hit", "is_self"), "seq")
 
 
@@ -90,19 +91,23 @@ def overlap_two_proportions(spark, d):
 # ---- registries, loci, bests ------------------------------------------------------------------------------------
 
 
-@query("WITH l AS (SELECT l_suppkey AS k, max(p_retailprice) AS v FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1) JOIN part ON l_partkey = p_partkey WHERE p_size = 1 GROUP BY 1), g AS (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1) SELECT s_suppkey, coalesce(l.v, g.v) AS ppm, CASE WHEN l.v IS NOT NULL THEN 'link' WHEN g.v IS NOT NULL THEN 'gene' END AS via FROM supplier LEFT JOIN l ON l.k = s_suppkey LEFT JOIN g ON g.k = s_nationkey")
+@query("WITH l AS (SELECT l_suppkey AS k, max(o_totalprice) AS v FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), g AS (SELECT c_nationkey AS k, max(c_acctbal) AS v FROM customer GROUP BY 1), i AS (SELECT 's' || s_suppkey AS entry, s_suppkey AS link, s_nationkey AS gene FROM supplier UNION ALL SELECT 'c' || c_custkey, NULL, c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, NULL, NULL FROM region) SELECT entry, coalesce(l.v, g.v) AS ppm, CASE WHEN l.v IS NOT NULL THEN 'link' WHEN g.v IS NOT NULL THEN 'gene' END AS via FROM i LEFT JOIN l ON l.k = i.link LEFT JOIN g ON g.k = i.gene")
 def linked_abundance(spark, d):
+    """Suppliers have links to their orders, customers only their nation's values, regions neither."""
     t = lambda n: B.table(spark, d, n)
-    links = t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("entry"), F.col("l_partkey").alias("ident")).distinct()
-    by_id = t("part").where("p_size = 1").select(F.col("p_partkey").alias("ident"), F.col("p_retailprice").alias("ppm"))
-    by_gene = t("customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("gene")).agg(F.max("c_acctbal").alias("ppm"))
-    items = t("supplier").select(F.col("s_suppkey").alias("entry"), F.col("s_nationkey").alias("gene"))
-    return registry.linked_value(items, links, by_id, by_gene, "entry", "ident", "gene", "ppm").select(F.col("entry").alias("s_suppkey"), "ppm", "via")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("entry")
+    none = F.lit(None).cast("long")
+    links = t("lineitem").select(name("s", "l_suppkey"), F.col("l_orderkey").alias("ident")).distinct()
+    by_id = t("orders").select(F.col("o_orderkey").alias("ident"), F.col("o_totalprice").alias("ppm"))
+    by_gene = t("customer").groupBy(F.col("c_nationkey").cast("long").alias("gene")).agg(F.max("c_acctbal").alias("ppm"))
+    items = t("supplier").select(name("s", "s_suppkey"), F.col("s_nationkey").cast("long").alias("gene")).unionAll(t("customer").select(name("c", "c_custkey"), F.col("c_nationkey").cast("long"))).unionAll(t("region").select(name("r", "r_regionkey"), none))
+    return registry.linked_value(items, links, by_id, by_gene, "entry", "ident", "gene", "ppm").drop("gene")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY doc_id")
 def unattached_keys(spark, d):
-    return registry.unattached(B.table(spark, d, "customer"), B.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Documents without a label."""
+    return registry.unattached(B.table(spark, d, "documents"), B.table(spark, d, "labels"), "doc_id")
 
 
 @query("WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'overridden' END AS v FROM labels WHERE quality = 1) SELECT d.doc_id, coalesce(o.v, d.lang) AS lang FROM documents d LEFT JOIN o USING (doc_id)")
@@ -309,19 +314,21 @@ def placebo_null(spark, d):
 
 
 def swaps(refs: DataFrame, words: DataFrame, k: int, strong: int) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
-    """R8's two pools: (items, hits, family) with the family any reference that shares a k-mer with the parent, or `strong` of them. An item
-    is a word; its parent is the first reference that has it as a word, its hits all references that hold it."""
+    """R8's two pools: (items, hits, family). An item is a word; its parent is the first of the parents that has it as a word, its hits
+    all references that hold it. The family are references that are no one's parent and share a k-mer with the parent, or at
+    `strong` places."""
     hits = sequence.matches(words.select("seq"), refs, ["item_id"], lengths=B.LENGTHS).select(F.col("seq").alias("item"), F.col("item_id").alias("gene")).distinct()
     items = words.select(F.col("seq").alias("item"), F.col("item_id").alias("parent"))
-    edges = sequence.shared_kmer_edges(refs, "item_id", "text", k)
-    both = edges.select(F.col("a").alias("parent"), F.col("b").alias("gene"), "shared").unionAll(edges.select("b", "a", "shared"))
-    return {"any": (items, hits, both.select("parent", "gene")), "strong": (items, hits, both.where(F.col("shared") >= strong).select("parent", "gene"))}
+    parents = items.select(F.col("parent").alias("item_id")).distinct().join(refs, "item_id")
+    family = store(kmers.family_counts(parents, refs.withColumnRenamed("item_id", "gene"), k, "item_id").withColumnRenamed("item_id", "parent"), "family")
+    return {"any": (items, hits, family.select("parent", "gene")), "strong": (items, hits, family.where(F.col("places") >= strong).select("parent", "gene"))}
 
 
 @query()
 def decoy_swap_null(spark, d):
     """Words of references against random relatives of their reference, with both pools."""
-    bench = B.table(spark, d, "benchmark")
+    # every reference has a role: those of an even number of characters are parents, the others relatives
+    bench = B.table(spark, d, "benchmark").where("length(text) % 2 = 0")
     words = bench.select("item_id", F.explode(F.split("text", "[ \n]+")).alias("w")).where(F.col("w").rlike("^[A-Za-z]{6,12}$")).groupBy(F.upper("w").alias("seq")).agg(F.min("item_id").alias("item_id"))
     out = None
     for pool, (items, hits, family) in swaps(B.references(spark, d), words, 6, 3).items():

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from veristrata import config as C
 from veristrata.functions import columns as K
 from veristrata.functions import evidence as E
-from veristrata.operators import decoy, gates, graph, ladder, registry, resample, sequence, stats
+from veristrata.operators import decoy, gates, graph, kmers, ladder, registry, resample, sequence, stats
 from veristrata.plans import base as B
+from veristrata.plans.checkpoint import store
 
 QUERIES, SQL = {}, {}
 
@@ -214,7 +215,8 @@ def overlap_by_class(spark, d):
 @query(f"WITH {_OR}, m AS (SELECT q.seq, count(*) AS k FROM q JOIN r ON contains(r.text, q.seq) GROUP BY q.seq) SELECT count(*) AS n, median(k) AS median, max(k) AS most, count(*) FILTER (WHERE k = 1) AS one, count(*) FILTER (WHERE k <= 2) AS upto_two FROM m")
 def compatible_sources(spark, d):
     m = sequence.matches(B.occurrences(spark, d), B.references(spark, d), ["item_id"], lengths=B.LENGTHS).groupBy("seq").agg(F.count_distinct("item_id").alias("k"))
-    return m.agg(F.count("*").alias("n"), stats.exact_median("k").alias("median"), F.max("k").alias("most"), F.sum((F.col("k") == 1).cast("long")).alias("one"), F.sum((F.col("k") <= 2).cast("long")).alias("upto_two"))
+    m = store(m, "sources")
+    return m.agg(F.count("*").alias("n"), F.lit(stats.exact_percentile(m, "k", 0.5)).cast("double").alias("median"), F.max("k").alias("most"), F.sum((F.col("k") == 1).cast("long")).alias("one"), F.sum((F.col("k") <= 2).cast("long")).alias("upto_two"))
 
 
 @query(f"WITH {_OR}, c AS (SELECT upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS text FROM conversations), x AS (SELECT seq FROM h WHERE hit), y AS (SELECT seq FROM q WHERE EXISTS (SELECT 1 FROM c WHERE contains(c.text, q.seq))) SELECT (SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) AS both, (SELECT count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y)) AS only_a, (SELECT count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x)) AS only_b")
@@ -226,8 +228,7 @@ def era_reference_diff(spark, d):
 
 def _library(spark, d) -> DataFrame:
     t = B.table(spark, d, "conversations").select("role", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("text"))
-    k = lambda x: sequence.kmers(x, "text", C.KMER)
-    return sequence.library_union(k(t.where("role = 'user'")), k(t.where("role <> 'user'")), k(B.references(spark, d)))
+    return kmers.library_union(t.where("role = 'user'"), t.where("role <> 'user'"), B.references(spark, d), C.KMER)
 
 
 _KM = "SELECT DISTINCT substring(text, CAST(i AS INT), 9) AS kmer FROM (SELECT text, unnest(range(1, length(text) - 7)) AS i FROM ({0}) WHERE length(text) >= 9)".format
@@ -414,7 +415,19 @@ def id_cascade(spark, d):
 
 @query(f"WITH RECURSIVE r AS ({B.REFERENCES_SQL}), w AS (SELECT DISTINCT item_id, substring(text, CAST(i AS INT), 10) AS k FROM (SELECT item_id, text, unnest(range(1, length(text) - 8)) AS i FROM r WHERE length(text) >= 10)), e AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.k = b.k AND a.item_id <> b.item_id), l AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, l.low FROM l JOIN e ON l.node = e.a WHERE l.low < e.b) SELECT node, min(low) AS component FROM l GROUP BY node")
 def connected_components(spark, d):
-    return graph.connected_components(sequence.shared_kmer_edges(B.references(spark, d), "item_id", "text", 10))
+    return graph.connected_components(kmers.star_edges(B.references(spark, d), "item_id", "text", 10))
+
+
+_FAMILY = f"WITH r AS ({B.REFERENCES_SQL}), p AS (SELECT DISTINCT item_id, substring(text, CAST(i AS INT), 12) AS k FROM (SELECT item_id, text, unnest(range(1, length(text) - 10)) AS i FROM r WHERE length(text) >= 12)), t AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM r)), w AS (SELECT doc_id, substring(text, CAST(i AS INT), 12) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 10)) AS i FROM t WHERE length(text) >= 12)), f AS (SELECT item_id, doc_id, count(*) AS places FROM w JOIN p USING (k) GROUP BY ALL)"
+
+
+@query(_FAMILY + " SELECT item_id, count(*) AS relatives, count(*) FILTER (WHERE places >= 10) AS strong, CAST(sum(places) AS BIGINT) AS places, max(places) AS most FROM f GROUP BY item_id")
+def family_places(spark, d):
+    """Texts that share 12-mers with a reference, by the places that do; texts whose id is a reference's are left out."""
+    refs = B.references(spark, d).withColumnRenamed("item_id", "member")
+    pool = B.table(spark, d, "documents").select(F.col("doc_id").alias("gene"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("text"))
+    f = kmers.family_counts(refs, pool, 12).groupBy(F.col("member").alias("item_id"))
+    return f.agg(F.count("*").alias("relatives"), F.sum((F.col("places") >= 10).cast("long")).alias("strong"), F.sum("places").alias("places"), F.max("places").alias("most"))
 
 
 @query("SELECT 'the' AS quote, count(*) FILTER (WHERE contains(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'the')) AS n FROM pages UNION ALL SELECT 'no such quote', count(*) FILTER (WHERE contains(html, 'no such quote')) FROM pages")
