@@ -157,13 +157,6 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def in_context(text: Column, pattern: str, width: int) -> Column:
-    """2.8: array of (match, context): every match of a pattern with up to `width` characters on either side, as far as the next match."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    near = lambda m, i: F.concat(F.right(F.get(parts, i), F.lit(width)), m, F.left(F.get(parts, i + 1), F.lit(width)))
-    return F.transform(found, lambda m, i: F.struct(m.alias("match"), near(m, i).alias("context")))
-
-
 def wilson(k: Column, n: Column, z: float = C.Z95) -> Column:
     """Struct (p, low, high); zeros for n = 0."""
     p = k / F.nullif(n, F.lit(0))

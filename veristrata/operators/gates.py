@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veristrata import config as C
 from veristrata.functions.columns import plain_text
+from veristrata.operators.phrases import find_phrases
 
 
 class GateError(AssertionError):
@@ -51,22 +52,17 @@ def expansion_holds(figures: DataFrame) -> None:
 
 
 def prose_problems(texts: DataFrame, required: list[str], banned: list[str], exempt: str, section: str | None = None, text: str = "value") -> DataFrame:
-    """(problem, phrase, n): required phrases that no text has, and lines that assert a banned phrase, in any case. Lines that match
+    """(problem, phrase, n): required phrases that no text has, and how often lines assert a banned phrase, in any case. Lines that match
     `exempt` say that a phrase is withdrawn; a section whose heading matches `section` is left out, up to the next heading."""
+    spark = texts.sparkSession
     body = F.col(text)
     if section:
         body = F.regexp_replace(body, rf"(?ims)^##+[^\S\n]*{section}.*?(?=^##|\z)", "")
-    has = [F.coalesce(F.max(F.col(text).contains(p).cast("int")), F.lit(0)).alias(f"r{i}") for i, p in enumerate(required)]
-    one = texts.agg(*has) if has else None
     lines = texts.select(F.explode(F.split(body, "\n")).alias("line")).where(~F.lower("line").rlike(exempt.lower()))
-    asserted = lines.select("line", F.explode(F.array(*[F.lit(b) for b in banned])).alias("phrase")).where(F.lower("line").contains(F.lower("phrase"))) if banned else None
-    out = []
-    if one is not None:
-        pairs = F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"r{i}").alias("has")) for i, p in enumerate(required)])
-        out.append(one.select(F.explode(pairs).alias("x")).where("x.has = 0").select(F.lit("missing").alias("problem"), "x.phrase", F.lit(1).cast("long").alias("n")))
-    if asserted is not None:
-        out.append(asserted.groupBy("phrase").agg(F.count("*").alias("n")).select(F.lit("asserted").alias("problem"), "phrase", "n"))
-    return out[0] if len(out) == 1 else out[0].unionAll(out[1])
+    asserted = find_phrases(lines, banned, "line").groupBy("phrase").agg(F.count("*").alias("n")).select(F.lit("asserted").alias("problem"), "phrase", "n")
+    wanted = spark.createDataFrame([(p,) for p in sorted(set(required))], "phrase string")
+    missing = wanted.join(find_phrases(texts, required, text, ignore_case=False).select("phrase").distinct(), "phrase", "left_anti")
+    return missing.select(F.lit("missing").alias("problem"), "phrase", F.lit(1).cast("long").alias("n")).unionAll(asserted)
 
 
 def numbers_hold(texts: DataFrame, numbers: dict[str, str], text: str = "value") -> list[str]:
@@ -120,6 +116,8 @@ def same_unit(*units: str) -> None:
 
 def quotes_present(texts: DataFrame, column: str, quotes: list[str]) -> DataFrame:
     """(quote, n): texts that hold each quote after tags and white space are normalised."""
-    t = texts.select(plain_text(F.col(column)).alias("t"))
-    one = t.agg(*[F.coalesce(F.sum(F.col("t").contains(q).cast("long")), F.lit(0)).alias(f"q{i}") for i, q in enumerate(quotes)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quote"), F.col(f"q{i}").alias("n")) for i, q in enumerate(quotes)])).alias("x")).select("x.*")
+    t = texts.select(plain_text(F.col(column)).alias("t"), F.monotonically_increasing_id().alias("_row"))
+    found = find_phrases(t, quotes, "t", ["_row"], ignore_case=False)
+    per = found.groupBy("phrase").agg(F.count_distinct("_row").alias("n"))
+    wanted = texts.sparkSession.createDataFrame([(q,) for q in sorted(set(quotes))], "phrase string")
+    return wanted.join(per, "phrase", "left").select(F.col("phrase").alias("quote"), F.coalesce("n", F.lit(0)).alias("n"))

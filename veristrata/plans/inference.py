@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veristrata import config as C
 from veristrata.functions import columns as K
 from veristrata.functions import evidence as E
-from veristrata.operators import decoy, gates, kmers, ladder, registry, resample, sequence, stats
+from veristrata.operators import decoy, gates, kmers, ladder, phrases, registry, resample, sequence, stats
 from veristrata.plans import base as B
 from veristrata.plans.checkpoint import store
 from veristrata.plans.queries import _ALPHA, _CANON, _FLAGS_SQL, _KNOWN, _EV, _OR, _P, _Q, _SCORED, _SIZES, _adj, _exposed, _flagged, _hits, _parts, _scored, _swept, query  # noqa: PLC2701
@@ -281,10 +281,26 @@ def heterogeneous_union(spark, d):
     return sequence.catalogue_union(B.table(spark, d, "conversations").select("role"), B.table(spark, d, "documents").select("lang")).groupBy("role", "lang").agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT lang, regexp_extract_all(text, '[0-9]+') AS m, regexp_split_to_array(text, '[0-9]+') AS p FROM documents), u AS (SELECT lang, m, p, unnest(range(1, len(m) + 1)) AS i FROM t) SELECT lang, count(*) AS n, CAST(sum(least(8, length(p[i])) + length(m[i]) + least(8, length(p[i + 1]))) AS BIGINT) AS letters, max(m[i]) AS last FROM u GROUP BY 1")
+_NUMBERS = "t AS (SELECT lang, text, regexp_extract_all(text, '[0-9]+') AS m, regexp_split_to_array(text, '[0-9]+') AS p FROM documents), u AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM t), m AS (SELECT lang, text, m[k] AS m, 1 + list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS i FROM u)"
+
+
+@query(f"WITH {_NUMBERS} SELECT lang, count(*) AS n, CAST(sum(length(text[greatest(1, i - 8):i + length(m) + 7])) AS BIGINT) AS letters, max(m) AS last, min(text[greatest(1, i - 8):i + length(m) + 7]) AS context FROM m GROUP BY 1")
 def numbers_in_context(spark, d):
-    t = B.table(spark, d, "documents").select("lang", F.explode(K.in_context(F.col("text"), "[0-9]+", 8)).alias("x"))
-    return t.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("x.context")).alias("letters"), F.max("x.match").alias("last"))
+    """2.8: numbers with eight characters on either side, whatever else stands there."""
+    t = phrases.find_pattern(B.table(spark, d, "documents"), "[0-9]+", keep=["lang"], before=8, after=8)
+    return t.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("letters"), F.max("match").alias("last"), F.min("context").alias("context"))
+
+
+_OPENINGS = "SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+ [a-z]+')) AS phrase FROM benchmark WHERE regexp_extract(text, '^[A-Za-z]+ [a-z]+') <> ''"
+
+
+@query(f"WITH p AS ({_OPENINGS}), t AS (SELECT phrase, doc_id, text, lower(text) AS low FROM documents JOIN p ON contains(lower(text), phrase)) SELECT phrase, CAST(sum((length(low) - length(replace(low, phrase, ''))) // length(phrase)) AS BIGINT) AS n, count(DISTINCT doc_id) AS texts, min(text[greatest(1, instr(low, phrase) - 18):instr(low, phrase) + length(phrase) + 21]) AS context FROM t GROUP BY 1")
+def phrases_in_context(spark, d):
+    """The openings of all references in all texts, in any case, found in one scan; contexts of first occurrences."""
+    openings = [r.phrase for r in spark.sql(_OPENINGS.replace("'^[A-Za-z]+ [a-z]+'", "'^[A-Za-z]+ [a-z]+', 0").replace("FROM benchmark", "FROM {benchmark}"), benchmark=B.table(spark, d, "benchmark")).collect()]  # a list of phrases
+    found = phrases.find_phrases(B.table(spark, d, "documents"), openings, keep=["doc_id"], before=18, after=22)
+    per = found.groupBy("phrase", "doc_id").agg(F.count("*").alias("n"), F.min_by("context", "at").alias("context"))
+    return per.groupBy("phrase").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("context").alias("context"))
 
 
 _KINDS = ["3' UTR", "5'UTR overlap", "out of frame", "unitary pseudogene", "intron retained", "lincRNA", "exotic"]
