@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.functions.columns import tissue_tier
+
 
 def unique_only(lookup: DataFrame, name: str, ident: str) -> DataFrame:
     """Names that lead to one id only."""
@@ -22,6 +24,53 @@ def cascade_lookup(df: DataFrame, key: str, tables: list[tuple[str, DataFrame]],
     return out.select(*df.columns, F.coalesce(*ids).alias(ident), F.coalesce(*routes).alias("route"))
 
 
+def symbol_to_gene(df: DataFrame, key: str, info: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """Df with `id` and `route` of its symbol through the registries, in this order: a current symbol (symbol), another registry's symbols,
+    former ones and aliases (registry), a synonym that only one gene has (synonym), a name of the annotation whose gene id some
+    gene refers to (annotation). Case and blanks at the ends don't count; an empty symbol has no gene.
+
+    info: (gene_id, kind, name, _row_idx) of readers.gene_info, where the last row of a symbol or reference counts; symbols: (name,
+    gene_id, kind) of readers.hgnc; names: (gene_name, gene_id) of readers.gene_names, whose ids are the references.
+    """
+    upper = F.upper(F.trim("name")).alias("name")
+    kind = lambda k: info.where(F.col("kind") == k)
+    last = lambda t: t.groupBy("name").agg(F.max_by("id", "_row_idx").alias("id"))
+    symbol = last(kind("symbol").select(upper, F.col("gene_id").alias("id"), "_row_idx"))
+    registry = symbols.groupBy(upper).agg(F.min_by("gene_id", F.struct("kind", "gene_id")).alias("id"))
+    synonym = unique_only(kind("synonym").select(upper, F.col("gene_id").alias("id")), "name", "id")
+    reference = last(kind("xref").select(F.col("name"), F.col("gene_id").alias("id"), "_row_idx"))
+    annotation = names.select(F.upper("gene_name").alias("own"), F.col("gene_id").alias("name")).join(reference, "name").groupBy(F.col("own").alias("name")).agg(F.max("id").alias("id"))
+    own = df.withColumn("_key", F.nullif(F.upper(F.trim(F.coalesce(F.col(key), F.lit("")))), F.lit("")))
+    return cascade_lookup(own, "_key", [("symbol", symbol), ("registry", registry), ("synonym", synonym), ("annotation", annotation)]).drop("_key")
+
+
+def first_route(parts: list[tuple[str, DataFrame]], key: str, value: str, order: str) -> DataFrame:
+    """H7: (key, value, route): of the first route, and in it of the first row, that has a value for the key."""
+    every = None
+    for rank, (route, t) in enumerate(parts):
+        own = t.where(F.col(value).isNotNull()).select(key, value, F.struct(F.lit(rank).alias("rank"), F.col(order).alias("order")).alias("_at"), F.lit(route).alias("route"))
+        every = own if every is None else every.unionAll(own)
+    return every.groupBy(key).agg(F.min_by(F.struct(value, "route"), "_at").alias("x")).select(key, f"x.{value}", "x.route")
+
+
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """H7: one row: rows in which both routes have a value, and those in which it is the same."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    n = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    return df.agg(n(both, "both"), n(both & (F.col(a) == F.col(b)), "agree"))
+
+
+def tier_contamination(df: DataFrame, sequence: str, tissue: str) -> tuple[DataFrame, DataFrame]:
+    """P21 for sequences that span tiers: (tier, n), a sequence once in each of its tiers, other tissues under their own names; and one row:
+    sequences, those in some critical tissue, those in none but immune and privileged ones."""
+    t = tissue_tier(F.col(tissue))
+    tier = F.when(t == "OTHER", F.concat(F.lit("OTHER:"), F.lower(F.trim(F.coalesce(F.col(tissue), F.lit("")))))).otherwise(t).alias("tier")
+    pairs = df.select(sequence, tier).distinct()
+    per = pairs.groupBy(sequence).agg(F.bool_or(F.col("tier") == "CRITICAL").alias("c"), F.bool_and(F.col("tier").isin("IMMUNE", "PRIVILEGED")).alias("p"))
+    n = lambda c, name: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(name)
+    return pairs.groupBy("tier").agg(F.count("*").alias("n")), per.agg(F.count("*").alias("n"), n("c", "critical"), n("p", "tolerated"))
+
+
 def last_wins(base: DataFrame, override: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Base with the value of the last override row of each key, where there is one."""
     last = override.groupBy(key).agg(F.max_by(value, order).alias("_v"))

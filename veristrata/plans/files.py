@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.functions import columns as K
-from veristrata.operators import decoy, stats
+from veristrata.operators import decoy, gates, registry
 from veristrata.plans import base as B
 from veristrata.plans.checkpoint import shared_dir, store
 from veristrata.plans.queries import _ALPHA, _ledger, _ledger_sql, query  # noqa: PLC2701
@@ -68,18 +68,17 @@ def peptide_table_file(spark, d):
     return t.groupBy("orf_class").agg(F.count("*").alias("n"), F.sum(F.col("ligand_len").cast("long")).alias("residues"))
 
 
-@query(_ATLAS + " SELECT hla_allele, locus AS orf_id_or_locus, result AS tumor_specificity_result, count(*) AS n FROM (SELECT CASE WHEN tissue = 'en' THEN 'A, B' WHEN tissue = 'fr' THEN 'say \"C\"' ELSE 'D' END AS hla_allele, gene AS locus, CASE WHEN tissue = 'de' THEN 'absent-from-normal' ELSE 'detected-in-normal' END AS result FROM o) GROUP BY ALL")
+@query(_ATLAS + " SELECT hla_allele, locus AS orf_id_or_locus, result AS tumor_specificity_result, cancer_type, orf_class, count(*) AS n, CAST(sum(len) AS BIGINT) AS residues FROM (SELECT CASE WHEN tissue = 'en' THEN 'A, B' WHEN tissue = 'fr' THEN 'say \"C\"' ELSE 'D' END AS hla_allele, gene AS locus, tissue AS cancer_type, 'lncRNA-ORF' AS orf_class, CASE WHEN gene = 'src3' THEN length(seq) + 1 ELSE length(seq) END AS len, CASE WHEN tissue = 'de' THEN 'absent-from-normal' ELSE 'detected-in-normal' END AS result FROM o) GROUP BY ALL")
 def epitope_table_file(spark, d):
-    """Fields by place, some quoted with the separator or quotes in them."""
-    allele = F.when(F.col("tissue") == "en", '"A, B"').when(F.col("tissue") == "fr", '"say ""C"""').otherwise("D")
-    low = F.when(F.col("tissue") == "de", "Yes").otherwise("no")
-    rest = F.lit("x")
-    fields = [F.col("seq"), F.col("tissue"), allele, *[rest] * 3, F.length("seq").cast("string"), rest, F.col("gene"), rest, low, *[rest] * 5, F.lit("lincRNA")]
-    line = F.concat_ws(",", *fields)
-    path = _lines(B.occurrences(spark, d).select(F.explode(F.array(line, F.lit("too,few,fields"))).alias("value")), "epitopes")
-    t = R.positional(spark, path, 17, min_fields=17, sep=",", skip=0)
-    t = t.select(F.col("_c2").alias("hla_allele"), F.col("_c8").alias("orf_id_or_locus"), F.when(F.lower("_c10") == "yes", "absent-from-normal").otherwise("detected-in-normal").alias("tumor_specificity_result"))
-    return t.groupBy("hla_allele", "orf_id_or_locus", "tumor_specificity_result").agg(F.count("*").alias("n"))
+    """Claims of fields by place, some quoted with the separator or quotes in them, under a header that is out of step."""
+    allele = F.when(F.col("tissue") == "en", "A, B").when(F.col("tissue") == "fr", 'say "C"').otherwise("D")
+    low = F.when(F.col("tissue") == "de", " Yes").otherwise("no")
+    length = F.length("seq") + F.when(F.col("gene") == "src3", 1).otherwise(0)
+    size = F.when(F.col("gene") == "src2", "unknown").otherwise(F.concat(length.cast("string"), F.lit(".0")))
+    fields = {0: F.lower("seq"), 1: F.col("tissue"), 2: allele, 6: size, 8: F.col("gene"), 10: low, 16: F.lit("lincRNA")}
+    path = _tsv(B.occurrences(spark, d).select(*[fields.get(i, F.lit("x")).alias(f"misplaced{i}") for i in range(17)]), "epitopes", ",")
+    t = S.epitope_table(spark, path, "table", "10.1000/epitopes", "Table 3")
+    return t.groupBy("hla_allele", "orf_id_or_locus", "tumor_specificity_result", "cancer_type", "orf_class").agg(F.count("*").alias("n"), F.sum(F.col("ligand_len").cast("long")).alias("residues"))
 
 
 @query("WITH t AS (SELECT doc_id, source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents) SELECT upper(source) AS gene, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues, min('P' || doc_id) AS first FROM t WHERE seq <> '' AND lang = 'en' GROUP BY 1")
@@ -184,6 +183,33 @@ def symbol_file(spark, d):
     return R.hgnc(spark, _tsv(t, "hgnc"))
 
 
+_KEYS = "SELECT c_custkey, list_extract(['g' || n, ' H' || n, 'P' || n, 'S' || c_nationkey, 'T' || n, 'C' || n, ' '], c_custkey % 7 + 1) AS symbol, n FROM (SELECT *, c_custkey // 7 % (SELECT count(*) + 5 FROM supplier) AS n FROM customer)"
+
+
+@query(
+    f"WITH k AS ({_KEYS}), s AS (SELECT s_suppkey AS id, s_nationkey AS nation, s_acctbal > 0 AS linked FROM supplier), u AS (SELECT nation, min(id) AS id FROM s GROUP BY 1 HAVING count(*) = 1)"
+    " SELECT c_custkey, symbol, CAST(CASE c_custkey % 7 WHEN 0 THEN s.id WHEN 1 THEN s.id WHEN 2 THEN s.id WHEN 3 THEN u.id WHEN 4 THEN s.id WHEN 5 THEN CASE WHEN s.linked THEN s.id END END AS VARCHAR) AS id,"
+    " CASE WHEN c_custkey % 7 = 0 AND s.id IS NOT NULL THEN 'symbol' WHEN c_custkey % 7 IN (1, 2) AND s.id IS NOT NULL THEN 'registry' WHEN c_custkey % 7 = 3 AND u.id IS NOT NULL OR c_custkey % 7 = 4 AND s.id IS NOT NULL THEN 'synonym' WHEN c_custkey % 7 = 5 AND s.linked THEN 'annotation' END AS route"
+    " FROM k LEFT JOIN s ON s.id = k.n LEFT JOIN u ON c_custkey % 7 = 3 AND 'S' || u.nation = k.symbol"
+)
+def symbol_cascade_files(spark, d):
+    """J14 through files of four registries: symbols, another registry's symbols and former ones, synonyms of one gene only, clone names."""
+    t = B.table(spark, d, "supplier")
+    k, id_ = F.col("s_suppkey").cast("string"), F.col("s_suppkey").cast("string").alias("id")
+    name = lambda p, c=k: F.concat(F.lit(p), c)
+    synonyms = F.concat(name("s", F.col("s_nationkey").cast("string")), F.lit("|"), name("T"))
+    xrefs = F.when(F.col("s_acctbal") > 0, F.concat(name("MIM:1|Ensembl:ENSG"), F.lit(".2"))).otherwise("-")
+    info = R.gene_info(spark, _tsv(t.select(F.lit("9606").alias("tax"), id_, name("G").alias("symbol"), F.lit("-").alias("locus"), synonyms.alias("synonyms"), xrefs.alias("xrefs")), "gene_info"))
+    hgnc = R.hgnc(spark, _tsv(t.select(k.alias("entrez_id"), name("H").alias("symbol"), name("P").alias("prev_symbol"), F.lit("").alias("alias_symbol"), F.lit("").alias("gene_group")), "hgnc"))
+    gtf = F.concat(F.lit('chr1\tX\tgene\t1\t2\t.\t+\t.\tgene_id "ENSG'), k, F.lit('.7"; gene_name "C'), k, F.lit('";'))
+    names = R.gene_names(spark, _lines(t.select(gtf.alias("value")), "gtf"))
+    many = t.count() + 5
+    n = ((F.col("c_custkey") - F.col("c_custkey") % 7) / 7).cast("long") % many
+    kinds = [name(p, n.cast("string")) for p in ("g", " H", "P")] + [name("S", F.col("c_nationkey").cast("string"))] + [name(p, n.cast("string")) for p in ("T", "C")] + [F.lit(" ")]
+    keys = B.table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*kinds), (F.col("c_custkey") % 7 + 1).cast("int")).alias("symbol"))
+    return registry.symbol_to_gene(keys, "symbol", info, hgnc, names)
+
+
 @query("SELECT 'G' || s_nationkey AS name, 'ENSG' || min(s_suppkey) AS first, 'ENSG' || max(s_suppkey) AS last FROM supplier GROUP BY s_nationkey")
 def annotation_file(spark, d):
     """Names of genes, the first row's id and the last one's, in the order of one file."""
@@ -195,16 +221,16 @@ def annotation_file(spark, d):
     return first.join(R.gene_names(spark, path).select(F.col("gene_name").alias("name"), F.col("gene_id").alias("last")), "name")
 
 
-@query("SELECT count(*) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("SELECT page_id, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL AND html <> ''")
 def page_digests(spark, d):
-    """Pages as lines of one file each, by length and digest of the files; every digest differs from none of its own text."""
+    """Pages through files: the digest of each as it comes back. The files' own digests are of their bytes, or this is an error."""
     path = _path(spark, "pages")
     t = B.table(spark, d, "pages").where("html is not null and html <> ''").select(F.base64(F.encode("html", "UTF-8")).alias("h"), "page_id")
     sinks.sorted_table(t.select("page_id", F.regexp_replace("h", "\\s", "").alias("h")), path, "page_id")
-    back = R.headered_csv(spark, path).select(F.unbase64("h").alias("raw"))
-    digests = R.digests(spark, path + "/*.csv").agg(F.sum("length").alias("on_disk"), F.count_distinct("sha256").alias("digests"), F.count("*").alias("parts"))
-    one = back.agg(F.count("*").alias("files"), F.sum(F.octet_length("raw")).alias("bytes"))
-    return one.crossJoin(digests).where("digests = parts").select("files", "bytes")  # one row each
+    whole = spark.read.format("binaryFile").load(path + "/*.csv").select(F.col("path"), F.sha2("content", 256).alias("own"))
+    gates.same(R.digests(spark, path + "/*.csv").select("path", F.col("sha256").alias("own")), whole, "path", "own")
+    raw = F.unbase64("h")
+    return R.headered_csv(spark, path).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).alias("length"), F.sha2(raw, 256).alias("sha256"))
 
 
 @query("WITH p AS (SELECT CASE user_id % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'novel' ELSE 'other' END AS class, user_id FROM events) SELECT class, count(*) AS n FROM p GROUP BY 1")

@@ -110,6 +110,52 @@ def unattached_keys(spark, d):
     return registry.unattached(B.table(spark, d, "documents"), B.table(spark, d, "labels"), "doc_id")
 
 
+_ROUTES = f"WITH o AS ({B.OCCURRENCES_SQL}), n AS (SELECT n_nationkey AS k, 'R' || n_regionkey AS gene, substr(n_name, 1, 1) AS initial FROM nation), m AS (SELECT initial, min_by(gene, k) AS gene FROM n GROUP BY 1), a AS (SELECT seq, min(gene) AS gene FROM o WHERE tissue = 'en' GROUP BY 1), b AS (SELECT DISTINCT o.seq, n.gene AS gene, m.gene AS other FROM o LEFT JOIN n ON n.k = length(o.seq) LEFT JOIN m ON m.initial = substr(o.seq, 1, 1) WHERE tissue = 'fr')"
+
+
+def _routes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Words of two cohorts: of one a gene is said; of the other a transcript (their length), and a symbol (their initial)."""
+    t, n = B.occurrences(spark, d), B.table(spark, d, "nation")
+    gene = F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))
+    by_transcript = n.select(F.col("n_nationkey").cast("int").alias("transcript"), gene.alias("gene"))
+    by_symbol = n.groupBy(F.substr("n_name", F.lit(1), F.lit(1)).alias("symbol")).agg(F.min_by(gene, "n_nationkey").alias("other"))
+    two = t.where("tissue = 'fr'").select("seq", F.length("seq").alias("transcript"), F.substr("seq", F.lit(1), F.lit(1)).alias("symbol")).distinct()
+    return t.where("tissue = 'en'").select("seq", "gene"), two.join(F.broadcast(by_transcript), "transcript", "left").join(F.broadcast(by_symbol), "symbol", "left")  # rows of nation
+
+
+@query(_ROUTES + ", r AS (SELECT coalesce(a.seq, b.seq) AS seq, coalesce(a.gene, b.gene) AS gene, CASE WHEN a.gene IS NOT NULL THEN 'said' ELSE 'transcript' END AS route FROM a FULL JOIN (SELECT * FROM b WHERE gene IS NOT NULL) b ON a.seq = b.seq) SELECT route, gene, count(*) AS n, min(seq) AS first FROM r WHERE gene IS NOT NULL GROUP BY ALL")
+def routed_genes(spark, d):
+    """H7: the gene of each word by the first route that has one."""
+    said, other = _routes(spark, d)
+    found = registry.first_route([("said", said.withColumn("at", F.col("gene"))), ("transcript", other.select("seq", "gene", F.col("gene").alias("at")))], "seq", "gene", "at")
+    return found.groupBy("route", "gene").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
+@query(_ROUTES + " SELECT count(*) FILTER (WHERE gene IS NOT NULL AND other IS NOT NULL) AS both, count(*) FILTER (WHERE gene = other) AS agree FROM b")
+def route_agreement(spark, d):
+    """H7: how often two routes to a gene agree where both lead somewhere."""
+    return registry.agreement(_routes(spark, d)[1], "gene", "other")
+
+
+_SPANS = f"WITH o AS ({B.OCCURRENCES_SQL}), t AS (SELECT DISTINCT seq, CASE tissue WHEN 'en' THEN 'CRITICAL' WHEN 'fr' THEN 'HIGH' WHEN 'de' THEN 'PRIVILEGED' WHEN 'es' THEN 'IMMUNE' ELSE 'OTHER:elbow' END AS tier FROM o)"
+
+
+def _spans(spark, d) -> DataFrame:
+    named = F.create_map(*[F.lit(x) for x in ("en", "Brain ", "fr", "skin", "de", "testis", "es", "Thymus")])
+    return B.occurrences(spark, d).select("seq", F.coalesce(named[F.col("tissue")], F.lit("Elbow")).alias("tissue"))
+
+
+@query(_SPANS + " SELECT tier, count(*) AS n FROM t GROUP BY 1")
+def tier_histogram(spark, d):
+    """Words by the tiers of their tissues; a word may span several."""
+    return registry.tier_contamination(_spans(spark, d), "seq", "tissue")[0]
+
+
+@query(_SPANS + ", p AS (SELECT seq, bool_or(tier = 'CRITICAL') AS c, bool_and(tier IN ('IMMUNE', 'PRIVILEGED')) AS p FROM t GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE c) AS critical, count(*) FILTER (WHERE p) AS tolerated FROM p")
+def tier_contamination(spark, d):
+    return registry.tier_contamination(_spans(spark, d), "seq", "tissue")[1]
+
+
 @query("WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'overridden' END AS v FROM labels WHERE quality = 1) SELECT d.doc_id, coalesce(o.v, d.lang) AS lang FROM documents d LEFT JOIN o USING (doc_id)")
 def last_override(spark, d):
     over = B.table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("overridden").alias("lang"), F.lit(1).alias("at"))

@@ -138,12 +138,12 @@ def gene_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gene_info(spark: SparkSession, path: str) -> DataFrame:
-    """(gene_id, kind, name): symbols, synonyms and Ensembl cross references."""
+    """(gene_id, kind, name, _row_idx): symbols, synonyms and Ensembl cross references, each once, with its last row."""
     t = positional(spark, path, 6, min_fields=6)
-    row = lambda kind, c: t.select(F.col("_c1").alias("gene_id"), F.lit(kind).alias("kind"), c.alias("name"))
+    row = lambda kind, c: t.select(F.col("_c1").alias("gene_id"), F.lit(kind).alias("kind"), c.alias("name"), "_row_idx")
     many = lambda i: F.explode(F.split(f"_c{i}", r"\|"))
     xref = row("xref", many(5)).where(F.col("name").startswith("Ensembl:")).withColumn("name", F.substring_index(F.regexp_replace("name", "^Ensembl:", ""), ".", 1))
-    return row("symbol", F.col("_c2")).unionAll(row("synonym", many(4))).unionAll(xref).where("name <> '-'").distinct()
+    return row("symbol", F.col("_c2")).unionAll(row("synonym", many(4))).unionAll(xref).where("name <> '-'").groupBy("gene_id", "kind", "name").agg(F.max("_row_idx").alias("_row_idx"))
 
 
 def gene_group(spark: SparkSession, path: str, relation: str = "Related functional gene", reverse: str = "Related pseudogene") -> DataFrame:
@@ -202,13 +202,33 @@ def resolve(base: str | None, name: str, variable: str = "VERISTRATA_DATA") -> s
     return path
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that are in memory while its digest is made.
+CHUNK = 8 << 20
 
 
-def sequence_stats(proteins: DataFrame) -> DataFrame:
-    return proteins.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("residues"))
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files of any length, on any store that pyarrow.fs reaches: a task streams a file's chunks through the
+    state of the hash."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            out = []
+            for p in b.column("path").to_pylist():
+                at, own = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p.removeprefix("file:"))
+                h = hashlib.sha256()
+                with at.open_input_stream(own) as f:
+                    while chunk := f.read(CHUNK):
+                        h.update(chunk)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(out, pa.string())], ["path", "length", "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # no content is read
+    return files.repartition(max(1, min(files.count(), spark.sparkContext.defaultParallelism * 4)), "path").mapInArrow(run, "path string, length long, sha256 string")
 
 
 def json_artifact(spark: SparkSession, path: str) -> DataFrame:
