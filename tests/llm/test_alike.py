@@ -95,3 +95,43 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
         got.append({r.doc_id: r.score for r in lm.score_texts(docs(spark, rows).repartition(parts)).collect()})
     for other in got[1:]:
         assert max(abs(other[i] - got[0][i]) for i in got[0]) < 1e-6 * max(1, max(abs(v) for v in got[0].values()))
+
+
+def test_the_largest_id_is_no_null(spark):
+    import public_tokenizers
+
+    from veristrata.llm import dac, jaccard, media, packing, substring, suffix
+
+    last = 2**63 - 1
+    d = docs(spark, [(last, "one two three four five six"), (None, "one two three four five six"), (3, "seven eight"), (last, None)])
+    want = sorted([last, last, 3, None], key=str)
+    ids = lambda t: sorted((r.doc_id for r in t.select("doc_id").collect()), key=str)
+    assert ids(lm.score_texts(d)) == want
+    assert ids(langid.predict_languages(d, None)) == want
+    assert ids(packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json"))) == want
+    assert ids(substring.dedup_words(d, texts=False)) == want
+    assert ids(jaccard.jaccard_components(d)) == want
+    assert ids(media.encode_media(d)) == want
+    assert ids(suffix.dedup_bytes(d, texts=False)) == want
+    assert ids(dac.read_ids(dac.write_ids(d, public_tokenizers.path("byte_bpe_50k.json")))) == want
+
+
+def test_token_files_order_rows_of_one_id(spark):
+    import public_tokenizers
+
+    from veristrata.llm import dac
+
+    rows = [(7, f"text number {i}") for i in range(40)] + [(1, "first"), (9, "last"), (None, "nameless"), (7, "text number 3")]
+    seen = []
+    for parts in (1, 5):
+        got = dac.read_ids(dac.write_ids(docs(spark, rows).repartition(parts), public_tokenizers.path("byte_bpe_50k.json"))).collect()
+        seen.append(sorted((r.start, str(r.doc_id), r.ids_crc32) for r in got))
+        assert [r[1] for r in seen[-1]] == ["1"] + ["7"] * 41 + ["9", "None"]
+    assert seen[0] == seen[1]
+
+
+def test_empty_tables(spark):
+    from veristrata.llm import jaccard, substring, suffix
+
+    d = docs(spark, [(1, "x")]).limit(0)
+    assert substring.dedup_words(d, texts=False).count() == jaccard.jaccard_components(d).count() == suffix.dedup_bytes(d, texts=False).count() == 0

@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: shared folders, Arrow text access, word and id extraction, packed documents.
 
 Conventions that every operator follows unless its docstring says otherwise: a null text is an empty text; a null
-``doc_id`` sorts after every other id and comes back as null; rows with equal ids are separate rows; columns that an
+``doc_id`` sorts after every other id (the largest of 64 bits ranks with it, where ids decide) and comes back as null; rows with equal ids are separate rows; columns that an
 operator does not name are ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -87,13 +87,34 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def long_values(col: pa.Array) -> np.ndarray:
+class Ids(np.ndarray):
+    """Ids in order, null as NO_ID; `real`: which of those with that value are ids all the same (None: none is)."""
+
+    real: np.ndarray | None = None
+
+    def __array_finalize__(self, other):
+        self.real = None  # it belongs to the whole array, not to parts of it
+
+
+def long_values(col: pa.Array) -> Ids:
     """Ids as int64, null as NO_ID."""
-    return pc.fill_null(col.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    own = col.cast(pa.int64())
+    out = pc.fill_null(own, NO_ID).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(Ids)
+    real = (np.asarray(out) == NO_ID) & pc.is_valid(own).to_numpy(zero_copy_only=False)
+    out.real = real if real.any() else None
+    return out
 
 
 def id_array(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+    gone = np.asarray(ids) == NO_ID
+    if getattr(ids, "real", None) is not None:
+        gone &= ~ids.real
+    return pa.array(np.asarray(ids), pa.int64(), mask=gone)
+
+
+def id_bytes(ids: Ids) -> bytes:
+    """The ids, and behind them which of them are real if some must be told from nulls."""
+    return ids.tobytes() + (b"" if ids.real is None else ids.real.tobytes())
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -344,7 +365,7 @@ def pack(docs: DataFrame, name: str, limit: int = SLICE_BYTES, keep: list[str] |
             data, offs = text_buffers(b.column("text"))
             ids = long_values(b.column("doc_id"))
             yield pa.RecordBatch.from_pydict(
-                {"src": pa.array([(part << 32) + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "lens": pa.array([np.diff(offs).tobytes()], pa.binary()), "body": pa.array([z.compress(data.tobytes())], pa.binary()), "rest": pa.array([_to_ipc(b.select(names)) if names else None], pa.binary())}
+                {"src": pa.array([(part << 32) + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([id_bytes(ids)], pa.binary()), "lens": pa.array([np.diff(offs).tobytes()], pa.binary()), "body": pa.array([z.compress(data.tobytes())], pa.binary()), "rest": pa.array([_to_ipc(b.select(names)) if names else None], pa.binary())}
             )
             k += 1
 
@@ -369,7 +390,11 @@ def unpack(ids: bytes, lens: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray
     import zstandard
 
     offs = np.append(0, np.cumsum(np.frombuffer(lens, np.int64)))
-    return np.frombuffer(ids, np.int64), np.frombuffer(zstandard.decompress(body) if len(body) else b"", np.uint8), offs
+    n = len(offs) - 1
+    own = np.frombuffer(ids, np.int64, n).view(Ids)
+    if len(ids) > 8 * n:
+        own.real = np.frombuffer(ids, bool, n, 8 * n)
+    return own, np.frombuffer(zstandard.decompress(body) if len(body) else b"", np.uint8), offs
 
 
 def squeeze(a: np.ndarray) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm import files
-from veristrata.llm.common import ChunkCoder, crc, id_array, long_values, shared_dir, slices, store, table, text_buffers, tidy
+from veristrata.llm.common import ChunkCoder, crc, shared_dir, slices, store, table, text_buffers, tidy
 
 MAGIC = b"DAC1"
 LEVEL_BITS = (8, 8, 16)
@@ -31,6 +31,8 @@ RANK_BITS = 512
 END_ID = 2
 #: Bytes of text that one stored file holds.
 FILE_BYTES = 4 << 20
+#: Bytes of text of a range of ids, about.
+RANGE_BYTES = 64 << 20
 
 
 def build(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -155,7 +157,7 @@ class Dac:
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files in ascending id order; their stored manifest: (part, seq, n_ids, doc_ids, path).
 
-    Texts are dealt out by ranges of doc_id and sorted within them; ids are made after that, so only texts travel.
+    Texts are dealt out by ranges of doc_id (and for rows of one id, of the hash of their texts) and sorted within them; ids are made after that, so only texts travel.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -173,12 +175,15 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_bytes:
             out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offs))] = ids
             path = f"{folder}/{part:06d}-{seq:06d}-{task.taskAttemptId()}.dac"
             files.put(path, build(out, offs[:-1] + np.arange(n)))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([long_values(b.column("doc_id")).tobytes()], pa.binary()), pa.array([path])], ["part", "seq", "n_ids", "doc_ids", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(out)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("doc_id")), pa.array([path])], ["part", "seq", "n_ids", "doc_ids", "path"])
             seq += 1
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = texts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
-    return store(dealt.mapInArrow(run, "part long, seq long, n_ids long, doc_ids binary, path string"), "token-manifest")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]  # rows of one id have an order too, and may be dealt to several ranges
+    dealt = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return store(dealt.mapInArrow(run, "part long, seq long, n_ids long, doc_ids array<long>, path string"), "token-manifest")
 
 
 def placed(manifest: DataFrame) -> DataFrame:
@@ -196,13 +201,13 @@ def read_ids(manifest: DataFrame, end_id: int = END_ID) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for before, raw, path in zip(*(b.column(c).to_pylist() for c in ("before", "doc_ids", "path")), strict=True):
+            for before, raw, path in zip(b.column("before").to_pylist(), b.column("doc_ids"), b.column("path").to_pylist(), strict=True):
                 d = Dac(files.get(path))
                 stops = np.append(d.starts[1:], d.n)
                 if (d.at(stops - 1) != end_id).any():
                     raise ValueError(f"a document of {path} doesn't end with id {end_id}")
                 sums = [crc(memoryview(d.document(k).astype("<u4")).cast("B")) for k in range(len(d.starts))]
-                yield pa.RecordBatch.from_arrays([id_array(np.frombuffer(raw, np.int64)), pa.array(before + d.starts), pa.array(stops - d.starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([raw.values, pa.array(before + d.starts), pa.array(stops - d.starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
             tidy()
 
     return placed(manifest).select("before", "doc_ids", "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

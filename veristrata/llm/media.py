@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.llm import flac
-from veristrata.llm.common import crc, id_array, long_values, slices, store, table, text_buffers, tidy
+from veristrata.llm.common import crc, slices, store, table, text_buffers, tidy
 
 #: Bytes that a worker encodes or decodes at a time.
 MEDIA_SLICE = 2 << 20
@@ -68,7 +68,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
             data, offs = text_buffers(b.column("text"))
             full, lens = padded(data, offs)
             streams = flac.encode_streams(samples_of(full), lens)
-            yield pa.RecordBatch.from_arrays([id_array(long_values(b.column("doc_id"))), pa.array(np.diff(offs)), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs)), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

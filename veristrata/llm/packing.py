@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import ChunkCoder, crc, id_array, long_values, slices, store, table, text_buffers
+from veristrata.llm.common import ChunkCoder, crc, slices, store, table, text_buffers
 
 SIZE = 4096
 #: How long the longest length of an exact fill must be, as a share of the one that best fit would take: one plan each.
@@ -189,7 +189,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = E
             rank[order] = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
             rank += seen[length]
             seen += np.bincount(length, minlength=size + 1)
-            yield pa.RecordBatch.from_arrays([id_array(long_values(b.column("doc_id"))[doc]), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), part)), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(np.full(len(doc), part)), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return store(texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
