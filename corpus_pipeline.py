@@ -17,7 +17,7 @@ from veristrata.llm.jaccard import jaccard_components
 from veristrata.llm.langid import UNKNOWN, predict_languages, train_language_model
 from veristrata.llm.packing import pack_documents
 from veristrata.llm.substring import dedup_words
-from veristrata.plans.checkpoint import store
+from veristrata.plans.checkpoint import discard, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids that stand for null ones are at least this.
@@ -81,9 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = store(docs, name)
+            if last is not None:
+                discard(last)  # the table that this stage has read
+            last = docs
     return docs
