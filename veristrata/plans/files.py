@@ -284,6 +284,60 @@ def candidate_workbooks(spark, d):
     return claims.groupBy("gene", "citation_location", "orf_class", "hla_allele").agg(F.count("*").alias("n"), F.sum(F.length("peptide_sequence")).alias("letters"))
 
 
+#: A workbook a source: its texts are gene rows with the long words of the text as peptides, the words of 12 letters are tested, and
+#: words with a q-value are those of 9 letters in any text, twice, with an annotation.
+_GENES = f"""WITH o AS (SELECT DISTINCT seq, gene, tissue FROM ({B.OCCURRENCES_SQL}) WHERE gene IS NOT NULL),
+  g AS (SELECT source AS book, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'SAGE1' ELSE 'G' || doc_id END AS gene, {_KIND.format(t='lang')} AS kind, list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda x: regexp_full_match(x, '[A-Za-z]{{11,12}}')), lambda x: upper(x))) AS peps FROM documents WHERE source IS NOT NULL),
+  p AS (SELECT book, gene, kind, unnest(CASE WHEN len(peps) > 0 THEN peps ELSE ['not reported'] END) AS pep, len(peps) > 0 AS has FROM g),
+  q AS (SELECT DISTINCT gene AS book, seq, CAST(length(seq) + 100 AS DOUBLE) / 10000 AS q FROM o WHERE length(seq) IN (9, 12)),
+  t AS (SELECT gene AS book, seq, max(tissue) AS tissue FROM o WHERE length(seq) = 12 GROUP BY ALL),
+  c AS (SELECT book, 'Table S23' AS place, CASE WHEN kind = 'lincRNA' THEN 'lncRNA-ORF' WHEN kind = 'processed_pseudogene' THEN 'pseudogene-ORF' ELSE 'other' END AS orf_class, CASE WHEN gene = 'SAGE1' AND kind NOT IN ('lincRNA', 'processed_pseudogene') THEN 'TAA' ELSE 'TSA' END AS antigen_type, 'not reported' AS result, pep, q.q FROM p LEFT JOIN q USING (book) WHERE q.seq = p.pep
+    UNION ALL SELECT book, 'Table S23', CASE WHEN kind = 'lincRNA' THEN 'lncRNA-ORF' WHEN kind = 'processed_pseudogene' THEN 'pseudogene-ORF' ELSE 'other' END, CASE WHEN gene = 'SAGE1' AND kind NOT IN ('lincRNA', 'processed_pseudogene') THEN 'TAA' ELSE 'TSA' END, 'not reported', pep, NULL FROM p WHERE (book, pep) NOT IN (SELECT (book, seq) FROM q)
+    UNION ALL SELECT book, 'Tables S16/S17/S18', CASE {_KIND.format(t='tissue')} WHEN 'lincRNA' THEN 'lncRNA-ORF' WHEN 'processed_pseudogene' THEN 'pseudogene-ORF' ELSE 'other' END, 'TSA', CASE tissue WHEN 'en' THEN 'absent-from-normal' WHEN 'fr' THEN 'detected-in-normal' ELSE 'not reported' END, t.seq, q.q FROM t JOIN q USING (book, seq))"""
+
+
+def _gene_books(spark, d) -> DataFrame:
+    """The parsed rows of the workbooks that _GENES describes."""
+    kind = lambda c: F.expr(_KIND.format(t=c))
+    words = F.array_distinct(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda x: x.rlike("^[A-Za-z]{11,12}$")), lambda x: F.lower(x)))
+    t = B.table(spark, d, "documents").where("source is not null").select(F.col("source").alias("workbook"), F.col("doc_id").cast("string").alias("seq"), F.col("lang").alias("tissue"), "doc_id", words.alias("words"))
+    gene = F.when(F.col("doc_id") % 11 == 0, "SAGE1").otherwise(F.concat(F.lit("G"), F.col("doc_id").cast("string")))
+    x = F.lit("x")
+    sheets = [_book(t, "S23", 0, [["gene_id", "transcript_id", "gene_name", "gene_type", "n", "%", "Source", "Peptide", "high"]], [F.concat(F.lit("E"), "seq"), x, gene, kind("tissue"), F.lit("2"), x, x, F.array_join("words", "; "), x])]
+    o = B.occurrences(spark, d).where("gene is not null").select(F.col("gene").alias("workbook"), "seq", "tissue").distinct()
+    q = ((F.length("seq") + 100).cast("double") / 10000).cast("string")
+    named = F.concat(F.substr("seq", F.lit(1), F.lit(4)), F.lit("(Oxidation)"), F.substr("seq", F.lit(5), F.lit(99)))
+    some = o.where(F.length("seq").isin(9, 12))
+    both = some.select("workbook", "seq", "tissue", F.explode(F.array(F.struct(named.alias("as"), q.alias("q")), F.struct(F.lower("seq").alias("as"), F.lit("0.9").alias("q")))).alias("m"))
+    sheets.append(_book(both, "S26", 1, [["target_decoy", "sequence", "q-value"]], [F.lit("target"), F.col("m.as"), F.col("m.q")]))
+    tested = o.where(F.length("seq") == 12).groupBy("workbook", "seq").agg(F.max("tissue").alias("tissue"))
+    sheets.append(_book(tested, "S19", 2, [["a", "b", "gene_name", "gene_type"]], [x, x, F.concat(F.lit("N"), "seq"), kind("tissue")]))
+    said = F.when(F.col("tissue") == "en", "Yes").when(F.col("tissue") == "fr", " no").otherwise("?")
+    sheets.append(_book(tested, "S16", 3, [["h"] * 12], [F.lower("seq"), x, F.concat(F.lit("N"), "seq"), *[x] * 6, said, x, F.lit("YES")]))
+    every = sheets[0]
+    for more in sheets[1:]:
+        every = every.unionAll(more)
+    path = _path(spark, "gene-books")
+    W.write_workbooks(every, path, ["at", "k", "seq", "tissue"])
+    return store(W.read_workbooks(spark, path), "sheets").withColumn("path", F.regexp_extract("path", r"([^/]*)[.]xlsx$", 1))
+
+
+@query(_GENES + " SELECT book, place AS citation_location, orf_class, antigen_type, result AS tumor_specificity_result, count(*) AS n, count(q) AS with_q, round(sum(q), 6) AS q, CAST(sum(length(pep)) AS BIGINT) AS letters FROM c GROUP BY ALL")
+def gene_workbooks(spark, d):
+    """Claims of workbooks of genes with their peptides, tested peptides, types and q-values."""
+    claims = W.gene_workbook_claims(_gene_books(spark, d), W.REACTIVE, W.NEGATIVE, "10.1000/genes", "x", "cohort:genes")
+    q = F.col("psm_qvalue").try_cast("double")
+    return claims.groupBy(F.col("path").alias("book"), "citation_location", "orf_class", "antigen_type", "tumor_specificity_result").agg(F.count("*").alias("n"), F.count(q).alias("with_q"), F.round(F.sum(q), 6).alias("q"), F.sum(F.length("peptide_sequence")).alias("letters"))
+
+
+@query(_GENES + " SELECT book, count(*) AS n, min(seq) AS first FROM q WHERE (book, seq) NOT IN (SELECT (book, pep) FROM c) GROUP BY 1")
+def unattached_workbook_keys(spark, d):
+    """Peptides with a q-value that no claim of their workbook carries."""
+    rows = _gene_books(spark, d)
+    claims = W.gene_workbook_claims(rows, W.REACTIVE, W.NEGATIVE, "10.1000/genes", "x", "cohort:genes")
+    return W.unattached_q_values(rows, claims).groupBy(F.col("path").alias("book")).agg(F.count("*").alias("n"), F.min("peptide").alias("first"))
+
+
 @query("WITH e AS (SELECT *, event_type AS class FROM events WHERE value IS NOT NULL) SELECT class, date_trunc('day', ts) AS start, count(*) FILTER (WHERE value < 50) AS n_decoy, count(*) FILTER (WHERE value >= 50) AS n_target FROM e GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM e)")
 def stream_ledger(spark, d):
     """The windowed ledger of a stream of matches, as far as its watermark has closed windows."""
