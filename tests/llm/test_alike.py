@@ -135,3 +135,23 @@ def test_empty_tables(spark):
 
     d = docs(spark, [(1, "x")]).limit(0)
     assert substring.dedup_words(d, texts=False).count() == jaccard.jaccard_components(d).count() == suffix.dedup_bytes(d, texts=False).count() == 0
+
+
+def test_blocks_of_items_share_a_scan(spark, monkeypatch, tmp_path):
+    rng = random.Random(21)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    items = [letters(rng.randrange(5, 90)) for _ in range(40)]
+    rows = [(i, letters(50) + " " + items[i % 40] + " " + letters(50)) for i in range(60)] + [(100 + i, letters(120)) for i in range(30)]
+    want = {(i, i % 40) for i in range(60)}
+    docs(spark, rows).write.parquet(f"{tmp_path}/d")
+    d, b = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b).collect()} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    surveys = []
+    survey = decontaminate.survey
+    monkeypatch.setattr(decontaminate, "survey", lambda *a: surveys.append(1) or survey(*a))
+    found = decontaminate.find_leaks(d, b)
+    assert len(surveys) == 1 and found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+    monkeypatch.setattr(decontaminate, "TOGETHER", 3)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b).collect()} == want and len(surveys) > 2
