@@ -38,22 +38,24 @@ def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None else np.zeros(0, np.uint8), o - o[0]
 
 
-def windows(col: pa.Array, k: int):
-    """(k-mers, row of each) of a column of texts, PLACES places at a time."""
+def windows(col: pa.Array, lengths: list[int]):
+    """(k, k-mers, row of each) of a column of texts, for each k of `lengths`, PLACES places at a time."""
     data, offs = _buffers(col)
-    for low in range(0, len(data), PLACES):
-        c = _CODE[data[low : low + PLACES + k - 1]]
-        n = min(PLACES, len(data) - low, len(c) - k + 1)
-        if n <= 0:
-            continue
-        v = np.zeros(n, np.int64)
-        for j in range(k):
-            v = (v << 5) | c[j : j + n]
+    most = max(lengths, default=0)
+    for low in range(0, len(data) if most else 0, PLACES):
+        n = min(PLACES, len(data) - low)
+        c = _CODE[data[low : low + n + most - 1]]
+        c = np.append(c, np.zeros(n + most - 1 - len(c), np.int64))
         odd = np.append(0, np.cumsum(c == 0))
         start = np.arange(low, low + n)
         row = np.searchsorted(offs, start, "right") - 1
-        ok = (odd[k : k + n] == odd[:n]) & (offs[row + 1] - start >= k)
-        yield v[ok], row[ok]
+        left = offs[row + 1] - start
+        v = np.zeros(n, np.int64)
+        for k in range(1, most + 1):
+            v = (v << 5) | c[k - 1 : k - 1 + n]
+            if k in lengths:
+                ok = (odd[k : k + n] == odd[:n]) & (left >= k)
+                yield k, v[ok], row[ok]
 
 
 def _check(k: int) -> None:
@@ -110,7 +112,7 @@ def library_sizes(texts: list[DataFrame], k: int, text: str = "text") -> DataFra
 
         for b in batches:
             of = b.column("i").to_numpy()
-            for v, row in windows(b.column("text"), k):
+            for _, v, row in windows(b.column("text"), [k]):
                 for i in np.unique(of[row]):
                     own = np.unique(v[of[row] == i])
                     held.setdefault(int(i), []).append(own)
@@ -149,7 +151,7 @@ def library_union(a: DataFrame, b: DataFrame, canon: DataFrame, k: int, text: st
 def _index(members: DataFrame, k: int, member: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            for v, row in windows(b.column("text"), k):
+            for _, v, row in windows(b.column("text"), [k]):
                 pair = np.unique(np.stack([row, v]), axis=1) if len(v) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("member").take(pa.array(pair[0])), pa.array(pair[1])], ["member", "kmer"])
 
@@ -185,12 +187,14 @@ def family_counts(members: DataFrame, pool: DataFrame, k: int, member: str = "me
         rows = index.orderBy("kmer").toArrow()  # `held` entries at most
         coded = rows.column("member").combine_chunks().dictionary_encode()
         kmers, first = np.unique(rows.column("kmer").to_numpy(), return_index=True)
-        shared = pool.sparkSession.sparkContext.broadcast((kmers, np.append(first, n), coded.indices.to_numpy(), coded.dictionary))
+        shared = pool.sparkSession.sparkContext.broadcast((Near(kmers), kmers, np.append(first, n), coded.indices.to_numpy(), coded.dictionary))
 
         def look_up(batches):
-            kmers, cut, codes, names = shared.value
+            near, kmers, cut, codes, names = shared.value
             for b in batches:
-                for v, row in windows(b.column("text"), k) if len(kmers) else ():
+                for _, v, row in windows(b.column("text"), [k]) if len(kmers) else ():
+                    on = near.has(v)
+                    v, row = v[on], row[on]
                     at = np.minimum(np.searchsorted(kmers, v), len(kmers) - 1)
                     hit = kmers[at] == v
                     r, a, places = _counted(row[hit], at[hit])
@@ -210,6 +214,18 @@ def family_counts(members: DataFrame, pool: DataFrame, k: int, member: str = "me
     return found.groupBy("member", "ident").agg(F.sum("places").alias("places")).withColumnsRenamed({"member": member, "ident": ident})
 
 
+class Near:
+    """A quick test that most numbers fail which aren't among some: a flag a hash, as many as fit a processor's cache."""
+
+    def __init__(self, known: np.ndarray):
+        self.width = min(24, max(6, (BITS * len(known) - 1).bit_length()))
+        self.flags = np.zeros(1 << self.width, bool)
+        self.flags[_bit_of(known, self.width)] = True
+
+    def has(self, v: np.ndarray) -> np.ndarray:
+        return self.flags[_bit_of(v, self.width)]
+
+
 class Bits:
     """Which hashes of k-mers an index has: BITS bits for each of its k-mers, MOST_BITS at most."""
 
@@ -240,7 +256,7 @@ def _by_shuffle(index: DataFrame, n: int, outside: DataFrame, k: int, kind: str)
 
     def passing(batches):
         for b in batches:
-            for v, row in windows(b.column("text"), k):
+            for _, v, row in windows(b.column("text"), [k]):
                 on = known.passes(v)
                 r, v, places = _counted(row[on], v[on])
                 yield pa.RecordBatch.from_arrays([b.column("ident").take(pa.array(r)), pa.array(v), pa.array(places)], ["ident", "kmer", "places"])
@@ -281,11 +297,11 @@ def held_by_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str
         size = np.array([len(x) for x in whole.to_pylist()], np.int64)
         for k in lengths:
             at = np.flatnonzero(size == k)
-            v = np.concatenate([x for x, _ in windows(whole.take(pa.array(at)), k)])
+            v = np.concatenate([x for _, x, _ in windows(whole.take(pa.array(at)), [k])])
             known, code = np.unique(v, return_inverse=True)
             pair = code * many + own[at]
             order = np.argsort(pair)
-            tables.append((k, known, pair[order], at[order]))
+            tables.append((known, Near(known), pair[order], at[order]))
         shared = q.sparkSession.sparkContext.broadcast((tables, names, whole, own))
 
         def look_up(batches):
@@ -295,13 +311,15 @@ def held_by_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str
                 of = b.column("group").cast(names.type)
                 of = pc.fill_null(pc.index_in(of, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 found = []
-                for k, known, pairs, at in tables:
-                    for v, row in windows(b.column("text"), k):
-                        i = np.minimum(np.searchsorted(known, v), len(known) - 1)
-                        hit = (known[i] == v) & (of[row] >= 0)
-                        pair = np.unique(i[hit] * many + of[row[hit]])
-                        j = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                        found.append(at[j[pairs[j] == pair]])
+                for k, v, row in windows(b.column("text"), lengths):
+                    known, near, pairs, at = tables[lengths.index(k)]
+                    on = near.has(v)
+                    v, row = v[on], row[on]
+                    i = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                    hit = (known[i] == v) & (of[row] >= 0)
+                    pair = np.unique(i[hit] * many + of[row[hit]])
+                    j = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                    found.append(at[j[pairs[j] == pair]])
                 new = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
                 new = new[~seen[new]]
                 seen[new] = True
@@ -315,7 +333,7 @@ def held_by_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str
             for k in lengths:
                 at = np.flatnonzero(np.array([len(x) == k for x in b.column("seq").to_pylist()], bool))
                 own = b.take(pa.array(at))
-                for v, row in windows(own.column("seq"), k):
+                for _, v, row in windows(own.column("seq"), [k]):
                     part = own.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("group"), pa.array(v)], ["seq", "group", "kmer"])
 
@@ -324,11 +342,10 @@ def held_by_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str
 
     def passing(batches):
         for b in batches:
-            for k in lengths:
-                for v, row in windows(b.column("text"), k):
-                    on = known.passes(v)
-                    r, v, _ = _counted(row[on], v[on])
-                    yield pa.RecordBatch.from_arrays([b.column("group").take(pa.array(r)), pa.array(v)], ["group", "kmer"])
+            for _, v, row in windows(b.column("text"), lengths):
+                on = known.passes(v)
+                r, v, _ = _counted(row[on], v[on])
+                yield pa.RecordBatch.from_arrays([b.column("group").take(pa.array(r)), pa.array(v)], ["group", "kmer"])
 
     there = t.mapInArrow(passing, f"group {kind}, kmer long").distinct()
     return index.join(there, ["group", "kmer"], "left_semi").select(F.col("seq").alias(sequence), F.col("group").alias(group))
