@@ -119,3 +119,55 @@ def test_short_sequences_in_their_own_group(spark, held):
     q, r = spark.createDataFrame(queries, "seq string, gene string"), spark.createDataFrame(refs, "gene string, text string").repartition(3)
     assert {tuple(x) for x in kmers.held_by_group(q, r, "gene", held=held).select("seq", "gene").collect()} == want
     assert kmers.held_by_group(q.limit(0), r, "gene", held=held).count() == 0 and kmers.held_by_group(q, r.limit(0), "gene", held=held).count() == 0
+
+
+def test_draws_from_any_number_of_items(monkeypatch):
+    """The distribution of numpy's draws where numpy can, and the right moments beyond it."""
+    import numpy as np
+
+    cases = [(5000, 9000, 3000), (9000, 5000, 12000), (2500, 80_000, 40_000), (400, 6000, 2000), (6000, 8000, 300)]
+    for good, bad, n in cases:
+        want = np.random.default_rng(1).hypergeometric(good, bad, n, 6000)
+        with monkeypatch.context() as m:
+            m.setattr(resample, "NUMPY_ITEMS", 0)
+            rng = np.random.default_rng(2)
+            got = np.array([resample.hypergeometric(rng, good, bad, n) for _ in range(6000)])
+        cuts = np.quantile(want, [0.05, 0.25, 0.5, 0.75, 0.95])
+        assert np.abs((got[:, None] <= cuts).mean(0) - (want[:, None] <= cuts).mean(0)).max() < 0.035
+        assert abs(got.mean() - want.mean()) < 0.12 * want.std() and abs(got.std() / want.std() - 1) < 0.05
+    good, bad, n = 3 * 10**12, 7 * 10**12, 10**11
+    rng = np.random.default_rng(3)
+    got = np.array([resample.hypergeometric(rng, good, bad, n) for _ in range(2000)], float)
+    spread = math.sqrt(n * 0.3 * 0.7 * (1 - n / (good + bad)))
+    assert abs(got.mean() - 3 * 10**10) < 5 * spread / math.sqrt(2000) and abs(got.std() / spread - 1) < 0.08
+    labels = np.array([2 * 10**12, 10**12, 5], np.int64)
+    hits = [resample.permuted_hits(np.random.default_rng(i), labels, labels[::-1].copy()) for i in range(20)]
+    assert abs(np.mean(hits) / (2 * 5 * 2 * 10**12 / labels.sum() + 10**24 / labels.sum()) - 1) < 0.01
+
+
+def test_digests_of_long_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from veristrata.sources import readers
+
+    (tmp_path / "a").write_bytes(b"x" * 100_001)
+    (tmp_path / "b").write_bytes(b"")
+    with open(tmp_path / "c", "wb") as f:  # longer than a row can hold, without using the disk
+        f.truncate((2 << 30) + 10)
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in readers.digests(spark, str(tmp_path)).collect()}
+    long = hashlib.sha256()
+    for _ in range(1 << 8):
+        long.update(bytes(8 << 20))
+    long.update(bytes(10))
+    assert got == {"a": (100_001, hashlib.sha256(b"x" * 100_001).hexdigest()), "b": (0, hashlib.sha256(b"").hexdigest()), "c": ((2 << 30) + 10, long.hexdigest())}
+
+
+def test_symbols_through_four_registries(spark):
+    from veristrata.operators import registry
+
+    info = spark.createDataFrame([("1", "symbol", "ABC1", 1), ("2", "symbol", "abc1", 2), ("3", "synonym", "TWO", 3), ("4", "synonym", "two", 4), ("5", "synonym", "One", 5), ("5", "synonym", "ONE", 6), ("6", "xref", "ENSG1", 7), ("7", "xref", "ENSG1", 8)], "gene_id string, kind string, name string, _row_idx long")
+    hgnc = spark.createDataFrame([("OLD", "8", 1), ("ABC1", "9", 0), ("ONE", "10", 2)], "name string, gene_id string, kind int")
+    names = spark.createDataFrame([("clone-1", "ENSG1"), ("TWO", "ENSG1"), ("nowhere", "ENSG9")], "gene_name string, gene_id string")
+    keys = ["Abc1 ", "old", "one", "two", "Clone-1", "nowhere", "", None, "none"]
+    got = registry.symbol_to_gene(spark.createDataFrame(list(enumerate(keys)), "i int, s string"), "s", info, hgnc, names)
+    assert {r.i: (r.id, r.route) for r in got.collect()} == {0: ("2", "symbol"), 1: ("8", "registry"), 2: ("10", "registry"), 3: ("7", "annotation"), 4: ("7", "annotation"), 5: (None, None), 6: (None, None), 7: (None, None), 8: (None, None)}

@@ -90,12 +90,3 @@ def first_value(df: DataFrame, key: list[str], value: str, order: str, last: boo
     """The value of the first (or last) row of each key."""
     pick = F.max_by if last else F.min_by
     return df.groupBy(*key).agg(pick(value, order).alias(value))
-
-
-def numbered(df: DataFrame, name: str = "_row_idx") -> DataFrame:
-    """An explicit row order, for what depends on first and last."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def running(df: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -140,15 +141,71 @@ def _rounds(groups: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group")
 
 
+#: numpy draws without replacement from fewer items than this; and shuffles no more than so many one by one.
+NUMPY_ITEMS, SHUFFLED = 10**9, 10**8
+
+
+def _log_gamma_step(a: float, d: float) -> float:
+    """lgamma(a + d) - lgamma(a), without the loss of digits that large values have."""
+    if min(a, a + d) < 50:
+        return math.lgamma(a + d) - math.lgamma(a)
+    tail = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (a - 0.5) * math.log1p(d / a) + d * math.log(a + d) - d + tail(a + d) - tail(a)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among n drawn without replacement, from any numbers. Beyond numpy's, by rejection under a bell that lies over the
+    distribution (ratio of uniforms), so draws follow it and not a normal curve."""
+    if good + bad < NUMPY_ITEMS:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    if 2 * n > total:  # those that are left instead
+        return good - hypergeometric(rng, good, bad, total - n)
+    if good > bad:
+        return n - hypergeometric(rng, bad, good, n)
+    if min(good, n) < 1000:  # few: one after the other
+        left, hits = good, 0
+        small, other = (n, good) if n <= good else (good, n)
+        left = other
+        for k in range(small):
+            if rng.random() * (total - k) < left:
+                left, hits = left - 1, hits + 1
+        return hits
+    mode = (n + 1) * (good + 1) // (total + 2)
+    mean, spread = n * good / total, math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)  # fixed values of the method
+
+    def log_ratio(k: int) -> float:
+        """log of the chance of k over that of the mode."""
+        d = k - mode
+        return -(_log_gamma_step(mode + 1, d) + _log_gamma_step(good - mode + 1, -d) + _log_gamma_step(n - mode + 1, -d) + _log_gamma_step(bad - n + mode + 1, d))
+
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if 0 <= k <= min(good, n) and 2 * math.log(u) <= log_ratio(k):
+            return k
+
+
 def permuted_hits(rng: np.random.Generator, labels: np.ndarray, targets: np.ndarray) -> int:
     """Hits of one random permutation of a stratum, from how many items have each value as label and as target. Of few values and many
-    items, each target's labels are drawn without replacement; else the labels themselves are shuffled. Both are exact."""
+    items, each target's labels are drawn without replacement; else the labels themselves are shuffled. Both are exact, for any
+    number of items."""
     n = int(labels.sum())
-    if len(labels) ** 2 > 4 * n:
+    if len(labels) ** 2 > 4 * n and n <= SHUFFLED:
         return int((rng.permutation(np.repeat(np.arange(len(labels)), labels)) == np.repeat(np.arange(len(targets)), targets)).sum())
     left, hits = labels.copy(), 0
     for v in np.flatnonzero(targets).tolist():
-        got = rng.multivariate_hypergeometric(left, int(targets[v]))
+        if left.sum() < NUMPY_ITEMS:
+            got = rng.multivariate_hypergeometric(left, int(targets[v]))
+        else:
+            got, rest, need = np.zeros_like(left), int(left.sum()), int(targets[v])
+            for c in np.flatnonzero(left).tolist():
+                rest -= int(left[c])
+                got[c] = hypergeometric(rng, int(left[c]), rest, need) if rest else need
+                need -= int(got[c])
         hits += int(got[v])
         left -= got
     return hits
@@ -159,7 +216,7 @@ def permutation_null(spark: SparkSession, hits: DataFrame, rounds: int, seed: in
 
     hits: (item, stratum, label, target): a hit is target = label. Labels are shuffled within strata (one constant stratum for a
     free permutation). A stratum with one distinct label can't be permuted and its p says nothing: see `permutable`. Strata
-    travel as counts of their labels and targets, so a large one is no larger than its values are many (numpy draws from 10**9 items).
+    travel as counts of their labels and targets, so a large one is no larger than its values are many.
     """
     hits = store(hits.select("stratum", F.col("label").cast("string").alias("label"), F.col("target").cast("string").alias("target")), "hits")
     side = lambda c, a, b: hits.select("stratum", F.col(c).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))

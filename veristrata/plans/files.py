@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.functions import columns as K
-from veristrata.operators import decoy, gates, registry
+from veristrata.operators import decoy, gates, phrases, registry
 from veristrata.plans import base as B
 from veristrata.plans.checkpoint import shared_dir, store
 from veristrata.plans.queries import _ALPHA, _ledger, _ledger_sql, query  # noqa: PLC2701
@@ -81,7 +81,7 @@ def epitope_table_file(spark, d):
     return t.groupBy("hla_allele", "orf_id_or_locus", "tumor_specificity_result", "cancer_type", "orf_class").agg(F.count("*").alias("n"), F.sum(F.col("ligand_len").cast("long")).alias("residues"))
 
 
-@query("WITH t AS (SELECT doc_id, source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents) SELECT upper(source) AS gene, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues, min('P' || doc_id) AS first FROM t WHERE seq <> '' AND lang = 'en' GROUP BY 1")
+@query("WITH t AS (SELECT doc_id, source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents) SELECT upper(source) AS gene, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues, min('P' || doc_id) AS first, count(DISTINCT seq) AS sequences FROM t WHERE seq <> '' AND lang = 'en' GROUP BY 1")
 def fasta_file(spark, d):
     """Headers with attributes, sequences over several lines, one species."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
@@ -90,7 +90,8 @@ def fasta_file(spark, d):
     path = _lines(B.table(spark, d, "documents").where("text is not null and lang is not null").coalesce(8).select(record.alias("value")), "fasta")
     t = R.fasta(spark, path, "9606")
     genes = t.select(F.upper("gene").alias("gene"), "acc", "seq")
-    return genes.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("residues"), F.min("acc").alias("first"))
+    different = S.gene_sequences(t).groupBy("gene").agg(F.count("*").alias("sequences"))
+    return genes.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("residues"), F.min("acc").alias("first")).join(different, "gene")
 
 
 @query("WITH l AS (SELECT label, unnest(range(1, 65)) AS i, embedding FROM embeddings) SELECT 'S' || label AS gene, CAST(i AS INT) AS i, CAST(max(embedding[i]) AS DOUBLE) AS v FROM l GROUP BY 1, 2")
@@ -233,6 +234,18 @@ def page_digests(spark, d):
     return R.headered_csv(spark, path).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).alias("length"), F.sha2(raw, 256).alias("sha256"))
 
 
+@query("SELECT item_id, length(t) AS letters, contains(t, '& ') AS marked, len(regexp_extract_all(t, '[0-9]+')) AS numbers FROM (SELECT item_id, trim(regexp_replace('R & D < ' || text, '\\s+', ' ', 'g')) AS t FROM benchmark WHERE text IS NOT NULL)")
+def article_files(spark, d):
+    """An XML file an article, read whole: tags out, entities unescaped, white space collapsed; its numbers."""
+    path = _path(spark, "articles")
+    escaped = F.concat(F.lit("<article id=\"1\"><p>R &amp; D &lt;</p>\n<p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></article>"))
+    B.table(spark, d, "benchmark").where("text is not null").select("item_id", escaped.alias("value")).write.partitionBy("item_id").text(path)
+    t = R.whole_texts(spark, path).select(F.regexp_extract("path", r"item_id=(-?\d+)", 1).cast("long").alias("item_id"), K.plain_text(F.col("value")).alias("t"))
+    numbers = phrases.find_pattern(t, "[0-9]+", "t", ["item_id"]).groupBy("item_id").agg(F.count("*").alias("numbers"))
+    one = t.select("item_id", F.length("t").cast("long").alias("letters"), F.col("t").contains("& ").alias("marked"))
+    return one.join(numbers, "item_id", "left").withColumn("numbers", F.coalesce("numbers", F.lit(0)))
+
+
 @query("WITH p AS (SELECT CASE user_id % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'novel' ELSE 'other' END AS class, user_id FROM events) SELECT class, count(*) AS n FROM p GROUP BY 1")
 def class_rules_file(spark, d):
     """Classes by the rules of a file, one folder a class, and the manifest."""

@@ -11,7 +11,7 @@ from veristrata.functions import evidence as E
 from veristrata.operators import decoy, gates, kmers, ladder, phrases, registry, resample, sequence, stats
 from veristrata.plans import base as B
 from veristrata.plans.checkpoint import store
-from veristrata.plans.queries import _ALPHA, _CANON, _FLAGS_SQL, _KNOWN, _EV, _OR, _P, _Q, _SCORED, _SIZES, _adj, _exposed, _flagged, _hits, _parts, _scored, _swept, query  # noqa: PLC2701
+from veristrata.plans.queries import _ALPHA, _CANON, _FLAGS_SQL, _KNOWN, _EV, _OR, _P, _Q, _SCORED, _SIZES, _adj, _exposed, _flagged, _hits, _parts, _scored, _swept, SQL, query  # noqa: PLC2701
 from veristrata.sources import claims as S
 
 _LETTERS = "upper(regexp_replace({0}, '[^A-Za-z]', '', 'g'))".format
@@ -88,6 +88,20 @@ def overlap_two_proportions(spark, d):
     return both.select(F.col("tissue").alias("one"), "two", F.round(K.two_proportion_z(F.col("k"), F.col("n"), F.col("k2"), F.col("n2")), 9).alias("z"))
 
 
+_FIGURES = [("matrix", "'pooled'", "dimension", "rung", "claim_ladder_pooled"), ("matrix", "stratum", "dimension", "rung", "claim_ladder_by_stratum"), ("t-cell state", "'pooled'", "orf_class", "state", "tcell_state_counts"), ("normal state", "'pooled'", "orf_class", "state", "normal_state_counts")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{part}' AS part, {stratum} AS stratum, {item} AS item, {state} AS state, CAST(n AS BIGINT) AS n FROM ({SQL[name]})" for part, stratum, item, state, name in _FIGURES))
+def figure_inputs(spark, d):
+    """What the figures draw, one long table from one scored table: the matrix over all claims and by stratum, and the states."""
+    t = store(_scored(spark, d).withColumn("stratum", E.stratum()), "scored")
+    row = lambda df, part, stratum, item, state: df.select(F.lit(part).alias("part"), stratum.alias("stratum"), F.col(item).alias("item"), F.col(state).alias("state"), F.col("n").cast("long").alias("n"))
+    pooled = F.lit("pooled")
+    states = lambda c: ladder.counts(t.withColumn("state", c), ["orf_class", "state"])
+    out = row(ladder.ladder(t), "matrix", pooled, "dimension", "rung").unionAll(row(ladder.ladder(t, ["stratum"]), "matrix", F.col("stratum"), "dimension", "rung"))
+    return out.unionAll(row(states(E.human_tcell_state()), "t-cell state", pooled, "orf_class", "state")).unionAll(row(states(E.normal_presentation_state()), "normal state", pooled, "orf_class", "state"))
+
+
 # ---- registries, loci, bests ------------------------------------------------------------------------------------
 
 

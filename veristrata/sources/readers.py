@@ -191,7 +191,7 @@ def sheet(rows: DataFrame, needles: list[str]) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def resolve(base: str | None, name: str, variable: str = "VERISTRATA_DATA") -> str:
@@ -206,6 +206,16 @@ def resolve(base: str | None, name: str, variable: str = "VERISTRATA_DATA") -> s
 CHUNK = 8 << 20
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the files that a path, a pattern or a folder names, empty ones too; names that begin with . or _ are left out."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    own = list(fs.globStatus(at) or [])
+    files = [f for x in own for f in (fs.listStatus(x.getPath()) if x.isDirectory() else [x]) if not f.isDirectory()]
+    return sorted((f.getPath().toString(), f.getLen()) for f in files if f.getPath().getName()[0] not in "._")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files of any length, on any store that pyarrow.fs reaches: a task streams a file's chunks through the
     state of the hash."""
@@ -227,8 +237,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 out.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(out, pa.string())], ["path", "length", "sha256"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "length")  # no content is read
-    return files.repartition(max(1, min(files.count(), spark.sparkContext.defaultParallelism * 4)), "path").mapInArrow(run, "path string, length long, sha256 string")
+    files = listed(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    parts = min(len(files), spark.sparkContext.defaultParallelism * 4)
+    return spark.createDataFrame(files, "path string, length long").repartition(parts, "path").mapInArrow(run, "path string, length long, sha256 string")
 
 
 def json_artifact(spark: SparkSession, path: str) -> DataFrame:
