@@ -239,6 +239,9 @@ def test_ledger_from_a_file(spark, tmp_path):
     assert len(table) == 3 and all(r.analysis_id == "psms.tsv" and r.all_target == "8" for r in table)
     contract = spark.read.csv(out + ".psms.csv", header=True).collect()
     assert len(contract) == 10 and sum(r.accession.startswith("rev_") and r.is_decoy == "1" for r in contract) == 2
+    assert class_decoy_ledger(spark, "psms.tsv", out, score="score", alpha=0.2, base=str(tmp_path))["ledger"] == said["ledger"]
+    with pytest.raises(FileNotFoundError):
+        class_decoy_ledger(spark, "no.tsv", out, score="score", base=str(tmp_path))
     for bad in ({"alpha": 0}, {"unit": "spectrum"}, {"q": "missing"}, {"columns": {"peptide": "nope"}}):
         with pytest.raises(ValueError):
             class_decoy_ledger(spark, str(tmp_path / "psms.tsv"), out, **({"score": "score"} | bad))

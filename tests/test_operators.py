@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import pytest
@@ -120,8 +121,16 @@ def test_symbols(spark):
     assert [r[0] for r in t.select(K.pseudogene_parent(F.col("s"))).collect()] == ["RPS3A", None, None, None, None]
     g = spark.createDataFrame([("MAGEA4",), ("MAGEA4-AS1",), ("TPTE",), ("TP53",), (None,)], "g string")
     assert [r[0] for r in g.select(K.is_control(F.col("g"))).collect()] == [True, False, True, False, False]
-    p = spark.createDataFrame([("ABC1", "ABC2"), ("ABC1", "ABX1"), ("AB1", "AB2"), ("A", "A")], "a string, b string")
-    assert [r[0] for r in p.select(K.drift_equal(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
+    pairs = [("RPS3", "RPS3"), ("RPS3", "RPS3A"), ("RP1", "RP2"), ("KRT18", "KRT8"), ("ABC1", "ABCX"), ("ABCX", "ABCY"), ("RPL1", "RPL12"), ("RPL", "RPL"), ("AB", "AB1"), ("", "X1"), ("XYZ", "XYZ7P2")]
+
+    def same(a, b):
+        root = os.path.commonprefix([a, b])
+        return a == b or (len(root) >= 3 and (a[len(root):].isdigit() or b[len(root):].isdigit()))
+
+    p = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in p.select(K.drift_equal(F.col("a"), F.col("b"))).collect()] == [same(a, b) for a, b in pairs]
+    plain = spark.createDataFrame([("M(Oxidation)PSPIDHPR; ABCDEFGH, short",)], "c string").select(K.peptides(F.col("c"), annotated=False)).first()[0]
+    assert plain == ["ABCDEFGH"]
 
 
 def test_intervals(spark):

@@ -85,9 +85,11 @@ def is_control(gene: Column, biotype: Column | None = None) -> Column:
     return (g != "") & ~silent & (g.isin(C.CONTROL_EXACT) | starts_with_any(g, C.CONTROL_PREFIXES))
 
 
-def peptides(cell: Column, least: int = 7) -> Column:
-    """The alphabetic tokens of a cell, without parenthesised annotations, upper-cased, at least `least` long."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\([^)]*\)", ""), ";", ",")
+def peptides(cell: Column, least: int = 7, annotated: bool = True) -> Column:
+    """The alphabetic tokens of a cell, without parenthesised annotations, upper-cased, at least `least` long. P20 (annotated False): a
+    token with an annotation is none."""
+    text = F.coalesce(cell, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", "") if annotated else text, ";", ",")
     return F.filter(F.transform(F.split(bare, ","), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^\p{L}+$") & (F.length(x) >= least))
 
 
@@ -112,11 +114,11 @@ def pseudogene_parent(symbol: Column) -> Column:
 
 
 def drift_equal(a: Column, b: Column) -> Column:
-    """Equal symbols, or a common prefix of three or more and only digits after it in both."""
+    """Equal symbols, or a common prefix of three characters or more after which one of them has nothing but digits, and some."""
     n = F.least(F.length(a), F.length(b))
     common = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i).otherwise(k))
-    rest = lambda s: F.substr(s, common + 1).rlike(r"^\d*$")
-    return (a == b) | ((n >= 3) & (common >= 3) & rest(a) & rest(b))
+    rest = lambda s: F.substr(s, common + 1).rlike(r"^\d+$")
+    return (a == b) | ((n >= 3) & (common >= 3) & (rest(a) | rest(b)))
 
 
 def multiplicity(n: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.operators import kmers
+from veristrata.plans.checkpoint import store
 
 
 #: Characters of the pieces that long texts are read in: a place in a string is found from its start, so whole texts would cost
@@ -90,7 +91,7 @@ def seed_matches(queries: DataFrame, refs: DataFrame, keep: list[str], seed: int
     shuffle, without the pieces, and pieces come back where a seed hit.
     """
     by = by or []
-    q = queries.where(F.length(sequence) >= seed).select(sequence, *by).distinct()
+    q = store(queries.where(F.length(sequence) >= seed).select(sequence, *by).distinct(), "seed-queries")  # made once, read for its sizes and the join
     size = q.agg(F.sum(F.length(sequence) + 40 * (1 + len(by))).alias("bytes"), F.min(F.length(sequence)).alias("shortest"), F.max(F.length(sequence)).alias("longest")).first()
     step = min(STEP, (size.shortest or seed) - seed + 1)
     return _seed_join(q, refs, keep, seed, step, sequence, text, by, size.longest or seed, (size.bytes or 0) * step <= HELD_BYTES)
@@ -118,7 +119,7 @@ def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, step:
 def in_own_group(queries: DataFrame, refs: DataFrame, group: str, sequence: str = "seq", text: str = "text", seed: int | None = None) -> DataFrame:
     """(sequence, group, own): whether a reference of the same group holds the sequence: short ones as packed k-mers, longer
     ones and those of other characters by seeds within the group. An empty sequence is in no reference."""
-    q = queries.select(sequence, group).distinct()
+    q = store(queries.select(sequence, group).distinct(), "group-queries")
     own = kmers.held_by_group(q, refs, group, sequence, text)
     rest = q.where(~F.col(sequence).rlike(kmers.SHORT) & (F.col(sequence) != ""))
     least = seed or rest.agg(F.min(F.length(sequence))).first()[0]

@@ -11,7 +11,8 @@ from veristrata.functions import columns as K
 from veristrata.operators import decoy, gates, phrases, registry
 from veristrata.plans import base as B
 from veristrata.plans.checkpoint import shared_dir, store
-from veristrata.plans.queries import _ALPHA, _ledger, _ledger_sql, query  # noqa: PLC2701
+from veristrata.plans.ledger import class_decoy_ledger
+from veristrata.plans.queries import _ALPHA, _Q, _ledger, _ledger_sql, query  # noqa: PLC2701
 from veristrata.sources import claims as S
 from veristrata.sources import readers as R
 from veristrata.sources import sinks
@@ -87,13 +88,36 @@ def fasta_file(spark, d):
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
     head = F.concat(F.lit(">sp|P"), F.col("doc_id").cast("string"), F.lit("|E"), F.col("doc_id").cast("string"), F.lit("_X A protein OX="), F.when(F.col("lang") == "en", "9606").otherwise("10090"), F.lit(" GN="), F.col("source"), F.lit(" PE=1"))
     record = F.concat(head, F.lit("\n"), F.regexp_replace(letters, "(.{60})", "$1\n"))
-    path = _lines(B.table(spark, d, "documents").where("text is not null and lang is not null").coalesce(8).select(record.alias("value")), "fasta")
+    path = _lines(B.table(spark, d, "documents").where("text is not null and lang is not null").select(record.alias("value")), "fasta")
     t = R.fasta(spark, path, "9606")
     genes = t.select(F.upper("gene").alias("gene"), "acc", "seq")
     different = S.gene_sequences(t).groupBy("gene").agg(F.count("*").alias("sequences"))
     return genes.groupBy("gene").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("residues"), F.min("acc").alias("first")).join(different, "gene")
 
 
+@query("WITH t AS (SELECT source, lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents) SELECT source AS gene, lang, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues FROM t WHERE seq <> '' AND source IS NOT NULL AND lang IN ('en', 'de') GROUP BY ALL")
+def gzip_fasta_file(spark, d):
+    """Compressed sequences of two species, each read by its number in the headers."""
+    t = B.table(spark, d, "documents").where("text is not null and source is not null and lang is not null")
+    species = F.when(F.col("lang") == "en", "9606").when(F.col("lang") == "de", "960").otherwise("10090")
+    head = F.concat(F.lit(">sp|X|Y_Z A protein OX="), species, F.lit(" GN="), F.col("source"))
+    path = _path(spark, "fasta-gz")
+    t.select(F.concat(head, F.lit("\n"), F.regexp_replace(F.regexp_replace("text", "[^A-Za-z]", ""), "(.{60})", "$1\n")).alias("value")).write.text(path, compression="gzip")
+    own = lambda ox, lang: R.fasta(spark, path + "/*.gz", ox).select("gene", F.lit(lang).alias("lang"), "seq")
+    return own("9606", "en").unionAll(own("960", "de")).groupBy("gene", "lang").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("residues"))
+
+
+@query("SELECT 'ENSG' || label AS gene, vec_id AS row, CAST(embedding[1] AS DOUBLE) AS first, CAST(list_max(embedding) AS DOUBLE) AS most FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM embeddings) WHERE k = 1")
+def expression_by_id_file(spark, d):
+    """Of rows of one gene id (its versions differ) the last in the order of the files stays."""
+    v = F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), "\t")
+    row = F.concat(F.lit("ENSG"), F.col("label").cast("string"), F.lit("."), F.col("vec_id").cast("string"), F.lit("\t"), F.col("vec_id").cast("string"), F.lit("\t"), F.col("vec_id").cast("string"), F.lit("\t"), v)
+    t = B.table(spark, d, "embeddings").repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id")
+    got = R.expression_gct(spark, _lines(t.select(row.alias("value")), "expression"), by_ensembl=True)
+    values = F.slice("vector", 2, 1_000_000)
+    return got.select("gene", F.get("vector", F.lit(0)).cast("long").alias("row"), F.get(values, F.lit(0)).alias("first"), F.array_max(values).alias("most"))
+
+
 @query("WITH l AS (SELECT label, unnest(range(1, 65)) AS i, embedding FROM embeddings) SELECT 'S' || label AS gene, CAST(i AS INT) AS i, CAST(max(embedding[i]) AS DOUBLE) AS v FROM l GROUP BY 1, 2")
 def expression_file(spark, d):
     """Symbols repeat; the greatest value of each tissue stays."""
@@ -121,15 +145,27 @@ def psm_file_ledger(spark, d):
     return whole.select("class", "n_target", "n_decoy", "all_target", "all_decoy").join(ledger.select("class", "class_fdr", "share"), "class").select(*ledger.columns)
 
 
+@query(f"SELECT class, n_target, n_decoy, n FROM ({_ledger_sql(f'SELECT * FROM q WHERE q <= {_ALPHA}')}) JOIN (WITH {_Q} SELECT class, count(*) AS n FROM q WHERE q IS NOT NULL GROUP BY 1) USING (class)")
+def ledger_command(spark, d):
+    """The ledger command on a table of matches, with strata and the contract: its JSON, and the matches of its folders by class."""
+    path, out = _tsv(B.table(spark, d, "events").selectExpr(*_PSM_COLUMNS.split(", ")), "psms"), _path(spark, "command")
+    class_decoy_ledger(spark, path, out, score="score", alpha=_ALPHA, strata=True, emit_contract=True)
+    said = R.json_artifact(spark, out + ".json").select(F.explode("ledger").alias("r")).select("r.class", "r.n_target", "r.n_decoy")
+    per = spark.read.option("sep", "\t").csv(out + ".by-class", header=True).groupBy("class").agg(F.count("*").alias("n"))
+    return said.join(per, "class")
+
+
 @query("SELECT CASE user_id % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'noncanonical' ELSE 'variant' END AS class, event_type = 'error' AS is_decoy, count(*) AS n, round(sum(value), 4) AS score FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def pepxml_file(spark, d):
     """Hits of rank 1 with a score; others of the same spectrum are left out."""
     hit = lambda rank: F.concat(F.lit(f'<search_hit hit_rank="{rank}" peptide="P'), F.col("user_id").cast("string"), F.lit('" protein="'), F.when(F.col("event_type") == "error", "rev_").otherwise(""), F.element_at(F.array(F.lit("sp|"), F.lit("orf"), F.lit("ENSP")), (F.col("user_id") % 3 + 1).cast("int")), F.col("user_id").cast("string"), F.lit('"><search_score name="hyperscore" value="'), F.col("value").cast("string"), F.lit('"/></search_hit>'))
     line = F.concat(F.lit('<spectrum_query index="'), F.col("event_id").cast("string"), F.lit('"><search_result>'), hit(1), hit(2), F.lit("</search_result></spectrum_query>"))
-    t = B.table(spark, d, "events").where("value is not null").select(F.pmod("event_id", F.lit(16)).alias("g"), "event_id", line.alias("value"))
-    ends = spark.range(16).select("id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit("<msms_run_summary>").alias("v")), F.struct(F.lit(1 << 62).alias("at"), F.lit("</msms_run_summary>").alias("v")))).alias("x"))
-    path = _path(spark, "pepxml")  # 16 files, each with its root element
-    t.unionAll(ends.select("id", "x.at", "x.v")).repartition(16, "g").sortWithinPartitions("g", "event_id").select("g", "value").write.partitionBy("g").text(path)
+    events = B.table(spark, d, "events").where("value is not null")
+    files = max(16, events.count() // 500_000)
+    t = events.select(F.pmod("event_id", F.lit(files)).alias("g"), "event_id", line.alias("value"))
+    ends = spark.range(files).select("id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit("<msms_run_summary>").alias("v")), F.struct(F.lit(1 << 62).alias("at"), F.lit("</msms_run_summary>").alias("v")))).alias("x"))
+    path = _path(spark, "pepxml")  # files that follow the rows, each with its root element
+    t.unionAll(ends.select("id", "x.at", "x.v")).repartition(files, "g").sortWithinPartitions("g", "event_id").select("g", "value").write.partitionBy("g").text(path)
     t = R.pepxml(spark, path)
     return t.groupBy("class", "is_decoy").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
 
@@ -213,10 +249,10 @@ def symbol_cascade_files(spark, d):
 
 @query("SELECT 'G' || s_nationkey AS name, 'ENSG' || min(s_suppkey) AS first, 'ENSG' || max(s_suppkey) AS last FROM supplier GROUP BY s_nationkey")
 def annotation_file(spark, d):
-    """Names of genes, the first row's id and the last one's, in the order of one file."""
+    """Names of genes, the first row's id and the last one's, in the order of the files' paths and of their lines."""
     k, gene = F.col("s_suppkey").cast("string"), F.concat(F.lit("G"), F.col("s_nationkey").cast("string"))
     line = lambda kind: F.concat(F.lit(f"chr1\tX\t{kind}\t1\t2\t.\t+\t.\tgene_id \"ENSG"), k, F.lit('.7"; transcript_id "ENST'), k, F.lit('.1"; gene_name "'), gene, F.lit('";'))
-    t = B.table(spark, d, "supplier").coalesce(1).sortWithinPartitions("s_suppkey")  # the order of a file is part of its format
+    t = B.table(spark, d, "supplier").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey")  # files in order, each a range
     path = _lines(t.select(F.explode(F.array(F.lit("#!comment"), line("gene"), line("transcript"))).alias("value")), "gtf")
     first = R.transcript_genes(spark, path)[1].select(F.col("gene_name").alias("name"), F.col("gene_id").alias("first"))
     return first.join(R.gene_names(spark, path).select(F.col("gene_name").alias("name"), F.col("gene_id").alias("last")), "name")

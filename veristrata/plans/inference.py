@@ -287,6 +287,17 @@ def effective_rho(spark, d):
     return resample.effective_rho(t, "n", "c", 0.01).select(F.round("rho_eff", 9).alias("rho_eff"), F.round("rho_global", 9).alias("rho_global"))
 
 
+_SYMBOLS = "SELECT p_partkey, list_extract(['KRT', 'RPS', 'ab-', '7X', 'HNRNP', 'P'], p_partkey % 6 + 1) || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THEN 'P' || (p_partkey % 17) WHEN p_partkey % 3 = 1 THEN 'p' ELSE '' END AS symbol, list_extract(['KRT', 'RPS', 'AB-', 'KRT', 'HNRNP', 'P'], p_partkey % 5 + 1) || (p_partkey % 7) || CASE WHEN p_partkey % 4 = 0 THEN 'A' ELSE '' END AS other FROM part"
+
+
+@query(f"WITH s AS (SELECT *, upper(symbol) AS u FROM ({_SYMBOLS})), r AS (SELECT *, CASE WHEN regexp_matches(u, '^[A-Z]') AND length(regexp_extract(u, '^([A-Z0-9-]+?)P[0-9]*$', 1)) >= 2 THEN regexp_extract(u, '^([A-Z0-9-]+?)P[0-9]*$', 1) END AS parent, len(list_filter(range(1, least(length(u), length(other)) + 1), lambda i: u[:i] = other[:i])) AS k FROM s) SELECT parent, u = other OR (k >= 3 AND (regexp_full_match(u[k + 1:], '[0-9]+') OR regexp_full_match(other[k + 1:], '[0-9]+'))) AS same, count(*) AS n, min(symbol) AS first FROM r GROUP BY ALL")
+def symbol_heuristics(spark, d):
+    """The parent that a symbol names, and whether two symbols differ by a number only."""
+    t = spark.sql(_SYMBOLS.replace("list_extract([", "element_at(array(").replace("], p_partkey", "), CAST(p_partkey").replace("% 6 + 1)", "% 6 + 1 AS INT))").replace("% 5 + 1)", "% 5 + 1 AS INT))").replace("FROM part", "FROM {part}"), part=B.table(spark, d, "part"))
+    same = K.drift_equal(F.upper("symbol"), F.col("other"))
+    return t.groupBy(K.pseudogene_parent(F.col("symbol")).alias("parent"), same.alias("same")).agg(F.count("*").alias("n"), F.min("symbol").alias("first"))
+
+
 # ---- claim building ---------------------------------------------------------------------------------------------
 
 _BIOTYPE = "CASE item_id % 5 WHEN 0 THEN 'lincRNA' WHEN 1 THEN 'processed_pseudogene' WHEN 2 THEN 'protein_coding' WHEN 3 THEN 'antisense' ELSE NULL END"

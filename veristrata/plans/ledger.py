@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.operators import decoy, gates, sequence
+from veristrata.plans.checkpoint import store
 from veristrata.sources import readers, sinks
 
 
 def class_decoy_ledger(spark: SparkSession, path: str, out: str, *, kind: str = "tsv", score: str | None = None, q: str | None = None, alpha: float = 0.01, unit: str = "psm", ascending: bool = False, decoy_prefix: str = "rev_",
-                       canonical: str | None = None, strata: bool = False, emit_contract: bool = False, columns: dict[str, str] | None = None) -> dict:
+                       canonical: str | None = None, strata: bool = False, emit_contract: bool = False, columns: dict[str, str] | None = None, base: str | None = None) -> dict:
     """Reads pepXML (kind "pepxml") or a table of matches, sweeps q-values where none are reported, counts accepted targets and decoys by
     class, and writes <out>.json and <out>.tsv; with emit_contract also <out>.psms.tsv and a folder for each class. Returns
-    what the JSON says. A column that isn't there, a bad alpha or unit, or no match at all is an error before anything is written.
+    what the JSON says. base: a folder that `path` and `canonical` are below, where files that aren't there are an error. A column that isn't there, a bad alpha or unit, or no match at all is an error before anything is written.
     """
+    if base is not None:
+        path, canonical = readers.resolve(base, path), canonical and readers.resolve(base, canonical)
     if kind == "pepxml":
         score = score or "hyperscore"
         decoy.check_options(alpha, unit, [score], [], score, None)
@@ -24,8 +27,8 @@ def class_decoy_ledger(spark: SparkSession, path: str, out: str, *, kind: str =
         head = readers.header_of(spark, path, "\t")
         decoy.check_options(alpha, unit, head, [c for c in (*names.values(), score, q) if c], score, q)
         psms = readers.psm_tsv(spark, path, score=score, q=q, decoy_prefix=decoy_prefix, **names)
-    gates.not_empty(psms, f"spectrum matches in {path}")
-    swept = psms if q else decoy.q_sweep(psms.drop("q"), "score", "is_decoy", "_row_idx", ascending)
+    psms = store(gates.not_empty(psms, f"spectrum matches in {path}"), "psms")  # the file is parsed once
+    swept = psms if q else store(decoy.q_sweep(psms.drop("q"), "score", "is_decoy", "_row_idx", ascending), "swept")
     accepted = decoy.accepted(swept, alpha)
     counted = decoy.unit_rows(accepted, unit)
     ledger = decoy.ledger(counted)
