@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from veristrata import config as C
 from veristrata.functions.columns import class_of_accession
+from veristrata.sources import gzipped
 from veristrata.sources.delimited import LINE, Delimited, numbered_lines
+from veristrata.sources.gzipped import gzip_records
 
 
 def _strings(names: list[str]) -> T.StructType:
@@ -33,10 +35,17 @@ def claims_csv(spark: SparkSession, path: str) -> DataFrame:
     return headered_csv(spark, path, [*C.CLAIM_COLUMNS, *C.LINEAGE_COLUMNS])
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_row_idx, value): lines and their order; of gzip files by ranges of theirs."""
+    if path.endswith(".gz"):
+        return gzip_records(spark, [p for p, _ in listed(spark, path)], "\n", gzipped.SPAN).withColumn("value", F.rtrim("value", F.lit("\r")))
+    return numbered_lines(spark, path)
+
+
 def positional(spark: SparkSession, path: str, fields: int, min_fields: int = 1, sep: str = "\t", skip: int = 1) -> DataFrame:
     """(_row_idx, the order of lines, and) fields by place (_c0 ...); lines with fewer than min_fields go, as do the first `skip` lines of each file. A field
     in double quotes may hold the separator, and doubled quotes in it are one; a record is one line."""
-    lines = numbered_lines(spark, path)
+    lines = ordered_lines(spark, path)
     if skip:  # the first lines of a file are the first of its first split
         first = lines.where("_row_idx.split = 0").groupBy(F.col("_row_idx.file").alias("_f")).agg(F.min("_row_idx.place").alias("_first"))
         early = (F.col("_row_idx.split") == 0) & (F.col("_row_idx.place") < F.col("_first") + skip)
@@ -63,9 +72,11 @@ def normal_ligands(spark: SparkSession, path: str, mhc_class: str = "HLA-I") ->
 
 def fasta(spark: SparkSession, path: str, species: str | None = None) -> DataFrame:
     """(protein_idx, header, acc, entry, gene, seq), upper-cased; species: an OX= number that headers must have."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("protein_idx", F.monotonically_increasing_id())
-    if path.endswith(".gz"):  # one task reads a compressed file; what follows is shared out
-        raw = raw.repartition(spark.sparkContext.defaultParallelism)
+    if path.endswith(".gz"):  # ranges of the compressed files, a task each
+        raw = gzip_records(spark, [p for p, _ in listed(spark, path)], "\n>", gzipped.SPAN)
+    else:
+        raw = spark.read.option("lineSep", "\n>").text(path)
+    raw = raw.withColumn("protein_idx", F.monotonically_increasing_id())
     rec = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(rec, r"^([^\r\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace(rec, r"^[^\r\n]*", ""), r"[^A-Za-z]", ""))
@@ -106,7 +117,7 @@ def psm_tsv(spark: SparkSession, path: str, ident: str = "PSMId", peptide: str =
 def expression_gct(spark: SparkSession, path: str, by_ensembl: bool = False) -> DataFrame:
     """(gene, vector) of a GCT file: by symbol, duplicates merged by element-wise maximum; or by id without version, the
     last row wins."""
-    t = numbered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p"))
+    t = ordered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p"))
     rows = t.where((F.size("p") > 2) & (F.get("p", F.lit(0)) != "Name"))
     vector = F.transform(F.slice("p", 3, 1_000_000), lambda x: x.try_cast("double"))
     if by_ensembl:
@@ -120,7 +131,7 @@ def gtf(spark: SparkSession, path: str, feature: str) -> DataFrame:
     """(gene_id, transcript_id, gene_name, _row_idx), ids without version; a path that isn't there is an empty table."""
     if "://" not in path and not os.path.exists(path):
         return spark.createDataFrame([], f"gene_id string, transcript_id string, gene_name string, _row_idx {LINE}")
-    t = numbered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p")).where(F.get("p", F.lit(2)) == feature)
+    t = ordered_lines(spark, path).select("_row_idx", F.split("value", "\t").alias("p")).where(F.get("p", F.lit(2)) == feature)
     got = lambda k: F.nullif(F.substring_index(F.regexp_extract(F.get("p", F.lit(8)), k + r' "([^"]*)"', 1), "." if k != "gene_name" else "\t", 1), F.lit(""))
     return t.select(got("gene_id").alias("gene_id"), got("transcript_id").alias("transcript_id"), got("gene_name").alias("gene_name"), "_row_idx")
 
@@ -251,5 +262,5 @@ def json_artifact(spark: SparkSession, path: str) -> DataFrame:
 
 def class_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(pattern, class) in order, comments left out; a file of rules, not of data."""
-    rows = numbered_lines(spark, path).where(~F.col("value").startswith("#") & F.col("value").contains("\t")).orderBy("_row_idx").collect()
+    rows = ordered_lines(spark, path).where(~F.col("value").startswith("#") & F.col("value").contains("\t")).orderBy("_row_idx").collect()
     return [(a.strip(), b.strip()) for a, b in (r.value.split("\t")[:2] for r in rows)]
