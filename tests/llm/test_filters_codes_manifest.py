@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import canon
@@ -246,3 +247,21 @@ def test_manifest_of_awkward_rows(spark, tmp_path):
 def test_manifest_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.QUERIES["op13_merkle"](spark, str(tmp_path)).collect() == []
+
+
+def test_many_buckets_in_one_arrow_batch():
+    """What Spark sends as one batch may hold more buckets than the memory of a DuckDB connection."""
+    n, many = merkle.BUCKET, 40
+    leaves = [h(f"leaf{i}") for i in range(n)]
+    subroot, paths = plain_tree(leaves)
+    items = pa.StructArray.from_arrays([pa.array(list(range(n)) * many, pa.int64()), pa.nulls(n * many, pa.string()), pa.array([bytes.fromhex(x) for x in leaves] * many), pa.nulls(n * many, pa.binary())], ["id", "name", "digest", "other"])
+    buckets = pa.ListArray.from_arrays(pa.array(range(0, n * many + 1, n), pa.int32()), items)
+    own = {"tree": pa.array([f"s{k}" for k in range(many)]), "idx": pa.array([0] * many, pa.int64()), "n": pa.array([n] * many, pa.int64()), "items": buckets}
+    above = pa.array([["aa"]] * many, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_pydict(own | {"lefts": above, "rights": above, "subroot": pa.array([subroot] * many)})
+    got = pa.Table.from_batches(merkle._proven([batch]))
+    assert got.column("doc_id").to_pylist() == list(range(n)) * many and got.column("leaf").to_pylist() == leaves * many
+    assert got.column("proof_sha256").to_pylist() == [h("".join(a + b for a, b in path) + "aaaa") for path in paths] * many
+    assert set(got.column("folded_root").to_pylist()) == {h("aa" + subroot + "aa")}
+    assert [x for b in merkle._roots([pa.RecordBatch.from_pydict(own)]) for x in b.column("digest").to_pylist()] == [bytes.fromhex(subroot)] * many
+    assert sum(b.num_rows for b in merkle._paths([batch])) == n * many

@@ -26,6 +26,8 @@ BUCKET = FAN**DEPTH
 #: Rows that a task sorts at most, about; packed runs of rows are no longer than a bucket.
 SORTED = 500_000
 MEMORY = "256MB"
+#: Leaves of the buckets that one DuckDB query takes: with their siblings, some 3 KB a leaf, they must fit MEMORY. A bucket at least.
+TOGETHER = 4 * BUCKET
 
 
 # ---- the block engine: whole buckets of an Arrow batch in DuckDB ---------------------------------------------------
@@ -73,6 +75,17 @@ class Blocks:
         return out.combine_chunks()
 
 
+def _pieces(batches):
+    """The same buckets in pieces of TOGETHER leaves at most, however many buckets Spark puts into a batch."""
+    for b in batches:
+        first = b.column("items").offsets.to_numpy().astype(np.int64)
+        low = 0
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(first, first[low] + TOGETHER, "right")) - 1)
+            yield b.slice(low, high - low)
+            low = high
+
+
 def _flat(b: pa.RecordBatch) -> tuple[pa.Table, pa.StructArray, np.ndarray]:
     """Items of a batch of buckets as a table (b, i, h, digest, other), the items themselves, and their number by bucket."""
     col = b.column("items")
@@ -90,40 +103,37 @@ def _string(a) -> pa.Array:
 
 def _roots(batches):
     blocks = Blocks()
-    for b in batches:
-        if b.num_rows:
-            got = blocks.ask(_ROOTS, items=_flat(b)[0])
-            digest = pa.array([bytes.fromhex(x) for x in got.column("node").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("idx"), b.column("n"), digest], ["tree", "idx", "n", "digest"])
+    for b in _pieces(batches):
+        got = blocks.ask(_ROOTS, items=_flat(b)[0])
+        digest = pa.array([bytes.fromhex(x) for x in got.column("node").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("idx"), b.column("n"), digest], ["tree", "idx", "n", "digest"])
 
 
 def _paths(batches):
     """Of each item of buckets with their own paths: the path to the top."""
     blocks = Blocks()
-    for b in batches:
-        if b.num_rows:
-            flat, items, lens = _flat(b)
-            got, of = blocks.ask(_PATHS, items=flat), flat.column("b").to_numpy()
-            below = [got.column(c).to_pylist() for c in ("lefts", "rights")]
-            above = [b.column(c).to_pylist() for c in ("lefts", "rights")]
-            both = [pa.array([x + up[k] for x, k in zip(own, of, strict=True)], pa.list_(pa.string())) for own, up in zip(below, above, strict=True)]
-            first = np.repeat(b.column("idx").to_numpy() * BUCKET, lens)
-            idx = pa.array(first + flat.column("i").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("tree").take(pa.array(of)), idx, items.field("name"), *both, b.column("subroot").take(pa.array(of))], ["tree", "idx", "name", "lefts", "rights", "subroot"])
+    for b in _pieces(batches):
+        flat, items, lens = _flat(b)
+        got, of = blocks.ask(_PATHS, items=flat), flat.column("b").to_numpy()
+        below = [got.column(c).to_pylist() for c in ("lefts", "rights")]
+        above = [b.column(c).to_pylist() for c in ("lefts", "rights")]
+        both = [pa.array([x + up[k] for x, k in zip(own, of, strict=True)], pa.list_(pa.string())) for own, up in zip(below, above, strict=True)]
+        first = np.repeat(b.column("idx").to_numpy() * BUCKET, lens)
+        idx = pa.array(first + flat.column("i").to_numpy())
+        yield pa.RecordBatch.from_arrays([b.column("tree").take(pa.array(of)), idx, items.field("name"), *both, b.column("subroot").take(pa.array(of))], ["tree", "idx", "name", "lefts", "rights", "subroot"])
 
 
 def _proven(batches):
     blocks = Blocks()
-    for b in batches:
-        if b.num_rows:
-            flat, items, _ = _flat(b)
-            of = pa.array(flat.column("b").to_numpy())
-            lefts, rights = (b.column(c).to_pylist() for c in ("lefts", "rights"))
-            outer = ["".join(x + y for x, y in zip(l, r, strict=True)) for l, r in zip(lefts, rights, strict=True)]
-            heads = pa.table({"b": np.arange(b.num_rows), "lefts": pa.array(lefts, pa.list_(pa.string())), "rights": pa.array(rights, pa.list_(pa.string())), "outer_proof": pa.array(outer, pa.string())})
-            got = blocks.ask(_proofs(max(map(len, lefts))), items=flat, heads=heads)
-            cols = [_string(got.column(c)) for c in ("node", "proof", "x")]
-            yield pa.RecordBatch.from_arrays([items.field("id"), cols[0], b.column("subroot").take(of), *cols[1:]], ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
+    for b in _pieces(batches):
+        flat, items, _ = _flat(b)
+        of = pa.array(flat.column("b").to_numpy())
+        lefts, rights = (b.column(c).to_pylist() for c in ("lefts", "rights"))
+        outer = ["".join(x + y for x, y in zip(l, r, strict=True)) for l, r in zip(lefts, rights, strict=True)]
+        heads = pa.table({"b": np.arange(b.num_rows), "lefts": pa.array(lefts, pa.list_(pa.string())), "rights": pa.array(rights, pa.list_(pa.string())), "outer_proof": pa.array(outer, pa.string())})
+        got = blocks.ask(_proofs(max(map(len, lefts))), items=flat, heads=heads)
+        cols = [_string(got.column(c)) for c in ("node", "proof", "x")]
+        yield pa.RecordBatch.from_arrays([items.field("id"), cols[0], b.column("subroot").take(of), *cols[1:]], ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
 
 
 # ---- Spark: places, buckets, roots upwards, proofs downwards -------------------------------------------------------
