@@ -253,3 +253,19 @@ def test_ledger_from_a_file(spark, tmp_path):
 def test_controls_and_labels(spark):
     t = spark.createDataFrame([("MAGEA3", "protein_coding"), ("MAGEA3-AS1", "x"), ("CTCFL", "lincRNA"), ("SAGE1", None), (None, None)], "g string, b string")
     assert [r[0] for r in t.select(K.is_control(F.col("g"), F.col("b"))).collect()] == [True, False, False, True, False]
+
+
+def test_queries_beyond_what_a_task_holds_send_only_what_is_found(spark, monkeypatch, tmp_path):
+    """What is shuffled follows what is found, not the references: their seeds are many times their text."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ABCDEÉ語") for _ in range(n))
+    refs = [(i, i % 3, text(rng.choice([0, 5, 700]))) for i in range(60)] + [(60, 1, None)]
+    seqs = sorted({t[a : a + n] for _, _, t in refs[:30] if len(t or "") > 600 for a, n in ((3, 12), (100, 6), (688, 12), (694, 6))} | {text(12) for _ in range(9)} | {t[-3:] + u[:9] for (_, _, t), (_, _, u) in zip(refs, refs[1:-1], strict=False) if t and u})
+    q, r = spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame(refs, "id long, gene long, text string")
+    monkeypatch.setattr(sequence, "HELD_BYTES", 0)
+    found = sequence.seed_matches(q, r, ["gene"], 6)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, g) for s in seqs if len(s) >= 6 for _, g, t in refs if t and s in t}
+    found.write.parquet(f"{tmp_path}/out")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and len(got) < 200

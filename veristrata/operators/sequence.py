@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ HELD_BYTES = 32 << 20
 LENGTHS = 64
 #: The farthest that seeds of references are apart.
 STEP = 64
+#: Tests that a window's hash passes before the window is sent: of those that are no query, one in 16 passes each.
+PROBES = 3
+
+_BASE = 0x9E3779B97F4A7C15
 
 
 def segments(df: DataFrame, text: str, keep: list[str], overlap: int, size: int = SEGMENT, lead: int = 0) -> DataFrame:
@@ -89,13 +95,94 @@ def seed_matches(queries: DataFrame, refs: DataFrame, keep: list[str], seed: int
     the longest query, so a candidate is checked within its piece. Up to HELD_BYTES of queries with their seeds, every task
     holds them and nothing of the references is shuffled before it matches. More queries meet the references' seeds in a
     shuffle, without the pieces, and pieces come back where a seed hit.
+
+    Where such seeds would be shuffled, or taken at every letter, queries of up to LENGTHS lengths are found whole instead, by
+    the hash of each window of their lengths: see _hash_join.
     """
     by = by or []
     q = store(queries.where(F.length(sequence) >= seed).select(sequence, *by).distinct(), "seed-queries")  # made once, read for its sizes and the join
     size = q.agg(F.sum(F.length(sequence) + 40 * (1 + len(by))).alias("bytes"), F.min(F.length(sequence)).alias("shortest"), F.max(F.length(sequence)).alias("longest")).first()
     step = min(STEP, (size.shortest or seed) - seed + 1)
-    return _seed_join(q, refs, keep, seed, step, sequence, text, by, size.longest or seed, (size.bytes or 0) * step <= HELD_BYTES)
-
+    held = (size.bytes or 0) * step <= HELD_BYTES
+    if step == 1 or not held:
+        lengths = [r[0] for r in q.select(F.octet_length(sequence)).distinct().limit(LENGTHS + 1).collect()]
+        if len(lengths) <= LENGTHS:
+            return _hash_join(q, refs, list(dict.fromkeys([*by, *keep])), sorted(lengths), sequence, text, by, held)
+    return _seed_join(q, refs, keep, seed, step, sequence, text, by, size.longest or seed, held)
+
+
+def _hashed(data: np.ndarray, lengths: list[int]):
+    """(first place, length, hash of the bytes from each place on) for each length, PLACES places at a time; the last ones reach past the end."""
+    most = max(lengths)
+    up = np.cumprod(np.full(kmers.PLACES + most, _BASE, np.uint64))
+    down = np.cumprod(np.full(kmers.PLACES, pow(_BASE, -1, 1 << 64), np.uint64))
+    for low in range(0, len(data), kmers.PLACES):
+        own = data[low : low + kmers.PLACES + most]
+        n = min(kmers.PLACES, len(data) - low)
+        sums = np.zeros(n + most + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], out=sums[1 : len(own) + 1])
+        for k in lengths:
+            yield low, k, (((sums[k : k + n] - sums[:n]) * down[:n]) ^ np.uint64(k)).view(np.int64)
+
+
+def _probe(v: np.ndarray, i: int) -> np.ndarray:
+    return v if i == 0 else kmers._mix(v + i).view(np.int64)
+
+
+def _hash_join(q: DataFrame, refs: DataFrame, cols: list[str], lengths: list[int], sequence: str, text: str, by: list[str], held: bool) -> DataFrame:
+    """Distinct (sequence, cols...): each window of the queries' lengths whose hash passes a bit filter of all queries is sent, once for
+    equal cols of a batch, and meets the queries by its bytes. What is sent follows what is found, not the references."""
+
+    def hashes(batches):
+        for b in batches:
+            data, offs = kmers._buffers(b.column(sequence))
+            size = np.diff(offs)
+            for low, k, v in _hashed(data, lengths):
+                at = offs[:-1][(size == k) & (offs[:-1] >= low) & (offs[:-1] < low + len(v))] - low
+                for i in range(PROBES):
+                    yield pa.RecordBatch.from_arrays([pa.array(_probe(v[at], i))], ["kmer"])
+
+    known = kmers.Bits(q.select(sequence).distinct().mapInArrow(hashes, "kmer long"), PROBES * q.count()) if lengths else None
+    t = refs.where(F.col(text).isNotNull()).select(*cols, F.col(text).cast("string").alias("_text"))
+
+    def passing(batches):
+        for b in batches:
+            data, offs = kmers._buffers(b.column("_text"))
+            own = np.zeros(b.num_rows, np.int64)  # rows of equal cols have one number
+            for c in cols:
+                nested = pa.types.is_nested(b.column(c).type)
+                code = np.arange(b.num_rows) if nested else b.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                own = np.unique(own * b.num_rows + code, return_inverse=True)[1]
+            for low, k, v in _hashed(data, lengths):
+                on = np.flatnonzero(known.passes(v))
+                for i in range(1, PROBES):
+                    on = on[known.passes(_probe(v[on], i))]
+                row = np.searchsorted(offs, on + low, "right") - 1
+                inside = offs[row + 1] - (on + low) >= k
+                on, row = on[inside], row[inside]
+                order = np.lexsort((v[on], own[row]))
+                on, row = on[order], row[order]
+                new = np.full(len(on), True)
+                again = 1 + np.flatnonzero((v[on][1:] == v[on][:-1]) & (own[row][1:] == own[row][:-1]))
+                some = max(1, kmers.PLACES // k)  # windows whose bytes are looked at together
+                for i in range(0, len(again), some):
+                    at = again[i : i + some]
+                    new[at] = (data[(on[at] + low)[:, None] + np.arange(k)] != data[(on[at - 1] + low)[:, None] + np.arange(k)]).any(1)
+                on, row = on[new] + low, row[new]
+                for i in range(0, len(on), some):
+                    at = on[i : i + some]
+                    offsets, found = (np.arange(len(at) + 1) * k).astype(np.int32), data[(at[:, None] + np.arange(k)).ravel()]
+                    windows_ = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(found)])
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row[i : i + some])) for c in cols], windows_], [*cols, "_seq"])
+
+    from pyspark.sql import types as T
+
+    own = q.withColumn("_seq", F.col(sequence).cast("binary"))
+    if not lengths:
+        return own.join(t.drop("_text").limit(0), by or None, "inner").select(sequence, *cols)
+    schema = T.StructType([*[T.StructField(c, t.schema[c].dataType) for c in cols], T.StructField("_seq", T.BinaryType())])
+    found = t.mapInArrow(passing, schema).distinct()
+    return found.join(F.broadcast(own) if held else own, [*by, "_seq"]).select(sequence, *cols)
 
 def _seed_join(q: DataFrame, refs: DataFrame, keep: list[str], seed: int, step: int, sequence: str, text: str, by: list[str], longest: int, held: bool) -> DataFrame:
     n, size = F.length(text), -(-max(SEGMENT, longest) // step) * step
