@@ -155,3 +155,17 @@ def test_blocks_of_items_share_a_scan(spark, monkeypatch, tmp_path):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     monkeypatch.setattr(decontaminate, "TOGETHER", 3)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b).collect()} == want and len(surveys) > 2
+
+
+def test_the_latent_space_is_fitted_on_every_passage(spark):
+    """More passages than any sample of 256 a task: each word of the corpus is in them as often as in its texts."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 500}" for k in range(150)) + (" rare" if i == 1777 else "")) for i in range(2000)]
+    vocab = [f"w{k}" for k in range(500)] + ["rare"]
+    df, n, passages = decontaminate.survey(docs(spark, rows).select("text").repartition(3), vocab)
+    got = [0] * 501
+    some = passages.collect()
+    for r in some:
+        assert sum(r["size"]) == len(r["at"]) == len(r["tf"]) and all(r["size"])
+        for at, tf in zip(r["at"], r["tf"], strict=True):
+            got[at] += tf
+    assert n == 2000 and sum(len(r["size"]) for r in some) == 3 * 2000 and got == [sum(t.split().count(w) for _, t in rows) for w in vocab] and df[500] == 1

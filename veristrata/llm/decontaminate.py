@@ -1,8 +1,8 @@
 """Operator 2, benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into pieces of at most PIECE words. Document frequencies are counted over all documents; every word
-weighs, common or not. A latent space comes from a distributed randomised SVD of TF-IDF passages: a sample of the corpus's
-own (PASSAGES at most, those of the smallest hashes) and all pieces. Every document is read in overlapping windows of WINDOW
+weighs, common or not. A latent space comes from a distributed randomised SVD of TF-IDF passages: all of the corpus's
+own, copies as often as they are there, and all pieces. Every document is read in overlapping windows of WINDOW
 words. A window whose cosine with a piece in the latent space reaches COSINE is checked by the longest common subsequence of
 their words: NEAR of the piece in order is a leak; from PARAPHRASE on it is one if the item's answer (its last sentence) is
 in the window as well. Pieces under SHORT words must be there word for word.
@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import Words, mix, slices, squeeze, store, stretch, table, text_buffers
+from veristrata.llm.common import Words, discard, slices, squeeze, store, stretch, table, text_buffers
 
 PIECE, STEP, WINDOW = 48, 24, 72
 RANK, COSINE, NEAR, PARAPHRASE, ANSWER, SHORT = 128, 0.35, 0.75, 0.5, 0.8, 8
 #: Words of a piece's indexed ones that a leak must have at least: the more, the more of the commoner words are indexed.
 SHARED = 5
-#: Passages of the corpus that the latent space is fitted on, and those that a task offers.
-PASSAGES, OFFERED = 16_384, 256
+#: Passages of the corpus that are weighed and multiplied together.
+PASSAGES = 256
 #: Text of the items of a block, and blocks that one scan of the corpus serves.
 BLOCK_BYTES, TOGETHER = 4 << 20, 8
 #: Rows of the vocabulary that are added up together.
@@ -188,16 +188,16 @@ def shared_words(first: np.ndarray, owners: np.ndarray, need: np.ndarray, tok: n
 
 
 def survey(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int, DataFrame]:
-    """(documents that have each word, documents, stored passages (h, at, tf)), over whole texts. Passages are windows by the words of
-    the vocabulary in them; each task offers those of its OFFERED smallest hashes, and the PASSAGES smallest stay."""
+    """(documents that have each word, documents, stored passages (at, tf)), over whole texts. Passages are windows by the words of
+    the vocabulary in them: every one of the corpus that has any, PASSAGES a row, each as its length, its words and how often they are there."""
     words = pa.array(vocab, pa.string())
     n = len(vocab)
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32())]
 
     def count(batches):
         from pyspark import TaskContext
 
-        acc, best = np.zeros(n + 1, np.int64), {}
+        acc = np.zeros(n + 1, np.int64)
         for b in slices(batches):
             t = Tokens(*text_buffers(b.column("text")), words)
             doc = np.repeat(np.arange(b.num_rows), np.diff(t.off))
@@ -205,23 +205,17 @@ def survey(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int, DataFram
             acc[:n] += np.bincount(counted(doc[on] * n + t.ids[on])[0] % n, minlength=n)
             acc[n] += b.num_rows
             place = (np.arange(len(doc)) - t.off[doc]) // WINDOW
-            cut = np.flatnonzero(np.diff(doc * (1 << 32) + place, prepend=-1))
-            if len(cut):
-                h = np.add.reduceat(mix((t.ids + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(doc), dtype=np.uint64) - np.repeat(cut, np.diff(np.append(cut, len(doc)))).astype(np.uint64)), cut)
-                h = (mix(h) >> np.uint64(1)).astype(np.int64)
-                cut = np.append(cut, len(doc))
-                for k in np.argsort(h)[:OFFERED].tolist():
-                    own = t.ids[cut[k] : cut[k + 1]]
-                    if (own >= 0).any():
-                        best[int(h[k])] = own[own >= 0]
-                for k in sorted(best)[OFFERED:]:
-                    del best[k]
+            of = np.cumsum(np.diff(doc * (1 << 32) + place, prepend=-1) != 0)
+            pair, tf = counted(of[on] * n + t.ids[on])
+            first = np.flatnonzero(np.diff(pair // n, prepend=-1))
+            sizes = np.diff(np.append(first, len(pair)))
+            for k in range(0, len(first), PASSAGES):
+                size = sizes[k : k + PASSAGES]
+                own = slice(first[k], first[k] + size.sum())
+                row = [None, None, size.astype(np.int32), (pair[own] % n).astype(np.int32), tf[own].astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds, strict=True)], ["k", "n", "size", "at", "tf"])
         part = TaskContext.get().partitionId() % 64
-        rows = [(part, squeeze(acc), None, None, None)]
-        for h, own in best.items():
-            at, tf = np.unique(own, return_counts=True)
-            rows.append((None, None, h, at.astype(np.int32), tf.astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "n", "h", "at", "tf"])
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip([part, squeeze(acc), None, None, None], kinds, strict=True)], ["k", "n", "size", "at", "tf"])
 
     def add(batches):
         acc = np.zeros(n + 1, np.int64)
@@ -230,16 +224,16 @@ def survey(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int, DataFram
                 acc += stretch(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([squeeze(acc)], pa.binary())], ["n"])
 
-    found = store(docs.mapInArrow(count, "k int, n binary, h long, at array<int>, tf array<float>"), "leak-survey")
+    found = store(docs.mapInArrow(count, "k int, n binary, size array<int>, at array<int>, tf array<float>"), "leak-survey")
     total = np.zeros(n + 1, np.int64)
     for r in found.where("k is not null").select("k", "n").repartition(8, "k").select("n").mapInArrow(add, "n binary").collect():  # 8 rows at most
         total += stretch(r.n, np.int64)
-    passages = found.where("h is not null").select("h", "at", "tf").dropDuplicates(["h"]).orderBy("h").limit(PASSAGES)
+    passages = found.where("k is null").select("size", "at", "tf")
     return total[:n], int(total[n]), passages
 
 
 def randomised_svd(rows: DataFrame, dims: int, rank: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(dims x rank right singular vectors, singular values) of sparse rows (at: array<int>, w: array<float>).
+    """(dims x rank right singular vectors, singular values) of sparse rows, some together (size: array<int>, of each; at: array<int>, w: array<float>).
 
     Subspace iteration from a random start: each round sums A'(A V) over the partitions of the rows.
     """
@@ -252,9 +246,12 @@ def randomised_svd(rows: DataFrame, dims: int, rank: int, rounds: int = 3) -> tu
         def product(batches, shared=shared):
             v, z = shared.value, np.zeros((dims, rank), np.float64)
             for b in batches:
-                for at, w in zip(b.column("at"), b.column("w"), strict=True):
-                    i, x = at.values.to_numpy(), w.values.to_numpy()
-                    z[i] += np.outer(x, x @ v[i])
+                for size, at, w in zip(b.column("size"), b.column("at"), b.column("w"), strict=True):
+                    size, i, x = (c.values.to_numpy() for c in (size, at, w))
+                    some, col = np.unique(i, return_inverse=True)
+                    a = np.zeros((len(size), len(some)), np.float32)
+                    a[np.repeat(np.arange(len(size)), size), col] = x
+                    z[some] += a.T @ (a @ v[some])
             for k in range(0, dims, SLICE):
                 own = z[k : k + SLICE]
                 if own.any():
@@ -269,7 +266,7 @@ def randomised_svd(rows: DataFrame, dims: int, rank: int, rounds: int = 3) -> tu
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(x.astype(np.float32))], pa.binary())], ["k", "z"])
 
         z = np.zeros((dims, rank))  # one matrix: the sums of its slices are made by tasks
-        for r in rows.select("at", "w").mapInArrow(product, "k int, z binary").repartition(min(64, -(-dims // SLICE)), "k").mapInArrow(add, "k int, z binary").collect():
+        for r in rows.select("size", "at", "w").mapInArrow(product, "k int, z binary").repartition(min(64, -(-dims // SLICE)), "k").mapInArrow(add, "k int, z binary").collect():
             z[r.k : r.k + SLICE] = stretch(r.z, np.float32).reshape(-1, rank)
         shared.destroy()
         last, v = v, np.linalg.qr(z)[0].astype(np.float32)
@@ -322,22 +319,26 @@ class Block:
         def weigh(batches):
             idf, to_own = shared.value
             for b in batches:
-                places, weights = [], []
-                for at, tf, size, common in zip(b.column("at"), b.column("tf"), b.column("size").to_pylist(), b.column("common").to_pylist(), strict=True):
-                    at, tf = at.values.to_numpy(), tf.values.to_numpy()
+                sizes, places, weights = [], [], []
+                for size, at, tf, share, common in zip(*(b.column(c) for c in ("size", "at", "tf")), b.column("share").to_pylist(), b.column("common").to_pylist(), strict=True):
+                    size, at, tf = (c.values.to_numpy() for c in (size, at, tf))
+                    row = np.repeat(np.arange(len(size)), size)
                     if common:  # numbers of the vocabulary of all blocks
                         at = to_own[at]
-                        at, tf = at[at >= 0], tf[at >= 0]
+                        row, at, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
                     x = tf * idf[at]
+                    norm = np.sqrt(np.bincount(row, x.astype(np.float64) ** 2, len(size)))
+                    sizes.append(np.bincount(row, minlength=len(size)).astype(np.int32))
                     places.append(at.astype(np.int32))
-                    weights.append(x * (size / max(1e-9, float(np.linalg.norm(x)))))
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["at", "w"])
+                    weights.append((x * (share / np.maximum(1e-9, norm))[row]).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["size", "at", "w"])
 
-        share = math.sqrt(max(1, passages.count()) / len(rows))  # the pieces weigh as much as the corpus's passages
-        own = spark.createDataFrame(rows, "at array<int>, tf array<float>").select("at", "tf", F.lit(share).alias("size"), F.lit(False).alias("common"))
-        both = own.unionAll(passages.select("at", "tf", F.lit(1.0), F.lit(True)))
-        matrix = store(both.repartition(16).mapInArrow(weigh, "at array<int>, w array<float>"), "leak-matrix")
+        share = math.sqrt(max(1, passages.agg(F.sum(F.size("size"))).first()[0] or 0) / len(rows))  # the pieces weigh as much as the corpus's passages
+        own = spark.createDataFrame(rows, "at array<int>, tf array<float>").select(F.array(F.size("at")).alias("size"), "at", "tf", F.lit(share).alias("share"), F.lit(False).alias("common"))
+        both = own.unionAll(passages.select("size", "at", "tf", F.lit(1.0), F.lit(True)))
+        matrix = store(both.mapInArrow(weigh, "size array<int>, at array<int>, w array<float>"), "leak-matrix")
         space, _ = randomised_svd(matrix, len(self.vocab), min(rank, len(self.pieces), len(self.vocab)))
+        discard(matrix)
         latent = np.stack([(np.asarray(tf, np.float32) * idf[at]) @ space[at] for at, tf in rows])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         table_ = np.append(space * idf[:, None], np.zeros((1, space.shape[1])), 0).astype(np.float32)
