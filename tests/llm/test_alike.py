@@ -169,3 +169,20 @@ def test_the_latent_space_is_fitted_on_every_passage(spark):
         for at, tf in zip(r["at"], r["tf"], strict=True):
             got[at] += tf
     assert n == 2000 and sum(len(r["size"]) for r in some) == 3 * 2000 and got == [sum(t.split().count(w) for _, t in rows) for w in vocab] and df[500] == 1
+
+
+def test_langid_learns_from_every_text(spark, monkeypatch):
+    """All different texts, at hand or in stored blocks: no bound on texts of a language, and the same machines both ways."""
+    rng = random.Random(15)
+    words = {"en": "the of and to in that was with for his", "de": "der die und das mit von auf ist nicht eine", "fr": "le la les des une dans pour que avec sur"}
+    rows = [(i, " ".join(rng.choice(words[c].split()) for _ in range(rng.randrange(6, 30))), c) for i in range(1500) for c in [list(words)[i % 3]]]
+    rows += [(9000 + i, "the same text again", "en") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    different = sorted({(c, t) for _, t, c in rows})
+    want = langid.fit([c for c, _ in different], np.concatenate([langid.shares(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for _, t in different]))
+    for local in (3000, 100):
+        monkeypatch.setattr(langid, "LOCAL", local)
+        monkeypatch.setattr(langid, "TASK", 400)
+        got = langid.train_language_model(d)
+        assert (got.langs, got.families, got.pairs) == (want.langs, want.families, want.pairs)
+        assert np.abs(got.weights - want.weights).max() < 1e-3 * np.abs(want.weights).max()
