@@ -186,3 +186,17 @@ def test_langid_learns_from_every_text(spark, monkeypatch):
         got = langid.train_language_model(d)
         assert (got.langs, got.families, got.pairs) == (want.langs, want.families, want.pairs)
         assert np.abs(got.weights - want.weights).max() < 1e-3 * np.abs(want.weights).max()
+
+
+def test_products_of_passages_equal_plain_ones(monkeypatch):
+    """Common and rare words, passages without any, blocks of all common or all rare ones."""
+    rng = np.random.default_rng(8)
+    for n, dims, share in ((300, 900, 0.04), (300, 900, 0.0), (300, 900, 1.0), (1, 5, 0.04), (2, 5, 0.5)):
+        monkeypatch.setattr(decontaminate, "DENSE", share)
+        a = rng.random((n, dims)).astype(np.float32) * (rng.random((n, dims)) < 0.5 / (1 + np.arange(dims) / 4))
+        a[n // 2] = 0
+        v = rng.standard_normal((dims, 16)).astype(np.float32)
+        row, at = np.nonzero(a)
+        z = np.ones((dims, 16))
+        decontaminate.add_product(z, v, np.bincount(row, minlength=n), at, a[row, at])
+        assert np.allclose(z, 1 + a.astype(np.float64).T @ (a.astype(np.float64) @ v), rtol=1e-3, atol=1e-3)

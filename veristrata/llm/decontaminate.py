@@ -36,8 +36,8 @@ PIECE, STEP, WINDOW = 48, 24, 72
 RANK, COSINE, NEAR, PARAPHRASE, ANSWER, SHORT = 128, 0.35, 0.75, 0.5, 0.8, 8
 #: Words of a piece's indexed ones that a leak must have at least: the more, the more of the commoner words are indexed.
 SHARED = 5
-#: Passages of the corpus that are weighed and multiplied together.
-PASSAGES = 256
+#: Passages of the corpus that are weighed and multiplied together; words of more than this share of them are multiplied as a dense matrix.
+PASSAGES, DENSE = 2048, 0.04
 #: Text of the items of a block, and blocks that one scan of the corpus serves.
 BLOCK_BYTES, TOGETHER = 4 << 20, 8
 #: Rows of the vocabulary that are added up together.
@@ -232,8 +232,57 @@ def survey(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray, int, DataFram
     return total[:n], int(total[n]), passages
 
 
+def layered(group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(n groups, largest first; entries by their place in their group, then by group in that order; entries of each place)."""
+    count = np.bincount(group, minlength=n)
+    order = np.argsort(-count, kind="stable")
+    rank, small = np.empty(n, np.int64), np.uint16 if max(n, len(group)) < 1 << 16 else np.int64  # short keys are sorted by digits
+    rank[order] = np.arange(n)
+    entries = np.argsort(rank[group].astype(small), kind="stable")
+    count = count[order]
+    place = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+    return order, entries[np.argsort(place.astype(small), kind="stable")], np.bincount(place).tolist()
+
+
+def gathered(group: np.ndarray, n: int, of: np.ndarray, x: np.ndarray | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n groups in some order, for each the sum of rows[of], times x if given, over its entries): the groups' k-th entries are added at once."""
+    order, entries, sizes = layered(group, n)
+    out, at = np.zeros((n, rows.shape[1]), np.float32), 0
+    for m in sizes:
+        own = entries[at : at + m]
+        part = rows[of[own]]
+        if x is not None:
+            part *= x[own, None]
+        out[:m] += part
+        at += m
+    return order, out
+
+
+def add_product(z: np.ndarray, v: np.ndarray, size: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+    """z += A'(A v) for a sparse A of len(size) rows: common words as a dense matrix, others entry by entry."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    count = np.bincount(at, minlength=len(v))
+    common = count > DENSE * n
+    often, rare = np.flatnonzero(common), np.flatnonzero((count > 0) & ~common)
+    number = np.zeros(len(v), np.int64)
+    number[often], number[rare] = np.arange(len(often)), np.arange(len(rare))
+    on, col = common[at], number[at]
+    a = np.zeros((n, len(often)), np.float32)
+    a[row[on], col[on]] = w[on]
+    row, col, at, w = row[~on], col[~on], at[~on], w[~on]
+    y = a @ v[often]
+    if len(at):
+        own, part = gathered(row, n, at, w, v)
+        y[own] += part
+    z[often] += a.T @ y
+    if len(at):
+        own, part = gathered(col, len(rare), row, w, y)
+        z[rare[own]] += part
+
+
 def randomised_svd(rows: DataFrame, dims: int, rank: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(dims x rank right singular vectors, singular values) of sparse rows, some together (size: array<int>, of each; at: array<int>, w: array<float>).
+    """(dims x rank right singular vectors, singular values) of sparse rows, some together, as packed numbers (size: int32, of each; at: int32; w: float32).
 
     Subspace iteration from a random start: each round sums A'(A V) over the partitions of the rows.
     """
@@ -246,12 +295,8 @@ def randomised_svd(rows: DataFrame, dims: int, rank: int, rounds: int = 3) -> tu
         def product(batches, shared=shared):
             v, z = shared.value, np.zeros((dims, rank), np.float64)
             for b in batches:
-                for size, at, w in zip(b.column("size"), b.column("at"), b.column("w"), strict=True):
-                    size, i, x = (c.values.to_numpy() for c in (size, at, w))
-                    some, col = np.unique(i, return_inverse=True)
-                    a = np.zeros((len(size), len(some)), np.float32)
-                    a[np.repeat(np.arange(len(size)), size), col] = x
-                    z[some] += a.T @ (a @ v[some])
+                for size, at, w in zip(*(b.column(c).to_pylist() for c in ("size", "at", "w")), strict=True):
+                    add_product(z, v, stretch(size, np.int32), stretch(at, np.int32), stretch(w, np.float32))
             for k in range(0, dims, SLICE):
                 own = z[k : k + SLICE]
                 if own.any():
@@ -328,20 +373,20 @@ class Block:
                         row, at, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
                     x = tf * idf[at]
                     norm = np.sqrt(np.bincount(row, x.astype(np.float64) ** 2, len(size)))
-                    sizes.append(np.bincount(row, minlength=len(size)).astype(np.int32))
-                    places.append(at.astype(np.int32))
-                    weights.append((x * (share / np.maximum(1e-9, norm))[row]).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["size", "at", "w"])
+                    sizes.append(squeeze(np.bincount(row, minlength=len(size)).astype(np.int32)))
+                    places.append(squeeze(at.astype(np.int32)))
+                    weights.append(squeeze((x * (share / np.maximum(1e-9, norm))[row]).astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (sizes, places, weights)], ["size", "at", "w"])
 
         share = math.sqrt(max(1, passages.agg(F.sum(F.size("size"))).first()[0] or 0) / len(rows))  # the pieces weigh as much as the corpus's passages
         own = spark.createDataFrame(rows, "at array<int>, tf array<float>").select(F.array(F.size("at")).alias("size"), "at", "tf", F.lit(share).alias("share"), F.lit(False).alias("common"))
         both = own.unionAll(passages.select("size", "at", "tf", F.lit(1.0), F.lit(True)))
-        matrix = store(both.mapInArrow(weigh, "size array<int>, at array<int>, w array<float>"), "leak-matrix")
+        matrix = store(both.mapInArrow(weigh, "size binary, at binary, w binary"), "leak-matrix")
         space, _ = randomised_svd(matrix, len(self.vocab), min(rank, len(self.pieces), len(self.vocab)))
         discard(matrix)
         latent = np.stack([(np.asarray(tf, np.float32) * idf[at]) @ space[at] for at, tf in rows])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        table_ = np.append(space * idf[:, None], np.zeros((1, space.shape[1])), 0).astype(np.float32)
+        table_ = (space * idf[:, None]).astype(np.float32)
         light = np.array([len(p[1]) < SHORT for p in self.pieces])
         return table_, latent, self.pieces, light, postings(self.pieces, light, df), to_own
 
@@ -391,13 +436,15 @@ def _search(spark, texts: DataFrame, owns: list[list[tuple[int, str]]], rank: in
                     w, p, c = (x[lo : lo + PAIRS] for x in (window, piece, common))
                     starts, of = np.unique(w, return_inverse=True)
                     stops = np.minimum(starts + span, (first_chunk + chunks)[doc[starts]])
-                    i, j = np.searchsorted(where, starts), np.searchsorted(where, stops)
-                    q = np.empty((len(starts), table_.shape[1]), np.float32)
-                    for at in range(0, len(starts), 256):  # word by word, the last row of the table for none
-                        x, y = i[at : at + 256, None], j[at : at + 256, None]
-                        places = x + np.arange(int((y - x).max(initial=0)))
-                        words_ = np.where(places < y, known[np.minimum(places, len(known) - 1)], len(table_) - 1)
-                        q[at : at + 256] = table_[words_].sum(1)
+                    cover = starts[:, None] + np.arange(span)
+                    inside = cover < stops[:, None]
+                    needed = np.unique(cover[inside])  # chunks, which windows that overlap share
+                    i, j = np.searchsorted(where, needed), np.searchsorted(where, needed, "right")
+                    words_ = known[np.arange((j - i).sum()) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)]
+                    order, part = gathered(np.repeat(np.arange(len(needed)), j - i), len(needed), words_, None, table_)
+                    vectors = np.zeros((len(needed) + 1, table_.shape[1]), np.float32)
+                    vectors[order] = part
+                    q = vectors[np.where(inside, np.searchsorted(needed, cover), len(needed))].sum(1)
                     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
                     cos = np.einsum("ij,ij->i", q[of], latent[p])
                     for k in np.flatnonzero((cos >= least) | (c >= near[p])).tolist():
